@@ -158,8 +158,11 @@ def query(name: str, oracle: str | None = None, using: str = ""):
         if oracle is not None:
             text = oracle.strip()
             if using:
-                head = ctes(*using.split())
-                text = head.rstrip() + (", " + text[5:] if text[:5].upper() == "WITH " else " " + text)
+                head = ctes(*using.split()).rstrip()
+                if text.upper().startswith("WITH RECURSIVE "):
+                    text = head.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + text[len("WITH RECURSIVE "):]
+                else:
+                    text = head + (", " + text[5:] if text[:5].upper() == "WITH " else " " + text)
             ORACLES[name] = text
         return fn
 

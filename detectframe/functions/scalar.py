@@ -12,6 +12,14 @@ _TRUTHY_INT = (
 )
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and use it many times in ``body(value)``.
+
+    A Column used inside a lambda would otherwise be computed again per element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def as_int(c: Column) -> Column:
     """Decimal integer text to bigint; anything else is NULL, never an error."""
     return F.trim(c.cast("string")).try_cast("bigint")
@@ -28,15 +36,20 @@ def micros(ts: Column) -> Column:
 def parse_kv(arg: Column, pattern: str = KV_PATTERN) -> Column:
     """K1: every ``key=value`` token, the last one of a key wins; none -> ``{_raw: arg}``."""
     text = F.coalesce(arg, F.lit(""))
-    keys = F.reverse(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
-    vals = F.reverse(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)))
-    names = F.array_distinct(keys)
-    # reversed, so the first position of a key is its last occurrence in the text
-    picked = F.transform(names, lambda k: F.get(vals, F.array_position(keys, k).cast("int") - 1))
-    return F.when(F.size(keys) > 0, F.map_from_arrays(names, picked)).otherwise(
-        F.create_map(F.lit("_raw"), text)
+    found = F.struct(
+        F.reverse(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("k"),
+        F.reverse(F.regexp_extract_all(text, F.lit(pattern), F.lit(2))).alias("v"),
     )
 
+    def build(x):
+        # reversed, so the first position of a key is its last occurrence in the text
+        pick = lambda names: F.map_from_arrays(
+            names, F.transform(names, lambda k: F.get(x["v"], F.array_position(x["k"], k).cast("int") - 1))
+        )
+        return F.when(F.size(x["k"]) > 0, let(F.array_distinct(x["k"]), pick)).otherwise(F.create_map(F.lit("_raw"), text))
+
+    return let(found, build)
+
 
 def kv_int(kv: Column, key: str) -> Column:
     """K2: integer value of a key."""
@@ -50,28 +63,24 @@ def kv_bool(kv: Column, key: str) -> Column:
 
 def entropy_text(s: Column) -> Column:
     """K3: Shannon entropy of the characters, bits; empty or NULL -> 0."""
-    n = F.char_length(s).cast("double")
-    chars = F.array_distinct(F.split(s, ""))
-
-    def share(c):
-        return (n - F.char_length(F.replace(s, c, F.lit("")))) / n
+    def bits(x):
+        n = F.char_length(x).cast("double")
+        share = lambda c: (n - F.char_length(F.replace(x, c, F.lit("")))) / n
+        return F.aggregate(F.array_distinct(F.split(x, "")), F.lit(0.0), lambda acc, c: acc - let(share(c), lambda p: p * F.log2(p)))
 
-    total = F.aggregate(chars, F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))
-    return F.when(F.coalesce(n, F.lit(0.0)) > 0, total).otherwise(F.lit(0.0))
+    return F.when(F.coalesce(F.char_length(s), F.lit(0)) > 0, let(s, bits)).otherwise(F.lit(0.0))
 
 
 def entropy_bytes(content: Column) -> Column:
     """K3: Shannon entropy of a binary column, rounded to 4 digits."""
-    pairs = F.regexp_extract_all(F.hex(content), F.lit("(..)"), F.lit(1))
-    n = F.size(pairs).cast("double")
 
-    def share(p):
-        return F.size(F.filter(pairs, lambda x: x == p)) / n
+    def bits(pairs):
+        n = F.size(pairs).cast("double")
+        share = lambda p: F.size(F.filter(pairs, lambda x: x == p)) / n
+        return F.aggregate(F.array_distinct(pairs), F.lit(0.0), lambda acc, p: acc - let(share(p), lambda q: q * F.log2(q)))
 
-    total = F.aggregate(
-        F.array_distinct(pairs), F.lit(0.0), lambda acc, p: acc - share(p) * F.log2(share(p))
-    )
-    return F.when(F.coalesce(n, F.lit(0.0)) > 0, F.round(total, 4)).otherwise(F.lit(0.0))
+    pairs = F.regexp_extract_all(F.hex(content), F.lit("(..)"), F.lit(1))
+    return F.when(F.coalesce(F.octet_length(content), F.lit(0)) > 0, F.round(let(pairs, bits), 4)).otherwise(F.lit(0.0))
 
 
 def basename(path: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from detectframe import fixed
 from detectframe.functions.leaf import two_valued
-from detectframe.functions.scalar import KV_PATTERN_LOOSE, as_int, hex8, parse_kv
+from detectframe.functions.scalar import KV_PATTERN_LOOSE, as_int, hex8, let, parse_kv
 from detectframe.operators.joins import process_names
 from detectframe.scale import any_true, fired, literal_table
 from detectframe.schema import fld
@@ -38,7 +38,10 @@ def normalize_args(api: Column, arg: Column) -> Column:
     the formatted target pid for cross-process ones.
     """
     text = F.coalesce(arg, F.lit(""))
-    kv = parse_kv(text, KV_PATTERN_LOOSE)
+    return let(parse_kv(text, KV_PATTERN_LOOSE), lambda kv: _named_args(api, text, kv))
+
+
+def _named_args(api: Column, text: Column, kv: Column) -> Column:
     raw = F.element_at(F.map_keys(kv), 1) == "_raw"
     none = F.array().cast("array<struct<k:string,v:string>>")
     entry = lambda name, value: F.struct(F.lit(name).alias("k"), value.alias("v"))
@@ -59,9 +62,9 @@ def normalize_args(api: Column, arg: Column) -> Column:
     base = F.when(raw, none).otherwise(F.transform(F.map_entries(kv), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v"))))
     # a canonical name equal to a raw key is already there with the same value
     allp = F.concat(base, canonical, targets)
-    names = F.array_distinct(F.transform(allp, lambda e: e["k"]))
-    keys = F.transform(allp, lambda e: e["k"])
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.get(allp, F.array_position(keys, n).cast("int") - 1)["v"]))
+    entries = F.struct(F.transform(allp, lambda e: e["k"]).alias("k"), F.transform(allp, lambda e: e["v"]).alias("v"))
+    return let(entries, lambda x: let(F.array_distinct(x["k"]), lambda names: F.map_from_arrays(
+        names, F.transform(names, lambda n: F.get(x["v"], F.array_position(x["k"], n).cast("int") - 1)))))
 
 
 @dataclass
@@ -86,7 +89,7 @@ def call_rows(events: DataFrame) -> DataFrame:
         "run_id", "seq", as_int(fld(events, "ProcessId")).alias("pid"), api.alias("api"),
         F.coalesce(cats[F.coalesce(fld(events, "Category"), F.lit(""))], F.lit("misc")).alias("category"), fld(events, "Arg0").alias("arg"),
     ).filter(F.col("pid").isNotNull())
-    t = t.withColumn("args", normalize_args(F.col("api"), F.col("arg")))
+    t = t.select("*", F.explode(F.array(normalize_args(F.col("api"), F.col("arg")))).alias("args"))
     return drop_spawn_calls(t, spawned(events, t)).join(process_names(events), ["run_id", "pid"], "left").withColumn(
         "process_name", F.coalesce("process_name", F.lit("")))
 
@@ -137,7 +140,8 @@ def run_facts(events: DataFrame, pids: DataFrame | None = None) -> DataFrame:
     t = events.filter((F.col("source") == "apitrace") & (F.col("event_type") == "ApiCall")).select(
         "run_id", as_int(fld(events, "ProcessId")).alias("pid"), fld(events, "Api").alias("api"), F.coalesce(fld(events, "Arg0"), F.lit("")).alias("arg")
     ).filter(F.col("pid").isNotNull() & F.col("api").isin("NtCreateFile", "CreateFileW", "NtSetValueKey", "CreateProcessW"))
-    args = normalize_args(F.col("api"), F.col("arg"))
+    t = t.select("*", F.explode(F.array(normalize_args(F.col("api"), F.col("arg")))).alias("args"))
+    args = F.col("args")
     some = lambda name: F.coalesce(F.nullif(args[name], F.lit("")), F.col("arg"))
     kind = F.when(F.col("api").isin("NtCreateFile", "CreateFileW"), F.array(F.lit("files"))).when(
         F.col("api") == "NtSetValueKey", F.array(F.lit("keys"), F.lit("write_keys"))).otherwise(F.array(F.lit("executed_commands")))

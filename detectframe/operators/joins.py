@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from detectframe import fixed
 from detectframe.functions.leaf import two_valued
-from detectframe.functions.scalar import as_int, kv_bool, kv_int, micros, norm_ioc, parse_kv, technique_parent
+from detectframe.functions.scalar import as_int, kv_bool, kv_int, let, micros, norm_ioc, parse_kv, technique_parent
 from detectframe.scale import literal_table
 from detectframe.schema import fld
 
@@ -58,14 +58,13 @@ def near_time(a: DataFrame, b: DataFrame, keys: list[str], seconds: float, out:
     cover = seen_from.groupBy(*keys, "__b").agg(
         F.max("before").alias("__before"), F.max("same").alias("__same"), F.min("after").alias("__after")
     )
-    left = a.withColumn("__b", F.floor(us / width).cast("bigint"))
-    on = [left[k] == cover[k] for k in keys] + [left["__b"] == cover["__b"]]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    x = left.join(cover, cond, "left").drop(*[cover[k] for k in keys], cover["__b"])
+    side = cover.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__b").alias("__kb"), "__before", "__same", "__after")
+    cond = F.floor(us / width).cast("bigint") == F.col("__kb")
+    for k in keys:
+        cond = cond & (F.col(k) == F.col(f"__k_{k}"))
+    x = a.join(side, cond, "left").drop("__kb", *[f"__k_{k}" for k in keys])
     near = two_valued(F.col("__same")) | two_valued(us - F.col("__before") <= width) | two_valued(F.col("__after") - us <= width)
-    return x.withColumn(out, near).drop(left["__b"]).drop("__before", "__same", "__after")
+    return x.withColumn(out, near).drop("__before", "__same", "__after")
 
 
 def trace_rows(events: DataFrame) -> DataFrame:
@@ -163,14 +162,17 @@ def same_value_sequence(first: DataFrame, then: DataFrame, keys: list[str]) -> D
 
 def alloc_then_start(events: DataFrame) -> DataFrame:
     """Executable allocation at an address, later a thread started there."""
-    t = trace_rows(events).withColumn("kv", parse_kv(F.col("arg"))).filter(F.col("pid").isNotNull())
-    at = lambda key: F.when(~F.col("kv")[key].isin("", "0x0"), F.col("kv")[key])
-    allocs = t.filter(F.col("api").isin(fixed.ALLOC_APIS) & kv_bool(F.col("kv"), "executable")).select(
-        "run_id", "pid", "seq", at("base").alias("addr")
-    )
-    starts = t.filter(F.col("api").isin(fixed.THREAD_APIS + ["NtResumeThread"])).select(
-        "run_id", "pid", "seq", "ts", "api", at("start").alias("addr")
-    )
+    starters = fixed.THREAD_APIS + ["NtResumeThread"]
+    t = trace_rows(events).filter(F.col("pid").isNotNull() & F.col("api").isin(fixed.ALLOC_APIS + starters))
+
+    def parts(kv):
+        at = lambda key: F.when(~kv[key].isin("", "0x0"), kv[key])
+        return F.struct(at("base").alias("base"), at("start").alias("start"), kv_bool(kv, "executable").alias("executable"))
+
+    # generated, so that later filters do not parse the argument again
+    t = t.select("run_id", "pid", "seq", "ts", "api", F.explode(F.array(let(parse_kv(F.col("arg")), parts))).alias("p"))
+    allocs = t.filter(F.col("api").isin(fixed.ALLOC_APIS) & F.col("p.executable")).select("run_id", "pid", "seq", F.col("p.base").alias("addr"))
+    starts = t.filter(F.col("api").isin(starters)).select("run_id", "pid", "seq", "ts", "api", F.col("p.start").alias("addr"))
     return same_value_sequence(allocs, starts, ["run_id", "pid", "addr"])
 
 

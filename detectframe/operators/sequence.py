@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from detectframe import fixed
 from detectframe.functions.leaf import two_valued
-from detectframe.functions.scalar import as_int, kv_bool, kv_int, micros, parse_kv
+from detectframe.functions.scalar import as_int, kv_bool, kv_int, let, micros, parse_kv
 from detectframe.operators.joins import alloc_then_start, own_children, trace_rows
 from detectframe.scale import any_true
 from detectframe.schema import fld
@@ -29,15 +29,14 @@ def calls(events: DataFrame) -> DataFrame:
     t = trace_rows(events).select(
         "run_id", "seq", "ts", F.col("pid").alias("actor"), "api", F.coalesce("arg", F.lit("")).alias("arg"), "category",
     ).filter(F.col("actor").isNotNull())
-    t = t.withColumn("kv", parse_kv(F.col("arg")))
-    kv = F.col("kv")
-    return t.select(
-        "run_id", "seq", "ts", "actor", "api", "arg", "category", kv_int(kv, "target_pid").alias("target"),
-        kv_bool(kv, "cross_process").alias("cross"), kv_bool(kv, "executable").alias("executable"),
-        F.coalesce(kv_int(kv, "size"), F.lit(0)).alias("size"), kv_int(kv, "delay_ms").alias("delay"),
-        kv_bool(kv, "alertable").alias("alertable"), kv_bool(kv, "apc").alias("apc"),
-        kv_int(kv, "child_pid").alias("child"), kv_bool(kv, "ppid_spoofed").alias("spoofed"), kv["ppid"].alias("ppid"),
-    )
+    parsed = let(parse_kv(F.col("arg")), lambda kv: F.struct(
+        kv_int(kv, "target_pid").alias("target"), kv_bool(kv, "cross_process").alias("cross"), kv_bool(kv, "executable").alias("executable"),
+        F.coalesce(kv_int(kv, "size"), F.lit(0)).alias("size"), kv_int(kv, "delay_ms").alias("delay"), kv_bool(kv, "alertable").alias("alertable"),
+        kv_bool(kv, "apc").alias("apc"), kv_int(kv, "child_pid").alias("child"), kv_bool(kv, "ppid_spoofed").alias("spoofed"), kv["ppid"].alias("ppid"),
+    ))
+    # generated, so that filters on parsed values do not parse the argument a second time
+    return t.select("run_id", "seq", "ts", "actor", "api", "arg", "category", F.explode(F.array(parsed)).alias("p")).select(
+        "run_id", "seq", "ts", "actor", "api", "arg", "category", "p.*")
 
 
 @dataclass
