@@ -11,6 +11,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,7 +129,7 @@ FROM (SELECT d.doc_id AS id, CASE WHEN l.quality = 0 OR l.toxic = 1 THEN 'malici
     CASE WHEN d.lang = 'fr' AND l.quality = 1 AND l.toxic = 0 THEN 'goodware_boundary' ELSE d.lang END AS family, d.source,
     CAST((CASE WHEN l.quality = 0 THEN 18 ELSE 0 END) + (CASE WHEN l.toxic = 1 THEN 22 ELSE 0 END)
       + (CASE WHEN contains(lower(d.text), 'license') THEN 15 ELSE 0 END) + (CASE WHEN contains(d.text, 'http') THEN 12 ELSE 0 END)
-      + d.n_chars % 30 AS int) AS score
+      + (CASE WHEN d.n_chars % 11 = 0 THEN 20 ELSE 0 END) + d.n_chars % 30 AS int) AS score
   FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id) s""",
     # page hosts as name lookups, page order as time
     "dns": """
@@ -138,11 +139,20 @@ FROM {pages}""",
 }
 
 
+#: Adapters whose key column is a long CASE.
+DERIVED_NAMES = {"calls"}
+
+
 def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An adapter as a DataFrame."""
     sql = ADAPTERS[name]
     names = set(re.findall(r"\{(\w+)\}", sql))
-    return spark.sql(sql.replace('"User"', "`User`"), **{n: table(spark, sf_dir, n) for n in names})
+    df = spark.sql(sql.replace('"User"', "`User`"), **{n: table(spark, sf_dir, n) for n in names})
+    if name not in DERIVED_NAMES:
+        return df
+    # The call name is a long CASE over the table; without this fence every later
+    # filter on it would be rewritten into copies of that CASE.
+    return df.select(F.explode(F.array(F.struct("*"))).alias("r")).select("r.*")
 
 
 def ctes(*names: str) -> str:

@@ -100,11 +100,14 @@ def pattern_hits(docs: DataFrame, rules: list[dict], key: str = "doc_id", text:
                 ),
                 lambda acc: acc["out"],
             )
-            items.append(F.when(t.rlike(p), F.transform(walked, lambda h, r=r, name=name: F.struct(
-                F.lit(r["rule"]).alias("rule"), F.lit(name).alias("pattern"), h["offset"].alias("offset"), h["data"].alias("data")))))
+            items.append(F.when(t.rlike(p), F.transform(walked, _tag(r["rule"], name))))
     return docs.select(key, F.explode(F.flatten(F.filter(F.array(*items), lambda a: a.isNotNull()))).alias("h")).select(key, "h.*")
 
 
+def _tag(rule: str, pattern: str):
+    return lambda h: F.struct(F.lit(rule).alias("rule"), F.lit(pattern).alias("pattern"), h["offset"].alias("offset"), h["data"].alias("data"))
+
+
 def describe_patterns(spark, rules: list[dict]) -> DataFrame:
     """Catalog of the patterns."""
     rows = [(r["rule"], n, p, int(r.get("need", 1))) for r in rules for n, p in r["patterns"].items()]
