@@ -67,7 +67,7 @@ def p3(spark, d):
 
 _FACTS = """
 ft AS (SELECT DISTINCT run_id, kind, value FROM (SELECT concat('run', CAST(ProcessId AS bigint) % 5) AS run_id, CAST(ProcessId AS bigint) % 30 AS pid, 'executed_commands' AS kind, CommandLine AS value FROM tel WHERE event_type = 'ProcessCreate'
-  UNION ALL SELECT run_id, CAST(ProcessId AS bigint), k.kind, Arg0 FROM calls, (VALUES ('files', 'NtCreateFile'), ('keys', 'NtSetValueKey'), ('write_keys', 'NtSetValueKey'), ('executed_commands', 'CreateProcessW')) k(kind, api) WHERE Api = k.api) z WHERE run_id <> 'run1' OR pid IN (1, 6))"""
+  UNION ALL SELECT run_id, CAST(ProcessId AS bigint), k.kind, Arg0 FROM calls, (VALUES ('files', 'NtCreateFile'), ('keys', 'NtSetValueKey'), ('write_keys', 'NtSetValueKey'), ('executed_commands', 'CreateProcessW')) k(kind, call) WHERE Api = k.call) z WHERE run_id <> 'run1' OR pid IN (1, 6))"""
 
 
 def _facts(spark, d):

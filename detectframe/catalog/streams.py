@@ -11,12 +11,20 @@ from detectframe.scale import scratch_path
 from detectframe.streaming import streams as S
 
 
-def as_stream(df, files: int = 4, ordered: bool = True):
-    """Write a table as files in time order and open them as a stream."""
+def as_stream(df, files: int = 4):
+    """Write a table as files, one stretch of time after the other, and open them as a stream.
+
+    A file source reads files by modification time, so the stretches are written
+    in order: no row is late.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, "in")
     x = df.withColumn("ts", F.col("ts").cast("timestamp"))
-    (x.repartitionByRange(files, "ts").sortWithinPartitions("ts") if ordered else x).write.parquet(path)
+    lo, hi = x.agg(F.min(micros(F.col("ts"))), F.max(micros(F.col("ts")))).first()
+    step = (hi - lo) // files + 1
+    part = F.floor((micros(F.col("ts")) - lo) / step)
+    for i in range(files):
+        x.filter(part == i).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -63,7 +71,7 @@ def m4(spark, d):
 WITH r AS (SELECT concat('run', user_id) AS run_id, min(ts) AS started, CASE WHEN user_id % 3 = 0 THEN max(ts) - INTERVAL 20 DAY END AS exited, CASE WHEN user_id % 4 = 0 THEN 86400.0 ELSE 2592000.0 END AS timeout_s FROM events GROUP BY user_id),
 x AS (SELECT concat('run', user_id) AS run_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nxt FROM events), i AS (SELECT x.run_id, min(greatest((epoch_us(x.ts) - epoch_us(r.started)) / 1e6 + 86400, 172800.0)) AS idle_s FROM x JOIN r ON r.run_id = x.run_id
  WHERE (nxt IS NULL OR nxt - x.ts >= INTERVAL 1 DAY) AND (nxt IS NULL OR greatest((epoch_us(x.ts) - epoch_us(r.started)) / 1e6 + 86400, 172800.0) <= (epoch_us(nxt) - epoch_us(r.started)) / 1e6) GROUP BY 1),
-z AS (SELECT r.run_id, coalesce(greatest((epoch_us(exited) - epoch_us(started)) / 1e6, 3600), 1e18) AS e, coalesce(idle_s, 1e18) AS i, timeout_s AS t FROM r LEFT JOIN i ON r.run_id = i.run_id)
+z AS (SELECT r.run_id, CASE WHEN exited IS NULL THEN 1e18 ELSE greatest((epoch_us(exited) - epoch_us(started)) / 1e6, 3600) END AS e, coalesce(idle_s, 1e18) AS i, timeout_s AS t FROM r LEFT JOIN i ON r.run_id = i.run_id)
 SELECT run_id, CASE WHEN e <= i AND e <= t THEN 'exit' WHEN i <= t AND i <= e THEN 'idle' ELSE 'timeout' END AS reason, round(least(e, i, t), 3) AS stop_s FROM z""")
 def m4_stop(spark, d):
     e = table(spark, d, "events").select(F.concat(F.lit("run"), F.col("user_id")).alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), "user_id")

@@ -104,7 +104,7 @@ class SlidingCount(StatefulProcessor):
         self.times = handle.getMapState("times", "us bigint", "c bigint")
         self.done = handle.getValueState("done", "at bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         fresh = False
         for pdf in rows:
             for us, c in pdf.groupby("us")["us"].size().items():
@@ -127,7 +127,7 @@ class SlidingCount(StatefulProcessor):
                 yield pd.DataFrame([(*key[:-1], int(key[-1]), us, total)], columns=self.columns)
                 return
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.times.clear()
         self.done.clear()
         return iter(())
@@ -179,7 +179,7 @@ class Silence(StatefulProcessor):
         self.state = handle.getValueState("s", "calls bigint, last_call bigint, capped boolean, told boolean")
         self.after = handle.getMapState("after", "us bigint", "c bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         calls, last, capped, told = self.state.get() if self.state.exists() else (0, -1, False, False)
         for pdf in rows:
             calls += int((pdf["kind"] != "host").sum()) - int((pdf["kind"] == "cap").sum())
