@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from detectframe import fixed
 from detectframe.catalog.base import adapter, query, table
 from detectframe.functions.scalar import micros
 from detectframe.operators import rules as R
@@ -198,7 +199,8 @@ def flagship(spark, d):
     alerts = R.build_alert(alerts, R.rule_table(spark, rs))
     alerts = enrich_techniques(alerts, technique_map(spark), F.col("rule_techniques"))
     alerts = alerts.withColumn("run_id", F.concat_ws("/", "run_id", "ProcessId")).withColumn("in_scope", F.lit(True))
-    scored = S.classify_alert(alerts)
-    v = S.verdict(scored, scored)
-    mass = scored.groupBy("run_id").agg(F.max(F.col("rule_id") == "r-mass").alias("mass_write"))
-    return v.join(mass, "run_id").select("run_id", F.col("score").cast("bigint").alias("score"), "level", "n_findings", "mass_write")
+    # every alert is in scope here, so the findings alone give the score: one pass, two aggregations
+    f = S.findings(S.classify_alert(alerts))
+    score = F.least(F.sum("weight"), F.lit(fixed.ALERT_SCORE_CAP)).cast("bigint")
+    v = f.groupBy("run_id").agg(score.alias("score"), F.count("*").alias("n_findings"), F.max(F.col("group_key") == "sigma:r-mass").alias("mass_write"))
+    return v.select("run_id", "score", S.level_of(F.col("score")).alias("level"), "n_findings", "mass_write")

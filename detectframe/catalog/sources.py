@@ -181,7 +181,7 @@ def a12(spark, d):
 @query("a13_cap_events", using="tel", oracle="""
 SELECT run_id, seq, c > 100 AS truncated FROM (SELECT run_id, seq, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS r, count(*) OVER (PARTITION BY run_id) AS c FROM tel) x WHERE r <= 100""")
 def a13(spark, d):
-    return N.cap_events(adapter(spark, d, "tel"), 100).select("run_id", "seq", "truncated")
+    return N.cap_events(adapter(spark, d, "tel").select("run_id", "seq"), 100).select("run_id", "seq", "truncated")
 
 
 @query("a14_run_summary", using="runs", oracle="""

@@ -64,11 +64,15 @@ def kv_bool(kv: Column, key: str) -> Column:
 def entropy_text(s: Column) -> Column:
     """K3: Shannon entropy of the characters, bits; empty or NULL -> 0."""
     def bits(x):
-        n = F.char_length(x).cast("double")
-        share = lambda c: (n - F.char_length(F.replace(x, c, F.lit("")))) / n
-        return F.aggregate(F.array_distinct(F.split(x, "")), F.lit(0.0), lambda acc, c: acc - let(share(c), lambda p: p * F.log2(p)))
+        # occurrences of a character by the bytes its removal saves
+        def share(c):
+            t = x["t"]
+            return (F.octet_length(t) - F.octet_length(F.replace(t, c, F.lit("")))) / F.octet_length(c) / x["n"]
 
-    return F.when(F.coalesce(F.char_length(s), F.lit(0)) > 0, let(s, bits)).otherwise(F.lit(0.0))
+        return F.aggregate(F.array_distinct(F.split(x["t"], "")), F.lit(0.0), lambda acc, c: acc - let(share(c), lambda p: p * F.log2(p)))
+
+    bound = F.struct(s.alias("t"), F.char_length(s).cast("double").alias("n"))
+    return F.when(F.coalesce(F.octet_length(s), F.lit(0)) > 0, let(bound, bits)).otherwise(F.lit(0.0))
 
 
 def entropy_bytes(content: Column) -> Column:
@@ -109,18 +113,13 @@ def hex_to_int(h: Column) -> Column:
     return F.when(digits.rlike("^[0-9a-f]{1,16}$"), F.conv(digits, 16, 10).try_cast("bigint"))
 
 
-def base0_int(v: Column) -> Column:
-    """Integer text of base 10, or base 16 when it starts with 0x."""
-    s = F.trim(v.cast("string"))
-    return F.when(s.rlike("^0[xX][0-9a-fA-F]+$"), hex_to_int(s)).when(
-        s.rlike("^([1-9][0-9]*|0+)$"), s.try_cast("bigint")
-    )
-
-
 def hex8(v: Column) -> Column:
     """K6: ``0x%08x`` of an integer text; other text is returned as it is."""
-    h = F.lower(F.hex(base0_int(v)))
-    padded = F.when(F.length(h) < 8, F.lpad(h, 8, "0")).otherwise(h)
+    text = F.trim(v.cast("string"))
+    digits = F.when(text.rlike("^0[xX][0-9a-fA-F]{1,16}$"), F.regexp_replace(F.lower(F.substring(text, 3, 16)), "^0+(?=.)", "")).when(
+        text.rlike("^([1-9][0-9]*|0+)$"), F.lower(F.hex(text.try_cast("bigint")))
+    )
+    padded = let(digits, lambda h: F.when(F.length(h) < 8, F.lpad(h, 8, "0")).otherwise(h))
     return F.coalesce(F.concat(F.lit("0x"), padded), v.cast("string"))
 
 

@@ -21,12 +21,13 @@ from detectframe.operators import scoring as S
 from detectframe.operators import sequence as G
 from detectframe.operators import triage as T
 from detectframe.operators import windows as W
-from detectframe.schema import opt
+from detectframe.schema import fld, opt
 
 #: Provider fields an alert keeps, besides the envelope.
 FIELDS = [
     "ProcessId", "ProcessGuid", "SourceProcessId", "SourceProcessGuid", "TargetProcessId", "Image", "SourceImage", "ImageLoaded",
     "TargetObject", "Details", "PipeName", "QueryName", "DestinationHostname", "StartAddress", "User", "Query", "Type", "BurstKind", "Threat Name", "Severity Name",
+    "Signed", "SignatureStatus",
 ]
 _ENVELOPE = ["run_id", "seq", "ts", "source", "event_id", "event_type"]
 
@@ -38,19 +39,16 @@ class Detection:
     reasons: DataFrame
 
 
-def _flat(events: DataFrame) -> DataFrame:
-    from detectframe.schema import fld
-
-    have = [c for c in _ENVELOPE if c in events.columns]
-    return events.select(*have, *[fld(events, f).cast("string").alias(f) for f in FIELDS])
+def with_fields(events: DataFrame) -> DataFrame:
+    """Events with the fields alerts keep as columns of their own (taken from ``data`` once)."""
+    missing = [f for f in FIELDS if f not in events.columns]
+    return events.select("*", *[fld(events, f).cast("string").alias(f) for f in missing])
 
 
 def alert_rows(events: DataFrame, runs: DataFrame, ruleset: R.RuleSet, both_apis: list[str]) -> DataFrame:
     """Alerts of every producer, before priority and scope."""
-    flat = _flat(events)
-    picked = T.select_alert_events(flat.join(events.select("run_id", "seq", *[c for c in ("Signed", "SignatureStatus") if c in events.columns]), ["run_id", "seq"])
-                                   if {"Signed", "SignatureStatus"} <= set(events.columns) else flat)
-    out = picked.select(*_ENVELOPE, *FIELDS, "in_scope")
+    events = with_fields(events)
+    out = T.select_alert_events(events).select(*_ENVELOPE, *FIELDS, "in_scope")
 
     late = F.lit(1 << 60)  # synthesized alerts come after the events
     text = lambda c: c.cast("string")
@@ -75,7 +73,7 @@ def alert_rows(events: DataFrame, runs: DataFrame, ruleset: R.RuleSet, both_apis
         text(F.col("pid")).alias("ProcessId"))
     driver = G.driver_alerts(events).select("run_id", "seq", "ts", F.lit("guardian").alias("source"), "event_id", "event_type", "ProcessId", "TargetProcessId", F.col("detail").alias("Type"))
     rules = R.rule_table(events.sparkSession, ruleset)
-    hits = R.apply_rules(events, ruleset, keep=["run_id", "seq"]).join(flat, ["run_id", "seq"])
+    hits = R.apply_rules(events, ruleset, keep=[*_ENVELOPE, *FIELDS])
     for part in (bursts, net, av, sig, blind, silent, driver):
         out = out.unionByName(part, allowMissingColumns=True)
     ruled = R.build_alert(hits, rules).select(*_ENVELOPE, *FIELDS, "rule_id", "title", "level", "rule_techniques", "event_source")

@@ -106,16 +106,28 @@ def filetime_to_ts(ticks: Column) -> Column:
     return F.timestamp_micros(F.call_function("div", ticks.cast("bigint"), F.lit(10)) - F.lit(11_644_473_600_000_000))
 
 
-def cap_events(events: DataFrame, n: int = fixed.MAX_CAPTURE_EVENTS, key: str = "run_id", order: str = "seq") -> DataFrame:
-    """The first n events per capture, with a flag that more existed.
+def first_n(df: DataFrame, key: str, order: str, n: int, width: int = 4096) -> DataFrame:
+    """First ``n`` rows per key by an integer order column, without sorting a key in one task.
 
-    The flag comes from a count per capture (partial, small), the cut from a rank
-    that Spark limits inside every task first.
+    Row counts per (key, stretch of ``width`` order values) tell which stretch
+    holds the last kept row; stretches before it are kept whole and only rows of
+    that one are ranked.
     """
+    x = df.withColumn("__b", F.floor(F.col(order) / width))
+    counts = x.groupBy(key, "__b").agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    kept = counts.withColumn("__before", F.coalesce(F.sum("__c").over(w), F.lit(0))).filter(F.col("__before") < n)
+    x = x.join(kept, [key, "__b"])
+    edge = F.col("__before") + F.col("__c") > n
+    rank = F.row_number().over(Window.partitionBy(key, "__b").orderBy(order))
+    last = x.filter(edge).withColumn("__rn", rank).filter(F.col("__before") + F.col("__rn") <= n).drop("__rn")
+    return x.filter(~edge).unionByName(last).drop("__b", "__c", "__before")
+
+
+def cap_events(events: DataFrame, n: int = fixed.MAX_CAPTURE_EVENTS, key: str = "run_id", order: str = "seq") -> DataFrame:
+    """The first n events per capture, with a flag that more existed."""
     total = events.groupBy(key).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(key).orderBy(order)
-    kept = events.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")
-    return kept.join(total, key).withColumn("truncated", F.col("__n") > n).drop("__n")
+    return first_n(events, key, order, n).join(total, key).withColumn("truncated", F.col("__n") > n).drop("__n")
 
 
 def missing_ids(events: DataFrame) -> DataFrame:
