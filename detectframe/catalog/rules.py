@@ -69,10 +69,9 @@ SELECT m.rule_id, m.error, t.n_events FROM m, (SELECT count(*) AS n_events FROM
 def c1(spark, d):
     rs = ruleset()
     rows = [(i, True) for i, _ in rs.errors] + [(r.rule_id, False) for r in rs.rules] + [(c["rule"]["id"], False) for c in rs.correlations]
-    from detectframe.scale import literal_table
-
     n = adapter(spark, d, "tel").agg(F.count("*").alias("n_events"))
-    return n.join(literal_table(spark, rows, "rule_id string, error boolean"))
+    found = F.array(*[F.struct(F.lit(i).alias("rule_id"), F.lit(bad).alias("error")) for i, bad in rows])
+    return n.select("n_events", F.explode(found).alias("x")).select("x.rule_id", "x.error", "n_events")
 
 
 @query("c2_active_rules", using="tel", oracle=f"""

@@ -36,7 +36,10 @@ def page_events(events: DataFrame, offset=0, limit=200, types=None, sources=None
 
 def page_totals(events: DataFrame, filtered: DataFrame) -> DataFrame:
     """Total and filtered total as one row."""
-    return events.agg(F.count("*").alias("total")).join(F.broadcast(filtered.agg(F.count("*").alias("filtered_total"))))
+    zero = F.lit(0).cast("bigint")
+    both = events.agg(F.count("*").alias("total"), zero.alias("filtered_total")).unionByName(
+        filtered.agg(zero.alias("total"), F.count("*").alias("filtered_total")))
+    return both.agg(F.sum("total").alias("total"), F.sum("filtered_total").alias("filtered_total"))
 
 
 def filter_alerts(alerts: DataFrame, scope: str | None = None, event_type: str | None = None, q: str | None = None) -> DataFrame:

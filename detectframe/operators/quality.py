@@ -250,7 +250,8 @@ def gate(rate_rows: DataFrame, boundary: DataFrame, limits: dict = fixed.GATE) -
     r = rate_rows.groupBy().pivot("threshold", ["malicious-only", "suspicious-or-worse"]).agg(
         F.first("precision").alias("p"), F.first("recall").alias("r"), F.first("fpr").alias("f"),
         F.first(F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n"))
-    x = r.join(F.broadcast(boundary.select("violations")))  # one row each
+    both = r.unionByName(boundary.select("violations"), allowMissingColumns=True)  # one row each
+    x = both.agg(*[F.max(F.col(f"`{c}`")).alias(c) for c in both.columns])
     recall, fpr = F.coalesce("suspicious-or-worse_r", F.lit(0.0)), F.coalesce("suspicious-or-worse_f", F.lit(0.0))
     prec = F.coalesce("malicious-only_p", F.lit(1.0))
     row = lambda name, value, limit: F.struct(F.lit(name).alias("check"), value.cast("double").alias("value"), F.lit(float(limit)).alias("limit"))

@@ -42,8 +42,9 @@ def cursor_next(events: DataFrame, offset: int, limit: int, q: str | None = None
     """M2: the cursor after :func:`cursor_read`: past the page if it is full, else past the end."""
     got = cursor_read(events, offset, limit, q).agg(F.count("*").alias("n"), F.max("seq").alias("last"))
     end = events.agg(F.max("seq").alias("end"))
+    one = got.unionByName(end, allowMissingColumns=True).agg(F.max("n").alias("n"), F.max("last").alias("last"), F.max("end").alias("end"))
     full = F.col("n") >= limit
-    return got.join(F.broadcast(end)).select(
+    return one.select(
         F.greatest(F.lit(offset), F.when(full, F.col("last") + 1).otherwise(F.col("end") + 1)).alias("next_offset"), F.col("n").alias("returned"))
 
 
