@@ -7,12 +7,16 @@ from detectframe.catalog.base import adapter, query, table
 from detectframe.operators import calls as P
 from detectframe.operators.joins import trace_rows
 
-SPECS = [
-    P.CallSpec("allocates", apis=["VirtualAlloc"], severity=2, description="allocates memory"),
-    P.CallSpec("cross_write", apis=["WriteProcessMemory"], categories=["memory"], where=F.col("args")["ProcessHandle"] != "0xffffffff", severity=3, description="writes elsewhere"),
-    P.CallSpec("crypto_calls", categories=["crypto"], severity=1),
-    P.CallSpec("app3_sleeps", apis=["Sleep"], process_names=["APP3.exe"], severity=6),
-]
+
+def specs():
+    """Call signatures of our own (built on use: a Column needs a session)."""
+    elsewhere = F.col("args")["ProcessHandle"] != "0xffffffff"
+    return [
+        P.CallSpec("allocates", apis=["VirtualAlloc"], severity=2, description="allocates memory"),
+        P.CallSpec("cross_write", apis=["WriteProcessMemory"], categories=["memory"], where=elsewhere, severity=3, description="writes elsewhere"),
+        P.CallSpec("crypto_calls", categories=["crypto"], severity=1),
+        P.CallSpec("app3_sleeps", apis=["Sleep"], process_names=["APP3.exe"], severity=6),
+    ]
 
 
 def _calls(spark, d):
@@ -57,7 +61,7 @@ mt AS (SELECT run_id, signature, min(seq) AS first_seq, arg_min(pid, seq) AS pid
 
 
 def matches(spark, d):
-    return P.call_signature(P.call_rows(_calls(spark, d)), SPECS)
+    return P.call_signature(P.call_rows(_calls(spark, d)), specs())
 
 
 @query("p3_call_signature", using="calls tel", oracle=f"WITH {_ROWS.strip()} SELECT * FROM mt")
@@ -99,7 +103,7 @@ def p6(spark, d):
 @query("p7_emit_match", using="calls tel", oracle=f"""
 WITH {_ROWS.strip()} SELECT run_id, signature AS name, pid, CASE signature WHEN 'allocates' THEN 'medium' ELSE 'high' END AS severity, CASE signature WHEN 'allocates' THEN 'allocates memory' WHEN 'cross_write' THEN 'writes elsewhere' ELSE '' END AS about FROM mt WHERE signature <> 'crypto_calls'""")
 def p7(spark, d):
-    a = P.emit_match(matches(spark, d), P.spec_table(spark, SPECS), min_severity=2)
+    a = P.emit_match(matches(spark, d), P.spec_table(spark, specs()), min_severity=2)
     return a.select("run_id", F.col("Name").alias("name"), F.col("ProcessId").alias("pid"), F.col("SeverityStr").alias("severity"), F.col("Description").alias("about"))
 
 
