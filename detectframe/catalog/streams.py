@@ -28,15 +28,23 @@ def as_stream(df, files: int = 4):
     return spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def _with_rocksdb(spark, run):
-    """Stateful operators need this provider; the session's own setting is put back."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, S.ROCKSDB)
+def _stateful(spark, run):
+    """Run a stateful stream with the state store it needs; the session's settings are put back.
+
+    In local mode the state has as many partitions as there are threads; on a
+    cluster the session's own number stays.
+    """
+    wanted = {"spark.sql.streaming.stateStore.providerClass": S.ROCKSDB}
+    if spark.sparkContext.master.startswith("local"):
+        wanted["spark.sql.shuffle.partitions"] = str(spark.sparkContext.defaultParallelism)
+    old = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         return run()
     finally:
-        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 @query("m1_tail", oracle="SELECT event_id, user_id, event_type FROM events")
@@ -85,7 +93,7 @@ def m4_stop(spark, d):
 def m4_stream(spark, d):
     """The same sessions from a stream; the last session of a run stays open until the watermark passes."""
     e = table(spark, d, "events").select(F.concat(F.lit("run"), F.col("user_id") % 10).alias("run_id"), "ts")
-    return S.run_to_table(S.activity_sessions(as_stream(e), "2 hours", "1 minute"), "sessions").select("run_id", "start", "idle_from", "n")
+    return _stateful(spark, lambda: S.run_to_table(S.activity_sessions(as_stream(e), "2 hours", "1 minute"), "sessions")).select("run_id", "start", "idle_from", "n")
 
 
 @query("m5_rules_stream", using="tel", oracle=f"WITH {MATCHES.strip()} SELECT run_id, seq, rule_id FROM matches")
@@ -100,7 +108,7 @@ def m6(spark, d):
     """Keys that reach three writes within a day, told by the stream as they do."""
     t = adapter(spark, d, "tel").select("run_id", "ProcessId", "event_type", "ts")
     hit = F.col("event_type") == "FileCreate"
-    out = _with_rocksdb(spark, lambda: S.run_to_table(S.event_count_stream(as_stream(t), hit, ["run_id", "ProcessId"], 86400, 3), "counts"))
+    out = _stateful(spark, lambda: S.run_to_table(S.event_count_stream(as_stream(t), hit, ["run_id", "ProcessId"], 86400, 3), "counts"))
     return out.select("run_id", F.col("ProcessId").alias("pid")).distinct()
 
 
@@ -108,7 +116,8 @@ def m6(spark, d):
 def m6_tumbling(spark, d):
     """The weaker form on built-in windows (rows of closed windows only)."""
     t = adapter(spark, d, "tel").select("run_id", "ProcessId", "event_type", "ts")
-    return S.run_to_table(S.event_count_tumbling(as_stream(t), F.col("event_type") == "FileCreate", ["run_id", "ProcessId"], 86400, 3), "tumbling")
+    hit = F.col("event_type") == "FileCreate"
+    return _stateful(spark, lambda: S.run_to_table(S.event_count_tumbling(as_stream(t), hit, ["run_id", "ProcessId"], 86400, 3), "tumbling"))
 
 
 @query("m7_dedup_stream", oracle="SELECT event_id, user_id FROM events")
@@ -116,7 +125,7 @@ def m7(spark, d):
     """Every row delivered twice, as after a restart."""
     e = table(spark, d, "events").select("event_id", "user_id", "ts")
     twice = e.unionByName(e.select("event_id", "user_id", "ts"))
-    return S.run_to_table(S.dedup_stream(as_stream(twice), ["event_id"], "1 day").select("event_id", "user_id"), "dedup")
+    return _stateful(spark, lambda: S.run_to_table(S.dedup_stream(as_stream(twice), ["event_id"], "1 day").select("event_id", "user_id"), "dedup"))
 
 
 @query("m8_silence_stream")
@@ -125,7 +134,7 @@ def m8(spark, d):
     t = trace_and_host(spark, d).withColumn("ProcessId", F.coalesce("SourceProcessId", "ProcessId"))
     both = sorted({a for apis in fixed.EVENT_CALLS.values() for a in apis})
     stream = as_stream(t.select("run_id", "ts", "source", "Api", "ProcessId"))
-    return _with_rocksdb(spark, lambda: S.run_to_table(S.silence_stream(stream, both, min_events=3, min_s=6 * 3600), "silence", "update"))
+    return _stateful(spark, lambda: S.run_to_table(S.silence_stream(stream, both, min_events=3, min_s=6 * 3600), "silence", "update"))
 
 
 @query("m9_late_events", oracle="SELECT count(*) AS total, count(DISTINCT event_id) AS distinct_ids, count(*) FILTER (WHERE event_id % 50 = 0 AND ts < TIMESTAMP '2024-01-20 00:00:00') > 0 AS some_late FROM events")
