@@ -32,13 +32,13 @@ from detectframe.llm.common import WORDS, mix, pick, shingle_hashes, strings, te
 from detectframe.llm.components import components
 from detectframe.scale import cut
 
-TREES, BRANCHES, DEPTH = 10, 4, 3
-#: Members of a node that is compared exhaustively, and of a block of a larger one.
-NODE, BLOCK = 256, 256
-#: Values of a sketch; pairs of sets of at least ``SURE`` shingles are dropped below ``FAR`` of the threshold.
-SKETCH, SURE, FAR = 64, 256, 0.62
+TREES, BRANCHES, DEPTH = 10, 3, 3
+#: Members of a node that branches, and of a block in which nodes are compared exhaustively.
+NODE, BLOCK = 1024, 256
+#: Values of a sketch, and by how many standard deviations its estimate may fall short of the threshold.
+SKETCH, SHORT = 128, 4.5
 _SEEDS = mix(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
-_BINS = (np.arange(SKETCH, dtype=np.uint64) << np.uint64(58)).astype(np.uint64)
+_BINS = np.arange(SKETCH, dtype=np.uint64) << np.uint64(57)
 
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
@@ -53,7 +53,14 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     full = at < end
     where = np.flatnonzero(full)
     lender = where[np.searchsorted(where, np.arange(SKETCH)) % len(where)]
-    return (shingles[at[lender]] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return (shingles[at[lender]] & np.uint64(0xFFFF)).astype(np.uint16)
+
+
+def _fewest(n: np.ndarray, percent: int) -> np.ndarray:
+    """Equal sketch values below which sets of (at least) n shingles are too far apart to be similar."""
+    own = SKETCH * (1 - np.exp(-n / SKETCH))  # ranges that are not empty
+    p = percent / 100
+    return SKETCH * (p - SHORT * np.sqrt(p * (1 - p) / np.maximum(own, 1)))
 
 
 def _features(k: int):
@@ -103,9 +110,9 @@ def _likely(percent: int):
             if not b.num_rows:
                 continue
             n, m = b.column("na").to_numpy(), b.column("nb").to_numpy()
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, SKETCH) for c in ("ka", "kb"))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, SKETCH) for c in ("ka", "kb"))
             same = (x == y).sum(axis=1)
-            keep = _similar(n, m, percent) & ((np.minimum(n, m) < SURE) | (same >= FAR * percent / 100 * SKETCH))
+            keep = _similar(n, m, percent) & (same >= _fewest(np.minimum(n, m), percent))
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
     return run
@@ -128,26 +135,29 @@ def _confirmed(percent: int):
     return run
 
 
-def _forest(pairs: np.ndarray, comp: np.ndarray) -> list[int]:
+def _forest(p: np.ndarray, q: np.ndarray, comp: np.ndarray) -> list[int]:
     """Places of pairs (in the given order) that join components not yet joined."""
-    root = {c: c for c in set(comp.tolist())}
+    names, number = np.unique(comp, return_inverse=True)
+    root, left, kept = list(range(len(names))), len(names) - 1, []
 
     def find(c: int) -> int:
         while root[c] != c:
             root[c] = c = root[root[c]]
         return c
 
-    kept = []
-    for i, (p, q) in enumerate(pairs):
-        x, y = find(int(comp[p])), find(int(comp[q]))
+    for i, (x, y) in enumerate(zip(number[p].tolist(), number[q].tolist())):
+        x, y = find(x), find(y)
         if x != y:
             root[max(x, y)] = min(x, y)
             kept.append(i)
+            left -= 1
+            if not left:
+                break
     return kept
 
 
 def _node_pairs(percent: int, forest: bool):
-    """Likely pairs between components inside each node row (``own`` and, for two blocks, ``other`` members)."""
+    """Likely pairs between components inside each node row (of two blocks: between the sides)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,28 +165,32 @@ def _node_pairs(percent: int, forest: bool):
             lists = batch.column("members")
             starts, flat = lists.offsets.to_numpy(), lists.values
             key, comp, n, side = (flat.field(f).to_numpy() for f in ("key", "comp", "n", "side"))
-            sk = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint32).reshape(-1, SKETCH)
+            sk = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint16).reshape(-1, SKETCH)
             two = batch.column("two").to_numpy(zero_copy_only=False)
             for i in range(batch.num_rows):
                 r = np.arange(starts[i], starts[i + 1])
-                left, right = (r[side[r] == 0], r[side[r] == 1]) if two[i] else (r, r)
-                if not len(left) or not len(right):
+                # the largest component needs no comparing with itself: the others stand against all
+                names, number, size = np.unique(comp[r], return_inverse=True, return_counts=True)
+                left = r[number != size.argmax()]
+                if not len(left):
                     continue
-                same = np.zeros((len(left), len(right)), np.int16)
+                same = np.zeros((len(left), len(r)), np.int16)
                 for j in range(SKETCH):
-                    same += sk[left, j][:, None] == sk[right, j][None, :]
-                nl, nr = n[left][:, None], n[right][None, :]
-                ok = (comp[left][:, None] != comp[right][None, :]) & _similar(nl, nr, percent) & ((np.minimum(nl, nr) < SURE) | (same >= FAR * percent / 100 * SKETCH))
-                if not two[i]:
-                    ok = np.triu(ok, 1)
+                    same += sk[left, j][:, None] == sk[r, j][None, :]
+                nl, nr = n[left][:, None], n[r][None, :]
+                ok = (comp[left][:, None] != comp[r][None, :]) & _similar(nl, nr, percent) & (same >= _fewest(np.minimum(nl, nr), percent))
+                # a pair of two others appears twice
+                ok &= (comp[r] == names[size.argmax()])[None, :] | (key[left][:, None] < key[r][None, :])
+                if two[i]:
+                    ok &= side[left][:, None] != side[r][None, :]
                 p, q = np.nonzero(ok)
                 if forest and len(p):
                     best = np.argsort(-same[p, q], kind="stable")
                     p, q = p[best], q[best]
-                    kept = _forest(np.column_stack([left[p], right[q]]), comp)
+                    kept = _forest(left[p] - starts[i], q, comp[r])
                     p, q = p[kept], q[kept]
                 out_a.append(key[left[p]])
-                out_b.append(key[right[q]])
+                out_b.append(key[r[q]])
             if out_a:
                 a, b = np.concatenate(out_a), np.concatenate(out_b)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -190,7 +204,7 @@ def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not b.num_rows:
             continue
         node = b.column("node").to_numpy().astype(np.uint64)
-        sk = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint32).reshape(-1, SKETCH)
+        sk = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint16).reshape(-1, SKETCH)
         for j in range(BRANCHES):
             branch = mix(node + np.uint64(j + 1))
             token = sk[np.arange(len(sk)), (branch % np.uint64(SKETCH)).astype(np.int64)]
@@ -215,30 +229,38 @@ def _between(nodes: DataFrame, reps: DataFrame, comp: DataFrame, percent: int, f
         full = level.join(known, "key")
         open_ = full.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node", "size")
         full = cut(full.join(open_, "node"), "level")
-        member = lambda side: F.struct("key", "comp", "n", "sketch", side.alias("side"))
-        small = full.where(F.col("size") <= NODE).groupBy("node").agg(F.collect_list(member(F.lit(0))).alias("members")).select("members", F.lit(False).alias("two"))
+        flat = full.where(F.col("size") <= NODE)
         large = full.where(F.col("size") > NODE)
-        parts = [small]
-        if depth < DEPTH:
+        more = depth < DEPTH and bool(large.limit(1).count())
+        if more:
             children = cut(large.select("node", "key", "sketch").mapInArrow(_children, "node long, child long, key long"), "children")
             dense = children.groupBy("node", "child").count().join(open_, "node").where("2 * count > size").select("node").distinct()
             level = children.join(dense, "node", "left_anti").select(F.col("child").alias("node"), "key").distinct()
-            large = large.join(dense, "node", "left_semi")
+            flat = flat.unionAll(large.join(dense, "node", "left_semi"))
+        elif depth == DEPTH:
+            flat = full
         # in blocks: every pair of blocks meets once
         count = F.ceil(F.col("size") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("key"), count).cast("int")
-        blocks = large.withColumn("own", own).withColumn("j", F.explode(F.sequence(F.lit(0), count - 1)))
+        blocks = flat.withColumn("own", F.pmod(F.xxhash64("key"), count).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), count - 1)))
         blocks = blocks.withColumn("x", F.least("own", "j")).withColumn("y", F.greatest("own", "j"))
-        parts.append(
-            blocks.groupBy("node", "x", "y").agg(F.collect_list(member((F.col("own") != F.col("x")).cast("int"))).alias("members")).select("members", (F.col("x") != F.col("y")).alias("two"))
-        )
-        pairs = parts[0].unionAll(parts[1]).mapInArrow(_node_pairs(percent, forest), "a long, b long")
+        member = F.struct("key", "comp", "n", "sketch", (F.col("own") != F.col("x")).cast("int").alias("side"))
+        rows = blocks.groupBy("node", "x", "y").agg(F.collect_list(member).alias("members")).select("members", (F.col("x") != F.col("y")).alias("two"))
+        pairs = rows.mapInArrow(_node_pairs(percent, forest), "a long, b long")
         found = pairs if found is None else found.unionAll(pairs)
-        if depth < DEPTH and not level.limit(1).count():
+        if not more:
             break
     return cut(found.distinct(), "pairs")
 
 
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after some more links."""
+    at = lambda x: comp.select(F.col("key").alias(x), F.col("component").alias(f"c{x}"))
+    between = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    roots = components(between)
+    moved = comp.join(roots.select(F.col("key").alias("component"), F.col("component").alias("root")), "component", "left")
+    return cut(moved.select("key", F.coalesce("root", "component").alias("component")).unionAll(roots.join(comp, "key", "left_anti")), "components")
+
+
 def near_duplicates(corpus: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``key, n_shingles, component`` of every row of ``(key, text)``; the component is its least key."""
     feats = cut(corpus.select("key", "text").mapInArrow(_features(k), "key long, n long, s0 long, s1 long, tokens array<long>, sketch binary"), "features")
@@ -260,8 +282,7 @@ def near_duplicates(corpus: DataFrame, k: int = 5, percent: int = 80) -> DataFra
         more = _confirm(pairs, corpus, k, percent)
         if not more.limit(1).count():
             continue
-        links = links.unionAll(more)
-        comp = components(links)
+        comp = _joined(comp, more)
     of_class = classes.join(comp.withColumnRenamed("key", "rep"), "rep", "left").select("n", "s0", "s1", F.coalesce("component", "rep").alias("component"))
     out = feats.select("key", "n", "s0", "s1").join(of_class, ["n", "s0", "s1"], "left")
     return out.select("key", F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component"))
