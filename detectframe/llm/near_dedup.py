@@ -35,6 +35,8 @@ from detectframe.scale import cut
 TREES, BRANCHES, DEPTH = 10, 3, 3
 #: Members of a node that branches, and of a block in which nodes are compared exhaustively.
 NODE, BLOCK = 1024, 256
+#: Sets up to this size go along whole where all pairs between components are compared.
+WHOLE = 512
 #: Values of a sketch, and by how many standard deviations its estimate may fall short of the threshold.
 SKETCH, SHORT = 128, 4.5
 _SEEDS = mix(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
@@ -58,11 +60,25 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 def _fewest(n: np.ndarray, percent: int) -> np.ndarray:
     """Equal sketch values below which sets of (at least) n shingles are too far apart to be similar."""
-    own = SKETCH * (1 - np.exp(-n / SKETCH))  # ranges that are not empty
-    p = percent / 100
+    p, own = percent / 100, SKETCH * (1 - np.exp(-n / SKETCH))  # ranges that are not empty
     return SKETCH * (p - SHORT * np.sqrt(p * (1 - p) / np.maximum(own, 1)))
 
 
+def _common(members: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sorted sets, by pairs of places."""
+    if len(p) < 2000:
+        out = np.zeros(len(p), np.int64)
+        for i, (x, y) in enumerate(zip(p, q)):
+            both = np.concatenate([members[x], members[y]])
+            both.sort()
+            out[i] = (both[1:] == both[:-1]).sum()
+        return out
+    names, number = np.unique(np.concatenate(members), return_inverse=True)
+    table = np.zeros((len(members), len(names)), np.float32)
+    table[np.repeat(np.arange(len(members)), [len(m) for m in members]), number] = 1
+    return (table @ table.T).astype(np.int64)[p, q]
+
+
 def _features(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "n", "s0", "s1", "tokens", "sketch"]
@@ -97,6 +113,23 @@ def _sets(k: int):
     return run
 
 
+def _small(k: int):
+    """32-bit values of whole sets of at most ``WHOLE`` shingles (a collision can only keep a pair)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, at, _ = strings(b.column("text"))
+            keys, found = [], []
+            for i, key in enumerate(b.column("key").to_pylist()):
+                h = shingle_set(data[at[i] : at[i + 1]].tobytes(), k)
+                if len(h) <= WHOLE:
+                    keys.append(key)
+                    found.append(np.sort((h & np.uint64(0xFFFFFFFF)).astype(np.uint32)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["key", "small"])
+
+    return run
+
+
 def _similar(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of these sizes can reach the threshold."""
     return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
@@ -166,6 +199,7 @@ def _node_pairs(percent: int, forest: bool):
             starts, flat = lists.offsets.to_numpy(), lists.values
             key, comp, n, side = (flat.field(f).to_numpy() for f in ("key", "comp", "n", "side"))
             sk = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint16).reshape(-1, SKETCH)
+            small = [np.frombuffer(x or b"", np.uint32) for x in flat.field("small").to_pylist()]
             two = batch.column("two").to_numpy(zero_copy_only=False)
             for i in range(batch.num_rows):
                 r = np.arange(starts[i], starts[i + 1])
@@ -184,6 +218,15 @@ def _node_pairs(percent: int, forest: bool):
                 if two[i]:
                     ok &= side[left][:, None] != side[r][None, :]
                 p, q = np.nonzero(ok)
+                if not forest and len(p):  # whole sets decide at once where they are at hand
+                    x, y = left[p] - starts[i], q
+                    full = np.array([len(m) > 0 for m in small[starts[i] : starts[i + 1]]])
+                    known = full[x] & full[y]
+                    common = _common(small[starts[i] : starts[i + 1]], x[known], y[known])
+                    keep = np.ones(len(p), bool)
+                    total = n[left[p[known]]] + n[r[q[known]]]
+                    keep[known] = 100 * common >= percent * (total - common)
+                    p, q = p[keep], q[keep]
                 if forest and len(p):
                     best = np.argsort(-same[p, q], kind="stable")
                     p, q = p[best], q[best]
@@ -220,9 +263,16 @@ def _confirm(pairs: DataFrame, corpus: DataFrame, k: int, percent: int) -> DataF
     return cut(both.select("a", "b", "sa", "sb").mapInArrow(_confirmed(percent), "a long, b long"), "links")
 
 
-def _between(nodes: DataFrame, reps: DataFrame, comp: DataFrame, percent: int, forest: bool) -> DataFrame:
+def _between(nodes: DataFrame, reps: DataFrame, comp: DataFrame, corpus: DataFrame, k: int, percent: int, forest: bool) -> DataFrame:
     """Likely pairs between different components, over all nodes, branching the large ones."""
     known = reps.select("key", "n", "sketch").join(comp, "key", "left").select("key", "n", "sketch", F.coalesce("component", "key").alias("comp"))
+    if forest:
+        known = known.withColumn("small", F.lit(None).cast("binary"))
+    else:
+        comps = nodes.join(known.select("key", "comp"), "key")
+        mixed = comps.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node")
+        ids = cut(comps.join(mixed, "node", "left_semi").select("key").distinct(), "ids")
+        known = known.join(pick(corpus.select("key", "text"), ids).mapInArrow(_small(k), "key long, small binary"), "key", "left")
     found = None
     level = nodes
     for depth in range(DEPTH + 1):
@@ -243,7 +293,7 @@ def _between(nodes: DataFrame, reps: DataFrame, comp: DataFrame, percent: int, f
         count = F.ceil(F.col("size") / BLOCK).cast("int")
         blocks = flat.withColumn("own", F.pmod(F.xxhash64("key"), count).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), count - 1)))
         blocks = blocks.withColumn("x", F.least("own", "j")).withColumn("y", F.greatest("own", "j"))
-        member = F.struct("key", "comp", "n", "sketch", (F.col("own") != F.col("x")).cast("int").alias("side"))
+        member = F.struct("key", "comp", "n", "sketch", "small", (F.col("own") != F.col("x")).cast("int").alias("side"))
         rows = blocks.groupBy("node", "x", "y").agg(F.collect_list(member).alias("members")).select("members", (F.col("x") != F.col("y")).alias("two"))
         pairs = rows.mapInArrow(_node_pairs(percent, forest), "a long, b long")
         found = pairs if found is None else found.unionAll(pairs)
@@ -276,7 +326,7 @@ def near_duplicates(corpus: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     links = _confirm(cut(stars, "stars"), corpus, k, percent)
     comp = components(links)
     for forest in (True, False):
-        pairs = _between(nodes.select("node", "key"), reps, comp, percent, forest)
+        pairs = _between(nodes.select("node", "key"), reps, comp, corpus, k, percent, forest)
         if not pairs.limit(1).count():
             break
         more = _confirm(pairs, corpus, k, percent)
