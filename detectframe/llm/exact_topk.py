@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 #: Pivots, and the bounded sample (least hashes) from which they are picked far apart.
 PIVOTS, PIVOT_SAMPLE = 24, 1024
+#: Pivots whose bounds are taken for every candidate, before the others refine what is left.
+FIRST = 6
 QUERY_BLOCK, ROW_BLOCK = 4096, 16384
 #: Candidates that are evaluated at once.
 STEP = 256
@@ -58,29 +60,37 @@ def _best_of_block(queries: pd.DataFrame, rows: pd.DataFrame, pivots: dict[int,
     order = np.argsort(r_ids, kind="stable")
     r_ids, x = r_ids[order], x[order]
     big = max(np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(1, x.shape[1]), 1)
-    if big >= 2**53:  # doubles would round
-        q, x = q.astype(np.int64), x.astype(np.int64)
-    q_norm, x_norm = (np.square(a.astype(np.float64)).sum(axis=1) for a in (q, x))
-    pad = np.sqrt(np.maximum(top - x_norm, 0))
+    q_norm, x_norm = (np.square(a).sum(axis=1) for a in (q, x))
     p = pivots[x.shape[1]]
     p_norm = np.square(p).sum(axis=1)
+    q_dot, x_dot = q @ p.T, x @ p.T
+    exact = np.float32 if big < 2**24 else np.float64 if big < 2**53 else np.int64  # no rounding in scores
+    q, x = q.astype(exact), x.astype(exact)
+    pad = np.sqrt(np.maximum(top - x_norm, 0))
     # distances in the longer space; pivots keep their own last component at 0
-    q_far = np.sqrt(np.maximum(q_norm[:, None] + p_norm - 2 * (q @ p.T), 0))
-    x_far = np.sqrt(np.maximum(x_norm[:, None] + p_norm - 2 * (x @ p.T) + (pad**2)[:, None], 0))
+    q_far = np.sqrt(np.maximum(q_norm[:, None] + p_norm - 2 * q_dot, 0))
+    x_far = np.sqrt(np.maximum(x_norm[:, None] + p_norm - 2 * x_dot + (pad**2)[:, None], 0))
     columns = [np.ascontiguousarray(c, np.float32) for c in x_far.T]
     slack = 1e-4 * (top + 1) + 1e-3 * np.sqrt(top + 1)
+    bound = lambda i, low: (q_norm[i] + top - np.square(low.astype(np.float64))) / 2 + slack
     for i in range(len(q)):
-        low = np.zeros(len(x), np.float32)
-        for j, c in enumerate(columns):
-            np.maximum(low, np.abs(c - np.float32(q_far[i, j])), out=low)
-        limit = (q_norm[i] + top - np.square(low.astype(np.float64))) / 2 + slack
+        low = np.abs(columns[0] - np.float32(q_far[i, 0]))
+        for j in range(1, min(FIRST, len(columns))):
+            np.maximum(low, np.abs(columns[j] - np.float32(q_far[i, j])), out=low)
+        limit = bound(i, low)
         limit[r_ids == q_ids[i]] = -np.inf
         n_live, taken, kth = int((limit > -np.inf).sum()), 0, -np.inf
         ids, scores, step = np.zeros(0, np.int64), np.zeros(0), STEP
-        left = np.arange(len(x))
+        left, refined = np.arange(len(x)), False
         while n_live > taken:
             # the next best bounds among those that can still enter
             left = left[limit[left] >= kth] if taken else left[limit > -np.inf]
+            if taken and not refined:  # the other pivots only for what the first ones left over
+                own = low[left]
+                for j in range(FIRST, len(columns)):
+                    np.maximum(own, np.abs(columns[j][left] - np.float32(q_far[i, j])), out=own)
+                limit[left], refined = bound(i, own), True
+                left = left[limit[left] >= kth]
             if not len(left):
                 break
             if len(left) > step:
@@ -89,7 +99,10 @@ def _best_of_block(queries: pd.DataFrame, rows: pd.DataFrame, pivots: dict[int,
             else:
                 now, left = left, left[:0]
             taken += len(now)
-            ids, scores = np.concatenate([ids, r_ids[now]]), np.concatenate([scores, x[now] @ q[i]])
+            # many rows are multiplied in place, few are gathered
+            got = (x @ q[i])[now] if 8 * len(now) > len(x) else x[now] @ q[i]
+            now, got = now[got >= kth], got[got >= kth]
+            ids, scores = np.concatenate([ids, r_ids[now]]), np.concatenate([scores, got])
             best = np.lexsort((ids, -scores))
             best = best[np.sort(np.unique(ids[best], return_index=True)[1])][:k]  # one row per id
             ids, scores = ids[best], scores[best]
