@@ -3,7 +3,8 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from detectframe.catalog.base import adapter, query, table
+from detectframe import fixed
+from detectframe.catalog.base import CALL_NAMES, adapter, query, table
 from detectframe.operators import calls as P
 from detectframe.operators.joins import trace_rows
 
@@ -28,11 +29,12 @@ def _calls(spark, d):
     return c.unionByName(t, allowMissingColumns=True)
 
 
-@query("p1_alias_names", using="calls", oracle="""
-SELECT name, count(*) AS n FROM (SELECT unnest(CASE Api WHEN 'NtAllocateVirtualMemory' THEN ['NtAllocateVirtualMemory', 'VirtualAlloc', 'VirtualAllocEx', 'ZwAllocateVirtualMemory'] WHEN 'NtResumeThread' THEN ['NtResumeThread', 'ResumeThread', 'ZwResumeThread'] ELSE [Api] END) AS name FROM calls
-WHERE Api IN ('NtAllocateVirtualMemory', 'NtResumeThread', '__pipe_lost__')) x GROUP BY 1""")
+_NAMES = "CASE Api " + " ".join(f"WHEN '{a}' THEN {fixed.API_ALIASES[a]!r}" for a in CALL_NAMES if a in fixed.API_ALIASES) + " ELSE [Api] END"
+
+
+@query("p1_alias_names", using="calls", oracle=f"SELECT name, count(*) AS n FROM (SELECT unnest({_NAMES}) AS name FROM calls) x GROUP BY 1")
 def p1(spark, d):
-    c = adapter(spark, d, "calls").filter(F.col("Api").isin("NtAllocateVirtualMemory", "NtResumeThread", "__pipe_lost__")).select(F.col("Api").alias("api"))
+    c = adapter(spark, d, "calls").select(F.col("Api").alias("api"))
     return P.alias_names(c, P.alias_table(spark)).groupBy("name").agg(F.count("*").alias("n"))
 
 

@@ -69,7 +69,7 @@ def k7(spark, d):
 WITH x AS (SELECT doc_id, regexp_extract_all(text, '[\x20-\x7E]{4,}') AS s FROM documents) SELECT doc_id, CAST(least(len(s), 1000) AS bigint) AS n, coalesce(s[1], '') AS first, CAST(len(s) AS bigint) AS n_all FROM x""")
 def k8(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.size(K.extract_strings(t)).cast("bigint").alias("n"), F.coalesce(F.get(K.extract_strings(t), F.lit(0)), F.lit("")).alias("first"), F.size(K.extract_strings(t, max_n=None)).cast("bigint").alias("n_all"))
+    return table(spark, d, "documents").select("doc_id", F.size(K.extract_strings(t, max_n=1000)).cast("bigint").alias("n"), F.coalesce(F.get(K.extract_strings(t), F.lit(0)), F.lit("")).alias("first"), F.size(K.extract_strings(t, max_n=None)).cast("bigint").alias("n_all"))
 
 
 @query("k9_interesting_strings", oracle=r"""

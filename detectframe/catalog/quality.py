@@ -118,11 +118,11 @@ def n8(spark, d):
 
 
 @query("n9_split_stats", oracle=f"""
-WITH {_SPLIT.strip()}, al AS (SELECT key, split FROM asg WHERE length(key) < 3 UNION ALL SELECT key, split FROM fz)
+WITH {_SPLIT.strip()}, al AS (SELECT key, split FROM asg UNION ALL SELECT key, split FROM fz)
 SELECT stratum, count(*) FILTER (WHERE al.split = 'train') AS train, count(*) FILTER (WHERE al.split = 'test') AS test, count(*) FILTER (WHERE al.split IS NULL) AS unassigned FROM str LEFT JOIN al ON str.key = al.key GROUP BY 1""")
 def n9(spark, d):
     x, frozen = _split_rows(spark, d)
-    some = Q.stratified_split(x, frozen).filter(F.length("key") < 3).select("key", "split")
+    some = Q.stratified_split(x, frozen).select("key", "split")
     return Q.split_stats(x, some.unionByName(frozen))
 
 

@@ -52,7 +52,7 @@ _g("g7_crypto_burst", "ApitraceCryptoBurst", """
 SELECT run_id, actor, CAST(NULL AS bigint) AS target, min(seq) AS first_seq, concat(count(*), ' bulk encrypt/decrypt operations from one process') AS detail FROM c WHERE api IN ('BCryptEncrypt', 'BCryptDecrypt') GROUP BY 1, 2 HAVING count(*) >= 25""")
 _g("g8_token_manipulation", "ApitraceTokenManipulation", """, g AS (SELECT run_id, actor, min(seq) AS first_seq, bool_or(api = 'NtAdjustPrivilegesToken') AS ad, bool_or(api = 'NtOpenProcessToken') AS op, bool_or(api = 'NtDuplicateToken') AS du,
   arg_min(arg, seq) FILTER (WHERE api = 'NtAdjustPrivilegesToken') AS aarg, arg_min(target, seq) FILTER (WHERE api = 'NtOpenProcessToken') AS tgt FROM c WHERE api IN ('NtAdjustPrivilegesToken', 'NtOpenProcessToken', 'NtDuplicateToken') GROUP BY 1, 2)
-SELECT run_id, actor, CAST(NULL AS bigint) AS target, first_seq, CASE WHEN ad THEN concat('Privilege escalation followed by token action (', aarg, ')') ELSE concat('Token of process ', tgt, ' opened and duplicated (token theft)') END AS detail FROM g WHERE op AND (ad OR du)""")
+SELECT run_id, actor, tgt AS target, first_seq, CASE WHEN ad THEN concat('Privilege escalation followed by token action (', aarg, ')') ELSE concat('Token of process ', tgt, ' opened and duplicated (token theft)') END AS detail FROM g WHERE op AND (ad OR du)""")
 _g("g9_cross_process_read", "ApitraceCrossProcessRead", f"""
 SELECT run_id, actor, target, min(seq) AS first_seq, concat('Cross-process memory read from process ', target) AS detail FROM c WHERE api = 'NtReadVirtualMemory' AND target IS NOT NULL AND {_NOKID} GROUP BY 1, 2, 3""")
 _g("g10_anti_debug", "ApitraceAntiDebug", """

@@ -116,15 +116,11 @@ def a7(spark, d):
 
 
 @query("a7_time_order", using="tel calls", oracle="""
-SELECT row_number() OVER (ORDER BY ts NULLS FIRST, source, seq) AS pos, source, seq FROM (SELECT ts, source, seq FROM tel UNION ALL SELECT ts, source, seq FROM calls) u
-ORDER BY pos LIMIT 500""")
+SELECT row_number() OVER (ORDER BY ts NULLS FIRST, source, seq) AS pos, source, seq FROM (SELECT ts, source, seq FROM tel UNION ALL SELECT ts, source, seq FROM calls) u""")
 def a7_order(spark, d):
-    """First page of the merged time line (a top-k: no global sort)."""
-    from pyspark.sql import Window
-
+    """The whole merged time line with its positions."""
     u = N.unify(adapter(spark, d, "tel").select("ts", "source", "seq"), adapter(spark, d, "calls").select("ts", "source", "seq"))
-    top = u.orderBy(*N.time_order()).limit(500)
-    return top.withColumn("pos", F.row_number().over(Window.orderBy(*N.time_order())).cast("bigint")).select("pos", "source", "seq")
+    return N.positions(u, N.time_order()).select("pos", "source", "seq")
 
 
 @query("a8_source_health", oracle="""

@@ -61,30 +61,25 @@ def kv_bool(kv: Column, key: str) -> Column:
     return F.coalesce(kv[key].rlike(_TRUTHY_INT), F.lit(False))
 
 
-def entropy_text(s: Column) -> Column:
-    """K3: Shannon entropy of the characters, bits; empty or NULL -> 0."""
-    def bits(x):
-        # occurrences of a character by the bytes its removal saves
-        def share(c):
-            t = x["t"]
-            return (F.octet_length(t) - F.octet_length(F.replace(t, c, F.lit("")))) / F.octet_length(c) / x["n"]
+def _run_bits(symbols: Column, n: Column) -> Column:
+    """Entropy of a sorted array: one fold over its runs."""
+    add = lambda acc: F.when(acc["k"] > 0, acc["bits"] - acc["k"] / n * F.log2(acc["k"] / n)).otherwise(acc["bits"])
+    state = lambda last, k, bits: F.struct(last.alias("last"), k.alias("k"), bits.alias("bits"))
+    first = state(F.lit(""), F.lit(0.0), F.lit(0.0))
+    step = lambda acc, c: F.when(acc["last"] == c, state(c, acc["k"] + 1.0, acc["bits"])).otherwise(state(c, F.lit(1.0), add(acc)))
+    return F.aggregate(F.array_sort(symbols), first, step, add)
 
-        return F.aggregate(F.array_distinct(F.split(x["t"], "")), F.lit(0.0), lambda acc, c: acc - let(share(c), lambda p: p * F.log2(p)))
 
-    bound = F.struct(s.alias("t"), F.char_length(s).cast("double").alias("n"))
-    return F.when(F.coalesce(F.octet_length(s), F.lit(0)) > 0, let(bound, bits)).otherwise(F.lit(0.0))
+def entropy_text(s: Column) -> Column:
+    """K3: Shannon entropy of the characters, bits; empty or NULL -> 0."""
+    bits = _run_bits(F.split(s, ""), F.char_length(s).cast("double"))
+    return F.when(F.coalesce(F.octet_length(s), F.lit(0)) > 0, bits).otherwise(F.lit(0.0))
 
 
 def entropy_bytes(content: Column) -> Column:
     """K3: Shannon entropy of a binary column, rounded to 4 digits."""
-
-    def bits(pairs):
-        n = F.size(pairs).cast("double")
-        share = lambda p: F.size(F.filter(pairs, lambda x: x == p)) / n
-        return F.aggregate(F.array_distinct(pairs), F.lit(0.0), lambda acc, p: acc - let(share(p), lambda q: q * F.log2(q)))
-
-    pairs = F.regexp_extract_all(F.hex(content), F.lit("(..)"), F.lit(1))
-    return F.when(F.coalesce(F.octet_length(content), F.lit(0)) > 0, F.round(let(pairs, bits), 4)).otherwise(F.lit(0.0))
+    bits = _run_bits(F.regexp_extract_all(F.hex(content), F.lit("(..)"), F.lit(1)), F.octet_length(content).cast("double"))
+    return F.when(F.coalesce(F.octet_length(content), F.lit(0)) > 0, F.round(bits, 4)).otherwise(F.lit(0.0))
 
 
 def basename(path: Column) -> Column:
@@ -130,7 +125,7 @@ def hashes(content: Column) -> Column:
     )
 
 
-def extract_strings(text: Column, min_len: int = 4, max_n: int | None = 1000) -> Column:
+def extract_strings(text: Column, min_len: int = 4, max_n: int | None = None) -> Column:
     """K8: runs of printable ASCII; ``max_n`` is the feature's own cap (None = all)."""
     runs = F.regexp_extract_all(text, F.lit("([\\x20-\\x7E]{%d,})" % min_len), F.lit(1))
     return runs if max_n is None else F.slice(runs, 1, max_n)
@@ -146,7 +141,7 @@ INTERESTING = [
 ]
 
 
-def interesting_strings(strings: Column, max_n: int | None = 200) -> Column:
+def interesting_strings(strings: Column, max_n: int | None = None) -> Column:
     """K9: sorted distinct strings that look like an indicator."""
     joined = "|".join(f"(?:{p})" for p in INTERESTING)
     kept = F.array_sort(F.array_distinct(F.filter(strings, lambda s: s.rlike(joined))))

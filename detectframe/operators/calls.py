@@ -16,8 +16,8 @@ from detectframe.scale import any_true, fired, literal_table
 from detectframe.schema import fld
 
 
-def alias_table(spark, aliases: dict[str, str] = fixed.API_ALIASES) -> DataFrame:
-    return literal_table(spark, [(a, n) for a, names in aliases.items() for n in names.split()], "api string, name string")
+def alias_table(spark, aliases: dict[str, list[str]] = fixed.API_ALIASES) -> DataFrame:
+    return literal_table(spark, [(a, n) for a, names in aliases.items() for n in names], "api string, name string")
 
 
 def alias_names(calls: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -25,9 +25,9 @@ def alias_names(calls: DataFrame, aliases: DataFrame) -> DataFrame:
     return calls.join(aliases, "api", "left").withColumn("name", F.coalesce("name", "api"))
 
 
-def accepted_names(wanted: list[str], aliases: dict[str, str] = fixed.API_ALIASES) -> list[str]:
+def accepted_names(wanted: list[str], aliases: dict[str, list[str]] = fixed.API_ALIASES) -> list[str]:
     """Trace names whose aliases meet the wanted names (so a filter can reach the scan)."""
-    known = [a for a, names in aliases.items() if set(names.split()) & set(wanted)]
+    known = [a for a, names in aliases.items() if set(names) & set(wanted)]
     return sorted(set(known) | {w for w in wanted if w not in aliases})
 
 

@@ -49,6 +49,7 @@ class Spec:
     fires: Column  # over the aggregate names
     detail: Column
     apis: list[str] | None = None  # call names the signature can look at, if it is that narrow
+    target: str | None = None  # aggregate that names the target, where the keys do not
 
 
 def _api(*names: str) -> Column:
@@ -119,7 +120,7 @@ def specs() -> dict[str, Spec]:
              col("open") & (col("adjust") | col("dup")),
              F.when(col("adjust"), text("Privilege escalation followed by token action (", col("adj"), ")"))
              .otherwise(text("Token of process ", F.coalesce(col("tok").cast("string"), lit("None")), " opened and duplicated (token theft)")),
-             ["NtAdjustPrivilegesToken", "NtOpenProcessToken", "NtDuplicateToken"]),
+             ["NtAdjustPrivilegesToken", "NtOpenProcessToken", "NtDuplicateToken"], target="tok"),
         Spec("ApitraceCrossProcessRead", 9211, PAIR, has_target & _api("NtReadVirtualMemory"), {}, lit(True),
              text("Cross-process memory read from process ", col("target")), ["NtReadVirtualMemory"]),
         Spec("ApitraceAntiDebug", 9210, ACTOR, debug, {"debug_arg": first(col("arg"), debug)}, lit(True),
@@ -170,13 +171,14 @@ def run_specs(rows: DataFrame, chosen: list[Spec]) -> DataFrame:
             F.struct(
                 F.lit(s.event_id).alias("event_id"), F.lit(s.event_type).alias("event_type"), F.col(f"__n{i}").alias("n_rows"),
                 F.col(f"__e{i}")["seq"].alias("first_seq"), F.col(f"__e{i}")["ts"].alias("first_ts"),
-                F.col(f"__e{i}")["arg"].alias("first_arg"), s.detail.alias("detail"),
+                F.col(f"__e{i}")["arg"].alias("first_arg"), s.detail.alias("detail"), (F.col(s.target) if s.target else target).alias("target"),
             ),
         )
         for i, s in enumerate(chosen)
     ]
     fired = F.filter(F.array(*hits), lambda v: v.isNotNull())
-    return g.select("run_id", "actor", target.alias("target"), F.explode(fired).alias("h")).select("run_id", "actor", "target", "h.*")
+    names = ["target", "event_id", "event_type", "n_rows", "first_seq", "first_ts", "first_arg", "detail"]
+    return g.select("run_id", "actor", F.explode(fired).alias("h")).select("run_id", "actor", *[f"h.{n}" for n in names])
 
 
 def signature(events: DataFrame, event_type: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from detectframe import fixed
 from detectframe.functions.leaf import two_valued
 from detectframe.functions.scalar import as_num
+from detectframe.scale import cut
 from detectframe.schema import fld
 
 
@@ -56,6 +57,19 @@ def time_order() -> list[Column]:
     return [F.col("ts").asc_nulls_first(), F.col("source").asc(), F.col("seq").asc()]
 
 
+def positions(events: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds ``pos``, the place in the given order from 1 on.
+
+    A range-partitioned sort is written once; a row's place is its place in its range after the sizes of the
+    ranges before it (one row per range is gathered).
+    """
+    placed = cut(events.sort(*order).withColumn("__at", F.monotonically_increasing_id()), "ordered").withColumn("__range", F.shiftright("__at", 33))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("__range").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    inside = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(sizes, "__range").withColumn("pos", F.col("__before") + inside + 1).drop("__at", "__range", "__n", "__before")
+
+
 def source_health(events: DataFrame, expected: DataFrame) -> DataFrame:
     """Count per expected (run, source) with an empty flag."""
     n = events.groupBy("run_id", "source").agg(F.count("*").alias("n"))
