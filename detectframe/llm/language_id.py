@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from detectframe.llm.common import chunks, strings
 from detectframe.llm.features import LETTERS, byte_grams, hinge_fit, sigmoid_fit
 
-#: Bound of the fit: rows per language.
-PER_LANGUAGE = 1500
+#: Bound of the fit: rows per language.  Spark keeps ranks up to 1000 per group in each task before the shuffle.
+PER_LANGUAGE = 1000
 BITS, ORDERS = 15, (1, 2, 3, 4)
 #: Family of a language code.
 FAMILIES = {
