@@ -9,9 +9,10 @@ pair of a node is given up.
 
 Comparing is done on sketches first (a pair far below the threshold is dropped), then every remaining pair is
 confirmed on the full sets.  Only components are wanted, so a round links before it compares: first every
-member of a node with its least member, then a spanning forest of the likeliest pairs between components, then
-all pairs that still join different components.  A group of near copies is thus linked by stars, not by all
-its pairs.
+member of a node with its least member, in large nodes then those outside the main component with a few of its
+members (hubs), then a spanning forest of the likeliest pairs between components, then all pairs that still join
+different components.  A group of near copies is thus linked by stars, not by all its pairs, and members of the
+main component are never compared with each other.
 
 At similarity 0.8 a tree misses a pair with probability about 0.2, ten trees with 1e-7.
 
@@ -35,6 +36,8 @@ from detectframe.scale import cut
 TREES, BRANCHES, DEPTH = 10, 3, 3
 #: Members of a node that branches, and of a block in which nodes are compared exhaustively.
 NODE, BLOCK = 1024, 256
+#: Steps that link large nodes to hubs before they are compared, and hubs of a node in each.
+STEPS, HUBS = 2, 4
 #: Sets up to this size go along whole where all pairs between components are compared.
 WHOLE = 512
 #: Values of a sketch, and by how many standard deviations its estimate may fall short of the threshold.
@@ -252,7 +255,8 @@ def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             branch = mix(node + np.uint64(j + 1))
             token = sk[np.arange(len(sk)), (branch % np.uint64(SKETCH)).astype(np.int64)]
             child = mix(branch ^ (token.astype(np.uint64) << np.uint64(20)))
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(child.astype(np.int64)), b.column("key")], ["node", "child", "key"])
+            columns = [b.column("node"), pa.array(child.astype(np.int64)), b.column("key"), b.column("comp"), b.column("size")]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "child", "key", "comp", "size"])
 
 
 def _confirm(pairs: DataFrame, corpus: DataFrame, k: int, percent: int) -> DataFrame:
@@ -263,39 +267,71 @@ def _confirm(pairs: DataFrame, corpus: DataFrame, k: int, percent: int) -> DataF
     return cut(both.select("a", "b", "sa", "sb").mapInArrow(_confirmed(percent), "a long, b long"), "links")
 
 
+def _placed(nodes: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members of nodes with their components so far."""
+    return cut(nodes.select("node", "key").join(comp, "key", "left").select("node", "key", F.coalesce("component", "key").alias("comp")), "placed")
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    """Nodes that hold several components: members, the component with most of them, and how many are outside it."""
+    parts = placed.groupBy("node", "comp").agg(F.count("*").alias("c"))
+    nodes = parts.groupBy("node").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("most"))
+    return nodes.where("most.c < size").select("node", "size", F.col("most.comp").alias("main"), (F.col("size") - F.col("most.c")).alias("rest"))
+
+
+def _hub_pairs(nodes: DataFrame, comp: DataFrame, step: int) -> DataFrame | None:
+    """Pairs of each member outside its node's main component with ``HUBS`` members of it, in nodes beyond a block."""
+    placed = _placed(nodes, comp)
+    full = cut(placed.join(_open(placed).where(F.col("size") > BLOCK), "node"), "large")
+    if not full.limit(1).count():
+        return None
+    least = [F.min(F.struct(F.xxhash64("key", F.lit(HUBS * step + i)).alias("h"), "key")).getField("key") for i in range(HUBS)]
+    hubs = full.where("comp = main").groupBy("node").agg(F.array_distinct(F.array(*least)).alias("hubs"))
+    pairs = full.where("comp <> main").select("node", "key").join(hubs, "node").select("key", F.explode("hubs").alias("hub"))
+    return pairs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+
+
+def _blocks(flat: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of members to compare.  Beyond one block, the main component meets the others, and these each other, by blocks."""
+    other, single = F.col("comp") != F.col("main"), F.col("size") <= BLOCK
+    of = lambda n: F.ceil(n / BLOCK).cast("int")
+    others, mains = of(F.col("rest")), of(F.col("size") - F.col("rest"))
+    own = F.pmod(F.xxhash64("key"), F.when(other, others).otherwise(mains)).cast("int")
+    at = lambda x, y, side: F.struct(x.alias("x"), y.alias("y"), side.cast("int").alias("side"))
+    every = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+    among = every(others, lambda o: at(F.least("own", o), F.greatest("own", o), F.col("own") > o))
+    against = every(mains, lambda m: at(F.col("own"), -1 - m, F.lit(0)))
+    rows = F.when(single, F.array(at(F.lit(0), F.lit(0), F.lit(0)))).when(other, F.concat(against, among)).otherwise(every(others, lambda o: at(o, -1 - F.col("own"), F.lit(1))))
+    dealt = flat.withColumn("own", own).select("node", "key", "comp", F.explode(rows).alias("at")).join(known, "key")
+    member = F.struct("key", "comp", "n", "sketch", "small", F.col("at.side").alias("side"))
+    return dealt.groupBy("node", F.col("at.x").alias("x"), F.col("at.y").alias("y")).agg(F.collect_list(member).alias("members")).select("members", (F.col("x") != F.col("y")).alias("two"))
+
+
 def _between(nodes: DataFrame, reps: DataFrame, comp: DataFrame, corpus: DataFrame, k: int, percent: int, forest: bool) -> DataFrame:
-    """Likely pairs between different components, over all nodes, branching the large ones."""
-    known = reps.select("key", "n", "sketch").join(comp, "key", "left").select("key", "n", "sketch", F.coalesce("component", "key").alias("comp"))
-    if forest:
-        known = known.withColumn("small", F.lit(None).cast("binary"))
-    else:
-        comps = nodes.join(known.select("key", "comp"), "key")
-        mixed = comps.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node")
-        ids = cut(comps.join(mixed, "node", "left_semi").select("key").distinct(), "ids")
-        known = known.join(pick(corpus.select("key", "text"), ids).mapInArrow(_small(k), "key long, small binary"), "key", "left")
-    found = None
-    level = nodes
+    """Likely pairs between different components, over all nodes, branching the large ones.
+
+    Nodes are told open or closed by keys and components alone; only members of open ones take sketches along.
+    """
+    known, found, level = reps.select("key", "n", "sketch"), None, _placed(nodes, comp)
     for depth in range(DEPTH + 1):
-        full = level.join(known, "key")
-        open_ = full.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node", "size")
-        full = cut(full.join(open_, "node"), "level")
-        flat = full.where(F.col("size") <= NODE)
-        large = full.where(F.col("size") > NODE)
+        full = cut(level.join(_open(level), "node"), "level")
+        if depth == 0 and forest:
+            known = known.withColumn("small", F.lit(None).cast("binary"))
+        elif depth == 0:
+            ids = cut(full.select("key").distinct(), "ids")
+            known = known.join(pick(corpus.select("key", "text"), ids).mapInArrow(_small(k), "key long, small binary"), "key", "left")
+        direct = (F.col("size") <= NODE) | (F.col("rest") <= BLOCK)
+        flat, large = full.where(direct), full.where(~direct)
         more = depth < DEPTH and bool(large.limit(1).count())
         if more:
-            children = cut(large.select("node", "key", "sketch").mapInArrow(_children, "node long, child long, key long"), "children")
-            dense = children.groupBy("node", "child").count().join(open_, "node").where("2 * count > size").select("node").distinct()
-            level = children.join(dense, "node", "left_anti").select(F.col("child").alias("node"), "key").distinct()
+            members = large.join(reps.select("key", "sketch"), "key").select("node", "key", "comp", "size", "sketch")
+            children = cut(members.mapInArrow(_children, "node long, child long, key long, comp long, size long"), "children")
+            dense = children.groupBy("node", "child").agg(F.count("*").alias("c"), F.max("size").alias("size")).where("2 * c > size").select("node").distinct()
+            level = cut(children.join(dense, "node", "left_anti").select(F.col("child").alias("node"), "key", "comp").distinct(), "branches")
             flat = flat.unionAll(large.join(dense, "node", "left_semi"))
         elif depth == DEPTH:
             flat = full
-        # in blocks: every pair of blocks meets once
-        count = F.ceil(F.col("size") / BLOCK).cast("int")
-        blocks = flat.withColumn("own", F.pmod(F.xxhash64("key"), count).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), count - 1)))
-        blocks = blocks.withColumn("x", F.least("own", "j")).withColumn("y", F.greatest("own", "j"))
-        member = F.struct("key", "comp", "n", "sketch", "small", (F.col("own") != F.col("x")).cast("int").alias("side"))
-        rows = blocks.groupBy("node", "x", "y").agg(F.collect_list(member).alias("members")).select("members", (F.col("x") != F.col("y")).alias("two"))
-        pairs = rows.mapInArrow(_node_pairs(percent, forest), "a long, b long")
+        pairs = _blocks(flat, known).mapInArrow(_node_pairs(percent, forest), "a long, b long")
         found = pairs if found is None else found.unionAll(pairs)
         if not more:
             break
@@ -320,13 +356,20 @@ def near_duplicates(corpus: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     shared = spread.groupBy("node").agg(F.count("*").alias("c"), F.min("key").alias("leader")).where("c > 1")
     nodes = cut(spread.join(shared.select("node", "leader"), "node"), "nodes")
 
-    stars = nodes.where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
     side = lambda x: reps.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
-    stars = stars.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(_likely(percent), "a long, b long")
-    links = _confirm(cut(stars, "stars"), corpus, k, percent)
-    comp = components(links)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        likely = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(_likely(percent), "a long, b long")
+        return _confirm(cut(likely, "likely"), corpus, k, percent)
+
+    comp = components(confirmed(nodes.where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()))
+    for step in range(STEPS):
+        pairs = _hub_pairs(nodes, comp, step)
+        if pairs is None:
+            break
+        comp = _joined(comp, confirmed(pairs))
     for forest in (True, False):
-        pairs = _between(nodes.select("node", "key"), reps, comp, corpus, k, percent, forest)
+        pairs = _between(nodes, reps, comp, corpus, k, percent, forest)
         if not pairs.limit(1).count():
             break
         more = _confirm(pairs, corpus, k, percent)
