@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from detectframe.llm.common import WORDS, mix, pick, shingle_hashes, strings, texts
@@ -267,9 +267,14 @@ def _confirm(pairs: DataFrame, corpus: DataFrame, k: int, percent: int) -> DataF
     return cut(both.select("a", "b", "sa", "sb").mapInArrow(_confirmed(percent), "a long, b long"), "links")
 
 
-def _placed(nodes: DataFrame, comp: DataFrame) -> DataFrame:
+def _sizes_fit(n: str, m: str, percent: int) -> Column:
+    """:func:`_similar` as a column, so that pairs go before any sketch travels."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def _placed(nodes: DataFrame, comp: DataFrame, *more: str) -> DataFrame:
     """Members of nodes with their components so far."""
-    return cut(nodes.select("node", "key").join(comp, "key", "left").select("node", "key", F.coalesce("component", "key").alias("comp")), "placed")
+    return cut(nodes.select("node", "key", *more).join(comp, "key", "left").select("node", "key", F.coalesce("component", "key").alias("comp"), *more), "placed")
 
 
 def _open(placed: DataFrame) -> DataFrame:
@@ -279,16 +284,16 @@ def _open(placed: DataFrame) -> DataFrame:
     return nodes.where("most.c < size").select("node", "size", F.col("most.comp").alias("main"), (F.col("size") - F.col("most.c")).alias("rest"))
 
 
-def _hub_pairs(nodes: DataFrame, comp: DataFrame, step: int) -> DataFrame | None:
+def _hub_pairs(nodes: DataFrame, comp: DataFrame, step: int, percent: int) -> DataFrame | None:
     """Pairs of each member outside its node's main component with ``HUBS`` members of it, in nodes beyond a block."""
-    placed = _placed(nodes, comp)
+    placed = _placed(nodes, comp, "n")
     full = cut(placed.join(_open(placed).where(F.col("size") > BLOCK), "node"), "large")
     if not full.limit(1).count():
         return None
-    least = [F.min(F.struct(F.xxhash64("key", F.lit(HUBS * step + i)).alias("h"), "key")).getField("key") for i in range(HUBS)]
+    least = [F.min(F.struct(F.xxhash64("key", F.lit(HUBS * step + i)).alias("h"), F.struct("key", "n").alias("hub"))).getField("hub") for i in range(HUBS)]
     hubs = full.where("comp = main").groupBy("node").agg(F.array_distinct(F.array(*least)).alias("hubs"))
-    pairs = full.where("comp <> main").select("node", "key").join(hubs, "node").select("key", F.explode("hubs").alias("hub"))
-    return pairs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+    pairs = full.where("comp <> main").select("node", "key", "n").join(hubs, "node").select("key", "n", F.explode("hubs").alias("hub"))
+    return pairs.where(_sizes_fit("n", "hub.n", percent)).select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct()
 
 
 def _blocks(flat: DataFrame, known: DataFrame) -> DataFrame:
@@ -352,8 +357,8 @@ def near_duplicates(corpus: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     feats = cut(corpus.select("key", "text").mapInArrow(_features(k), "key long, n long, s0 long, s1 long, tokens array<long>, sketch binary"), "features")
     classes = cut(feats.where("n > 0").groupBy("n", "s0", "s1").agg(F.min("key").alias("rep")), "classes")
     reps = cut(feats.join(classes.select(F.col("rep").alias("key")), "key", "left_semi"), "reps")
-    spread = reps.select("key", F.posexplode("tokens").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "key")
-    shared = spread.groupBy("node").agg(F.count("*").alias("c"), F.min("key").alias("leader")).where("c > 1")
+    spread = reps.select("key", "n", F.posexplode("tokens").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "key", "n")
+    shared = spread.groupBy("node").agg(F.count("*").alias("c"), F.min(F.struct("key", "n")).alias("leader")).where("c > 1")
     nodes = cut(spread.join(shared.select("node", "leader"), "node"), "nodes")
 
     side = lambda x: reps.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
@@ -362,9 +367,10 @@ def near_duplicates(corpus: DataFrame, k: int = 5, percent: int = 80) -> DataFra
         likely = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(_likely(percent), "a long, b long")
         return _confirm(cut(likely, "likely"), corpus, k, percent)
 
-    comp = components(confirmed(nodes.where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()))
+    stars = nodes.where(F.col("key") != F.col("leader.key")).where(_sizes_fit("n", "leader.n", percent))
+    comp = components(confirmed(stars.select(F.col("leader.key").alias("a"), F.col("key").alias("b")).distinct()))
     for step in range(STEPS):
-        pairs = _hub_pairs(nodes, comp, step)
+        pairs = _hub_pairs(nodes, comp, step, percent)
         if pairs is None:
             break
         comp = _joined(comp, confirmed(pairs))
