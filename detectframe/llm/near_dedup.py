@@ -292,8 +292,9 @@ def _hub_pairs(nodes: DataFrame, comp: DataFrame, step: int, percent: int) -> Da
         return None
     least = [F.min(F.struct(F.xxhash64("key", F.lit(HUBS * step + i)).alias("h"), F.struct("key", "n").alias("hub"))).getField("hub") for i in range(HUBS)]
     hubs = full.where("comp = main").groupBy("node").agg(F.array_distinct(F.array(*least)).alias("hubs"))
-    pairs = full.where("comp <> main").select("node", "key", "n").join(hubs, "node").select("key", "n", F.explode("hubs").alias("hub"))
-    return pairs.where(_sizes_fit("n", "hub.n", percent)).select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct()
+    fit = F.filter("hubs", lambda hub: 100 * F.least(F.col("n"), hub["n"]) >= percent * F.greatest(F.col("n"), hub["n"]))
+    pairs = full.where("comp <> main").select("node", "key", "n").join(hubs, "node").select("key", F.explode(fit).alias("hub"))
+    return pairs.select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct()
 
 
 def _blocks(flat: DataFrame, known: DataFrame) -> DataFrame:
