@@ -102,10 +102,11 @@ def posteriors(docs: DataFrame, models: list[tuple] | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS))
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float], domains: tuple[str, ...] = DOMAINS, rounds: int = ROUNDS, tolerance: float = 1e-5) -> Column:
+def fit_rates(rows: DataFrame, targets: dict[str, float], domains: tuple[str, ...] = DOMAINS, rounds: int = ROUNDS, tolerance: float = 1e-5, bounds: tuple[Column, Column] | None = None) -> Column:
     """The rate as a column over ``n_tokens, p_<domain>``.
 
     targets: token totals as shares of all tokens (they may sum to more or less than 1).
+    bounds: least and greatest rate of a document, of which 1 is between.
     """
     p, n = [F.col(f"p_{d}") for d in domains], F.col("n_tokens")
     d = len(domains)
@@ -116,25 +117,47 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], domains: tuple[str, ..
     g = np.array([[first[f"g{min(i, j)}_{max(i, j)}"] / total for j in range(d)] for i in range(d)])
     inverse = np.linalg.inv(g + 1e-6 * np.eye(d))
     want = np.array([targets.get(x, 0.0) for x in domains])
-    rate = F.lit(1.0)
+    rate, (least, most) = F.lit(1.0), bounds or (F.lit(0.0), None)
     for _ in range(rounds):
         got = rows.agg(*[F.sum(rate * n * c).alias(f"t{i}") for i, c in enumerate(p)]).first()
         error = np.array([got[f"t{i}"] / total for i in range(d)]) - want
         if np.abs(error).max() < tolerance:
             break
         step = inverse @ error
-        rate = F.greatest(F.lit(0.0), rate - sum((float(s) * c for s, c in zip(step, p)), F.lit(0.0)))
+        rate = F.greatest(least, rate - sum((float(s) * c for s, c in zip(step, p)), F.lit(0.0)))
+        rate = rate if most is None else F.least(most, rate)
     return rate
 
 
+def relative(rows: DataFrame, targets: dict[str, float] = TARGETS) -> dict[str, float]:
+    """Totals as shares of all tokens: clean keeps its measured one, another domain has at most its own, and beside clean at most its target."""
+    got = rows.agg(F.sum("n_tokens").alias("n"), *[F.sum(F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS]).first()
+    if not got["n"]:
+        return dict(targets)
+    own = {d: got[d] / got["n"] for d in DOMAINS}
+    return {d: own[d] if d == "clean" else min(own[d], own["clean"] * targets[d] / targets["clean"]) for d in DOMAINS}
+
+
 def rate_documents(docs: DataFrame, models: list[tuple] | None, targets: dict[str, float] = TARGETS) -> DataFrame:
     """``doc_id, n_tokens, p_<domain>, rate, copies`` of every document."""
     rows = cut(posteriors(docs, models), "posteriors")
-    rate = fit_rates(rows, targets)
+    return _copied(rows, fit_rates(rows, targets))
+
+
+def _copied(rows: DataFrame, rate: Column) -> DataFrame:
     unit = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rows.withColumn("rate", rate).withColumn("copies", F.floor(F.col("rate") + unit).cast("int"))
 
 
+def thin_documents(docs: DataFrame, models: list[tuple] | None, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """:func:`rate_documents` for a corpus that shall lose no clean document: targets are those of :func:`relative`, documents
+    whose most likely domain is clean have a rate of 1 at least, the others of 1 at most.  Without models every rate is 1."""
+    rows = cut(posteriors(docs, models), "posteriors")
+    clean = F.col("p_clean") >= F.greatest(*[F.col(f"p_{d}") for d in DOMAINS if d != "clean"])
+    bounds = F.when(clean, 1.0).otherwise(0.0), F.when(clean, float("inf")).otherwise(1.0)
+    return _copied(rows, fit_rates(rows, relative(rows, targets), bounds=bounds) if models else F.lit(1.0))
+
+
 def mix_to_targets(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, per_class: int = PER_CLASS) -> DataFrame:
     """:func:`rate_documents` with a classifier learned from ``labels (doc_id, quality, toxic)``."""
     return rate_documents(docs, fit(docs, labels, per_class), targets)
