@@ -123,8 +123,10 @@ def p8_per_process(spark, d):
     def on_calls(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"run_id": [pdf["run_id"].iloc[0]], "pid": [pdf["pid"].iloc[0]], "resumes": [int((pdf["api"] == "NtResumeThread").sum())], "calls": [len(pdf)]})
 
-    part = P.per_process(trace_rows(adapter(spark, d, "calls")), on_calls, "run_id string, pid bigint, resumes bigint, calls bigint", ["api"], chunk=4000)
-    return part.groupBy("run_id", "pid").agg(F.sum("resumes").alias("resumes"), F.sum("calls").alias("calls"))
+    def merge(parts: pd.DataFrame) -> pd.DataFrame:
+        return parts[:1].assign(resumes=parts["resumes"].sum(), calls=parts["calls"].sum())
+
+    return P.per_process(trace_rows(adapter(spark, d, "calls")), on_calls, "run_id string, pid bigint, resumes bigint, calls bigint", ["api"], merge, chunk=4000)
 
 
 @query("p8_keyword_spans", oracle="""

@@ -98,7 +98,7 @@ def f11(spark, d):
     """Turns as fragments of one script per conversation, parts of three fragments."""
     c = table(spark, d, "conversations").select(
         F.lit("r").alias("run_id"), F.col("conv_id").alias("block_id"), (F.col("turn") + 1).alias("number"), "text", F.when(F.col("role") != "system", F.col("role")).alias("path"), F.col("turn").alias("seq"))
-    b = U.script_blocks(c, 3)
+    b = U.script_block_parts(c, 3)
     return b.select(F.col("block_id").alias("conv_id"), "part", F.col("n_fragments").cast("bigint").alias("n_fragments"), "text", "path")
 
 

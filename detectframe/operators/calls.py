@@ -214,20 +214,27 @@ def user_predicate(fn):
     return F.pandas_udf(fn, "boolean")
 
 
-def per_process(calls: DataFrame, on_calls, schema: str, cols: list[str], chunk: int = 100_000) -> DataFrame:
-    """A user's own signature, ``on_calls(pdf) -> pdf`` per stretch of a process's calls.
+def per_process(calls: DataFrame, on_calls, schema: str, cols: list[str], merge, chunk: int = 100_000) -> DataFrame:
+    """A user's own signature over all calls of a process, in order.
 
-    A stretch is ``chunk`` consecutive ``seq`` values of one process, in order, so
-    no group is unbounded; the returned rows are partial results (they may carry
-    the stretch's state) that the caller merges with an ordinary ``groupBy``.
+    ``on_calls(pdf) -> pdf`` sees ``chunk`` consecutive ``seq`` values of one process, in order, so no group is
+    unbounded; the rows it returns (of ``schema``) carry the state of the stretch.  ``merge(pdf) -> pdf`` sees
+    the rows of all stretches of a process, in order of the stretches and as they were returned within one, and
+    returns the rows of the process.
     """
     extra = [c for c in cols if c not in ("run_id", "pid", "seq")]
     x = calls.select("run_id", "pid", "seq", *extra).withColumn("chunk", F.floor(F.col("seq") / chunk))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return on_calls(pdf.sort_values("seq"))
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        found = on_calls(pdf.sort_values("seq")).reset_index(drop=True)
+        return found.assign(__run=key[0], __pid=key[1], __chunk=key[2], __nth=range(len(found)))
 
-    return x.groupBy("run_id", "pid", "chunk").applyInPandas(run, schema)
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        return merge(pdf.sort_values(["__chunk", "__nth"], ignore_index=True).drop(columns=["__run", "__pid", "__chunk", "__nth"]))
+
+    kinds = dict(x.dtypes)
+    parts = x.groupBy("run_id", "pid", "chunk").applyInPandas(run, f"{schema}, __run {kinds['run_id']}, __pid {kinds['pid']}, __chunk {kinds['chunk']}, __nth bigint")
+    return parts.groupBy("__run", "__pid").applyInPandas(whole, schema)
 
 
 def keyword_spans(text: Column, words: list[str]) -> Column:

@@ -121,19 +121,26 @@ def capability_summary(caps: DataFrame) -> DataFrame:
     ).join(tech, "run_id", "left")
 
 
-def script_blocks(fragments: DataFrame, part_size: int = 1000) -> DataFrame:
-    """texts of one block joined in fragment order.
+def script_blocks(fragments: DataFrame) -> DataFrame:
+    """one row per block, its texts joined in fragment order.
 
-    ``fragments(run_id, block_id, number, text, path, seq)``.  A block longer than
-    ``part_size`` fragments comes as several ordered parts, so no task ever holds
-    an unbounded text; ordinary blocks are one part (``part`` = 0).
+    ``fragments(run_id, block_id, number, text, path, seq)``.
     """
-    keys = ["run_id", "block_id"]
+    return _script_rows(fragments, ["run_id", "block_id"])
+
+
+def script_block_parts(fragments: DataFrame, part_size: int = 1000) -> DataFrame:
+    """blocks as ordered parts of ``part_size`` fragments each, so no task ever holds an unbounded text."""
     rows = fragments.withColumn("part", F.floor((F.col("number") - 1) / part_size).cast("bigint"))
+    return _script_rows(rows, ["run_id", "block_id", "part"])
+
+
+def _script_rows(fragments: DataFrame, by: list[str]) -> DataFrame:
+    keys = ["run_id", "block_id"]
     path = fragments.filter(two_valued(F.col("path") != "")).groupBy(*keys).agg(F.min_by("path", "seq").alias("path"))
-    parts = rows.groupBy(*keys, "part").agg(
+    parts = fragments.groupBy(*by).agg(
         F.array_sort(F.collect_list(F.struct("number", "seq", F.coalesce("text", F.lit("")).alias("text")))).alias("f")
-    ).select(*keys, "part", F.size("f").alias("n_fragments"), F.array_join(F.col("f.text"), "").alias("text"))
+    ).select(*by, F.size("f").alias("n_fragments"), F.array_join(F.col("f.text"), "").alias("text"))
     return parts.join(path, keys, "left").withColumn("path", F.coalesce("path", F.lit("")))
 
 
