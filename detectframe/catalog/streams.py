@@ -11,21 +11,37 @@ from detectframe.scale import scratch_path
 from detectframe.streaming import streams as S
 
 
-def as_stream(df, files: int = 4):
-    """Write a table as files, one stretch of time after the other, and open them as a stream.
+#: Rows of a batch for which one more file, and so one more task, is worth it.
+FILE_ROWS = 10_000
 
-    A file source reads files by modification time, so the stretches are written
-    in order: no row is late.
+
+def as_batches(spark, frames: list, rows: int):
+    """Write frames, one after the other, and open them as a stream with one batch for each.
+
+    A file source reads files by modification time, so the frames are written in
+    order; each has equally many files (up to the session's partitions; empty
+    ones fill up), and a batch takes so many.
     """
-    spark = df.sparkSession
     path = scratch_path(spark, "in")
+    files = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // (len(frames) * FILE_ROWS))))
+    schema = frames[0].schema
+    for i, frame in enumerate(frames):
+        frame.repartition(files).write.mode("append").parquet(path)
+        for _ in range(files * (i + 1) - len(spark.read.schema(schema).parquet(path).inputFiles())):
+            spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def as_stream(df, batches: int = 4):
+    """A table as a stream, one stretch of time after the other, so no row is late.
+
+    Rows without a time come in the first batch; an empty table has empty batches.
+    """
     x = df.withColumn("ts", F.col("ts").cast("timestamp"))
-    lo, hi = x.agg(F.min(micros(F.col("ts"))), F.max(micros(F.col("ts")))).first()
-    step = (hi - lo) // files + 1
-    part = F.floor((micros(F.col("ts")) - lo) / step)
-    for i in range(files):
-        x.filter(part == i).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    lo, hi, rows = x.agg(F.min(micros(F.col("ts"))), F.max(micros(F.col("ts"))), F.count("*")).first()
+    lo, hi = lo or 0, hi or 0
+    part = F.coalesce(F.floor((micros(F.col("ts")) - lo) / ((hi - lo) // batches + 1)), F.lit(0))
+    return as_batches(df.sparkSession, [x.filter(part == i) for i in range(batches)], rows)
 
 
 def _stateful(spark, run):
@@ -141,10 +157,9 @@ def m8(spark, d):
 def m9(spark, d):
     """Every fiftieth row arrives last; late rows are kept beside the on-time ones."""
     e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    src, on_time, late, ck = (scratch_path(spark, n) for n in ("late-in", "on-time", "late", "late-ckpt"))
-    e.filter(F.col("event_id") % 50 != 0).repartitionByRange(3, "ts").write.parquet(src)
-    e.filter(F.col("event_id") % 50 == 0).repartition(1).write.mode("append").parquet(src)
-    s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    on_time, late, ck = (scratch_path(spark, n) for n in ("on-time", "late", "late-ckpt"))
+    held = F.coalesce(F.col("event_id") % 50 == 0, F.lit(False))
+    s = as_batches(spark, [e.filter(~held), e.filter(held)], e.count())
     S.late_events(s, on_time, late, 3600.0, ck).start().awaitTermination()
     schema = "event_id bigint, ts timestamp, batch_id bigint, batch int"
     a, b = spark.read.schema(schema).parquet(on_time), spark.read.schema(schema).parquet(late)
