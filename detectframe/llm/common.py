@@ -100,6 +100,12 @@ def without(rows: DataFrame, ids: DataFrame, on: str = "key") -> DataFrame:
     return rows.join(F.broadcast(ids) if small else ids, on, "left_anti")
 
 
+def one_each(rows: DataFrame, *by: str) -> DataFrame:
+    """One row for each value of ``by``: the greatest by its other columns, in their order."""
+    rest = [c for c in rows.columns if c not in by]
+    return rows.groupBy(*by).agg(F.max(F.struct(*rest)).alias("rest")).select(*[c if c in by else F.col(f"rest.{c}").alias(c) for c in rows.columns])
+
+
 class WordHash(dict):
     """64-bit hashes of words, kept for words seen before; emptied when it holds ``limit`` words."""
 

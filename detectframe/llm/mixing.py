@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from detectframe.llm.common import chunks, spaced, strings
+from detectframe.llm.common import chunks, one_each, spaced, strings
 from detectframe.llm.features import LETTERS, bayes_score, bayes_support_vectors, byte_grams, word_slots
 from detectframe.scale import cut
 
@@ -82,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[
             weight, square, shift, _ = bayes_support_vectors(rows, np.where(pdf["domain"] == d, 1, -1), 1 << BITS)
             yield pd.DataFrame({"i": [i], "weight": [weight.tobytes()], "square": [square.tobytes()], "shift": [shift]})
 
-    got = sample.mapInArrow(features, "doc_id long, domain string, x binary").coalesce(1).mapInPandas(learn, "i int, weight binary, square binary, shift double").collect()
+    got = one_each(sample.mapInArrow(features, "doc_id long, domain string, x binary"), "doc_id").repartition(1).mapInPandas(learn, "i int, weight binary, square binary, shift double").collect()
     return [(np.frombuffer(r["weight"]), np.frombuffer(r["square"]), float(r["shift"])) for r in sorted(got, key=lambda r: r["i"])] or None
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from detectframe.llm.common import strings
+from detectframe.llm.common import one_each, strings
 from detectframe.llm.features import RAW, bayes_score, bayes_support_vectors, slots
 
 #: Bound of the fit: labelled rows per class.
@@ -43,7 +43,8 @@ def present_slots(text: pa.Array) -> Iterator[np.ndarray]:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """``doc_id, y, text`` of at most ``per_class`` labelled documents of each class 0 and 1.
 
-    The chosen ids are bounded by 2 * per_class, so they are broadcast and no text is shuffled.
+    The chosen ids are bounded by 2 * per_class, so they are broadcast and no text is shuffled.  An id that comes
+    in several rows has all of them here.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("y"))
     known = known.withColumn("h", F.xxhash64("doc_id"))
@@ -68,7 +69,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
             yield pd.DataFrame({"weight": [weight.tobytes()], "square": [square.tobytes()], "shift": [shift]})
 
     sample = labelled_sample(docs, labels, label, per_class).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y"), "text")
-    found = sample.mapInArrow(features, "doc_id long, y int, x binary").coalesce(1).mapInPandas(learn, "weight binary, square binary, shift double").collect()
+    found = one_each(sample.mapInArrow(features, "doc_id long, y int, x binary"), "doc_id").repartition(1).mapInPandas(learn, "weight binary, square binary, shift double").collect()
     if not found:
         return None
     return np.frombuffer(found[0]["weight"]), np.frombuffer(found[0]["square"]), float(found[0]["shift"])
