@@ -42,6 +42,8 @@ STEPS, HUBS = 2, 4
 WHOLE = 512
 #: Values of a sketch, and by how many standard deviations its estimate may fall short of the threshold.
 SKETCH, SHORT = 128, 4.5
+#: Under so many shingles empty ranges borrow values, and the deviation is wider.
+SMALL, SHORT_SMALL = 512, 7.0
 _SEEDS = mix(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
 _BINS = np.arange(SKETCH, dtype=np.uint64) << np.uint64(57)
 
@@ -64,7 +66,7 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 def _fewest(n: np.ndarray, percent: int) -> np.ndarray:
     """Equal sketch values below which sets of (at least) n shingles are too far apart to be similar."""
     p, own = percent / 100, SKETCH * (1 - np.exp(-n / SKETCH))  # ranges that are not empty
-    return SKETCH * (p - SHORT * np.sqrt(p * (1 - p) / np.maximum(own, 1)))
+    return SKETCH * (p - np.where(n < SMALL, SHORT_SMALL, SHORT) * np.sqrt(p * (1 - p) / np.maximum(own, 1)))
 
 
 def _common(members: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
