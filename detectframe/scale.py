@@ -42,6 +42,46 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Lineage cuts that go when their last reader is done.
+
+    ``with Scratch(spark) as s: a = s.cut(x); return s.keep(y)`` writes ``a`` and the result once each and removes
+    ``a`` at the end; the kept result stays in the shared folder.  ``drop`` removes a cut before the end.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.cuts = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for _, path in self.cuts:
+            self._remove(path)
+        self.cuts = []
+
+    def _remove(self, path: str) -> None:
+        # the folder may be on any file system Spark writes to, so Spark's own file system deletes it
+        jvm, jsc = self.spark._jvm, self.spark.sparkContext._jsc
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
+
+    def cut(self, df: DataFrame, name: str = "cut") -> DataFrame:
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.cuts.append((out, path))
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        for path in [p for frame, p in self.cuts if frame is df]:
+            self._remove(path)
+        self.cuts = [c for c in self.cuts if c[0] is not df]
+
+    def keep(self, df: DataFrame, name: str = "kept") -> DataFrame:
+        return cut(df, name)
+
+
 def literal_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     """Broadcastable table of driver-side configuration; its size is known and checked."""
     if len(rows) > MAX_LITERAL_ROWS:
