@@ -172,17 +172,21 @@ def _with_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["tree", "pos", "path", "subroot"])
 
 
-def paths_down(s: Scratch, layers: list[DataFrame], above: DataFrame) -> DataFrame:
+def paths_down(s: Scratch, layers: list[DataFrame], above: DataFrame | None) -> DataFrame:
     """``tree, block, size, items, path, subroot`` of the lowest layer: siblings from each block's top to the root.
 
-    ``above`` has ``tree, path, subroot`` for the trees' roots.  Each layer adds its part and hands it to the blocks
+    ``above`` has ``tree, path, subroot`` for the trees' roots (None: they are the root itself).  Each layer adds its part and hands it to the blocks
     below, whose number in the tree is their node's position in the layer; so every join is by block, never by tree
     alone but for a tree's one highest block.
     """
     known = None
     for i in range(len(layers) - 1, -1, -1):
         layer = layers[i].withColumnRenamed("tree", "t")
-        rows = layer.where(F.col("size") <= BLOCK).join(above, F.equal_null("t", "tree")).drop("tree")
+        rows = layer.where(F.col("size") <= BLOCK)
+        if above is None:
+            rows = rows.withColumns({"path": F.array().cast(_PATH), "subroot": F.lit(None).cast("string")})
+        else:
+            rows = rows.join(above, F.equal_null("t", "tree")).drop("tree")
         if known is not None:
             lower = layer.where(F.col("size") > BLOCK).join(known, F.equal_null("t", "tree") & (F.col("block") == F.col("pos")))
             rows = rows.unionByName(lower.drop("tree", "pos"))
@@ -207,8 +211,7 @@ def manifest(s: Scratch, docs: DataFrame, changed: Column) -> Manifest:
     forest = placed(s, roots.select(F.lit("").alias("tree"), F.struct(F.col("tree").isNotNull().alias("named"), F.col("tree").alias("name")).alias("id"), "leaf"), ["id"])
     top_layers, whole = layers_of(s, forest, ["id", "leaf"])
     found = whole.select(F.lower(F.hex("leaf")).alias("root")).collect()  # one row: the root
-    start = docs.sparkSession.range(1).select(F.lit("").alias("tree"), F.array().cast(_PATH).alias("path"), F.lit(None).cast("string").alias("subroot"))
-    named = s.cut(paths_down(s, top_layers, start), "forest")
+    named = s.cut(paths_down(s, top_layers, None), "forest")
     over = named.mapInArrow(_with_paths, _KNOWN).select("pos", "path")
     names = named.select(F.explode("items").alias("x")).select("x.pos", F.col("x.id.name").alias("tree"), F.lower(F.hex("x.leaf")).alias("subroot"))
     above = s.cut(names.join(over, "pos").select("tree", "path", "subroot"), "above")
