@@ -113,6 +113,40 @@ def c6(spark, d):
     return R.apply_rules(adapter(spark, d, "tel"), ruleset(), keep=["run_id", "seq"])
 
 
+#: Rules of the wide set: as many as a full public rule corpus has active.
+WIDE = 1859
+
+
+def wide_rule(i: int) -> dict:
+    """Rule ``i`` of the wide set: five kinds over five event types, their values drawn from ``i``."""
+    a, b, c, d, e = i % 9, (i // 5 + 4) % 9, i % 101, (7 * i + 3) % 101, i % 20
+    none = {"CommandLine|contains": [f" /{x}{i}" for x in "xyz"]}
+    detection = [
+        {"sel_img": {"Image|endswith": [f"\\APP{a}.exe", f"\\app{b}.exe"]}, "sel_cmd": {"CommandLine|contains": [f"-run {c} ", f"-run {d} "]}, "flt": none,
+         "condition": "all of sel_* and not flt"},
+        {"sel": {"TargetFilename|startswith": f"C:\\Users\\u{e}\\", "TargetFilename|endswith": [f"\\doc{c}.txt", f"\\doc{d}.TXT", f"\\doc{c}x.txt"]}, "condition": "sel"},
+        {"net": {"DestinationIp|cidr": f"10.{i % 3}.0.0/16"}, "port": {"DestinationPort": [1000 + c, 1000 + d]}, "off": {"Initiated": "false"}, "condition": "net and port and not off"},
+        {"sel": {"ImageLoaded|re": "^D:.Temp.x[.]dll$" if i % 2 else "System32"}, "lvl": {"Level|gte": c, "Level|lt": c + 2}, "sig": {"Signed|contains": "true"}, "condition": "sel and lvl and not sig"},
+        {"id": {"EventID": 5}, "sel_a": {"Image|contains": [f"System32\\app{a}."], "CommandLine|contains|all": ["-run", f"{c} /q"]}, "sel_b": {"CommandLine|startswith": f"app{b}.exe -run {d}", "Image|endswith": ".exe"},
+         "condition": "id and 1 of sel_*"},
+    ][i % 5]
+    source = [{"category": "process_creation"}, {"category": "file_event"}, {"category": "network_connection"}, {"category": "image_load"}, {"service": "sysmon"}][i % 5]
+    return {"id": f"w{i}", "title": f"Wide {i}", "level": "high", "status": "test", "tags": [], "logsource": source, "detection": detection}
+
+
+@query("c6_apply_rules_wide", using="tel", oracle=f"""
+WITH r AS (SELECT i, i % 9 AS a, (i // 5 + 4) % 9 AS b, i % 101 AS c, (7 * i + 3) % 101 AS d, i % 20 AS e FROM range({WIDE}) x(i))
+SELECT run_id, seq, concat('w', i) AS rule_id FROM tel JOIN r ON i % 5 = CASE event_type WHEN 'ProcessCreate' THEN 0 WHEN 'FileCreate' THEN 1 WHEN 'NetworkConnect' THEN 2 WHEN 'ImageLoad' THEN 3 ELSE 4 END
+WHERE CASE i % 5 WHEN 0 THEN k % 9 IN (a, b) AND k IN (c, d)
+  WHEN 1 THEN contains(TargetFilename, concat('Users', chr(92), 'u', e, chr(92))) AND k IN (c, d)
+  WHEN 2 THEN k % 3 = i % 3 AND k IN (c, d) AND coalesce(Initiated, '') <> 'false'
+  WHEN 3 THEN (CASE WHEN i % 2 = 1 THEN k % 4 = 0 ELSE k % 4 IN (2, 3) END) AND k IN (c, c + 1) AND k % 3 = 0
+  ELSE (k % 9 = a AND (k = c OR ends_with(CAST(k AS varchar), CAST(c AS varchar)))) OR (k % 9 = b AND starts_with(CAST(k AS varchar), CAST(d AS varchar))) END""")
+def c6_wide(spark, d):
+    rs = R.compile_rules([wide_rule(i) for i in range(WIDE)])
+    return R.apply_rules(adapter(spark, d, "tel"), rs, keep=["run_id", "seq"])
+
+
 @query("c7_build_alert", using="tel", oracle=f"""
 WITH {MATCHES.strip()} SELECT seq, rule_id, CASE rule_id WHEN 'r-ports' THEN 'High port' WHEN 'r-net' THEN 'Internal range' WHEN 'r-cmd' THEN 'Command words' WHEN 'r-re' THEN 'Two digits alike' WHEN 'r-load' THEN 'Unsigned load' WHEN 'r-file' THEN 'Document write' WHEN 'r-svc' THEN 'Listed ids' WHEN 'r-ref' THEN 'Own parent' ELSE 'Keyword' END AS title,
   CASE WHEN rule_id IN ('r-ports', 'r-svc', 'r-key') THEN 'high' WHEN rule_id IN ('r-net', 'r-re', 'r-file') THEN 'medium' WHEN rule_id = 'r-cmd' THEN 'critical' WHEN rule_id = 'r-load' THEN 'low' ELSE 'informational' END AS level,

@@ -72,35 +72,36 @@ def wildcard_regex(parts: list, cased: bool) -> str:
     return f"(?{'d' if cased else 'iud'})^(?:{body})\\z"
 
 
-def like_parts(f: Column, parts: list, cased: bool = False, folded: Column | None = None) -> Column:
-    """Anchored wildcard match; simple shapes use string functions instead of regex.
+def like_shape(parts: list, cased: bool) -> tuple[str, str]:
+    """How a wildcard match is tested: ``("equals" | "contains" | "startswith" | "endswith", text)`` or ``("regex", pattern)``.
 
-    ``.`` does not match a newline, so a value with one cannot match a pattern
-    with ``*`` at that place: the string forms keep that rule.
+    Text is lower-cased unless ``cased``.  ``.`` does not match a newline, so a value with one cannot match a pattern
+    with ``*`` at that place: whoever uses the string forms with a ``*`` must keep that rule.
     """
-    text = f.cast("string")
     lits = [p for p in parts if isinstance(p, str)]
     stars = [p for p in parts if not isinstance(p, str)]
-    ascii_only = all(x.isascii() for x in lits)
-    if not stars and (cased or ascii_only):
+    if not cased and not all(x.isascii() for x in lits):
+        return "regex", wildcard_regex(parts, cased)
+    if not stars:
         want = lits[0] if lits else ""
-        return two_valued(text == want if cased else (fold(f) if folded is None else folded) == want.lower())
-    if len(lits) == 1 and all(p == ("*",) for p in stars) and (cased or ascii_only) and "\n" not in lits[0]:
-        subject = text if cased else (fold(f) if folded is None else folded)
+        return "equals", want if cased else want.lower()
+    if len(lits) == 1 and all(p == ("*",) for p in stars) and "\n" not in lits[0]:
         want = lits[0] if cased else lits[0].lower()
-        one_line = ~text.contains("\n")
-        shape = ["L" if isinstance(p, str) else "*" for p in parts]
-        while len(shape) > 1 and shape[0] == shape[1] == "*":
-            shape.pop(0)
-        while len(shape) > 1 and shape[-1] == shape[-2] == "*":
-            shape.pop()
-        if shape == ["*", "L", "*"]:
-            return two_valued(subject.contains(want) & one_line)
-        if shape == ["L", "*"]:
-            return two_valued(subject.startswith(want) & one_line)
-        if shape == ["*", "L"]:
-            return two_valued(subject.endswith(want) & one_line)
-    return two_valued(text.rlike(wildcard_regex(parts, cased)))
+        before, after = not isinstance(parts[0], str), not isinstance(parts[-1], str)
+        return "contains" if before and after else "startswith" if after else "endswith", want
+    return "regex", wildcard_regex(parts, cased)
+
+
+def like_parts(f: Column, parts: list, cased: bool = False, folded: Column | None = None) -> Column:
+    """Anchored wildcard match; simple shapes use string functions instead of regex."""
+    text = f.cast("string")
+    shape, want = like_shape(parts, cased)
+    if shape == "regex":
+        return two_valued(text.rlike(want))
+    subject = text if cased else (fold(f) if folded is None else folded)
+    if shape == "equals":
+        return two_valued(subject == want)
+    return two_valued(getattr(subject, shape)(want) & ~text.contains("\n"))
 
 
 def like_ci(f: Column, pattern: str, folded: Column | None = None) -> Column:

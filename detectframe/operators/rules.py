@@ -8,8 +8,9 @@ a correlation rule has ``correlation{type, rules, group-by, timespan, condition}
 from __future__ import annotations
 
 import ast
+import ipaddress
+import json
 import re
-from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 
 from detectframe import fixed
 from detectframe.functions import leaf as L
+from detectframe.functions.scalar import as_num
 from detectframe.operators.windows import window_counts
-from detectframe.scale import all_true, any_true, fired, literal_table
+from detectframe.scale import all_true, any_true, literal_table
 from detectframe.schema import fld, opt
 
 # --------------------------------------------------------------- detection -> tree
@@ -186,29 +188,38 @@ def must_contain(node: tuple) -> set[tuple[str, str]]:
     return set()
 
 
-def fields_of(node: tuple) -> set[str]:
-    if node[0] == "leaf":
-        return {node[1]} if node[1] and node[2] in ("like",) else set()
-    if node[0] == "not":
-        return fields_of(node[1])
-    return set().union(*map(fields_of, node[1])) if node[1] else set()
+def anchor_cover(node: tuple) -> set[tuple[str, str]] | None:
+    """(field, literal) pairs of which every match contains at least one; None = no such set is known.
+
+    AND needs one part's cover only (the one whose shortest literal is longest), OR those of all its parts.
+    """
+    kind = node[0]
+    if kind == "and":
+        known = [c for c in map(anchor_cover, node[1]) if c]
+        return max(known, key=lambda c: (min(len(t) for _, t in c), -len(c)), default=None)
+    if kind == "or":
+        covers = [anchor_cover(n) for n in node[1]]
+        return None if not covers or any(c is None for c in covers) else set().union(*covers)
+    return must_contain(node) or None if kind == "leaf" else None
 
 
 class FieldSource:
-    """Columns of one event table, with case-folded copies made once per field."""
+    """Columns of one event table; ``to_column`` reads them."""
 
-    def __init__(self, df: DataFrame, folded: dict[str, str] | None = None):
-        self.df, self.folded = df, folded or {}
+    def __init__(self, df: DataFrame):
+        self.df = df
 
     def raw(self, name: str) -> Column:
         return fld(self.df, name)
 
-    def fold(self, name: str) -> Column:
-        return F.col(self.folded[name]) if name in self.folded else L.fold(self.raw(name))
-
     def values(self) -> list[Column]:
-        skip = {"run_id", "seq", "source", "provider_name", "event_id", "ts", "computer", "event_type", "data"}
-        return [F.col(f"`{c}`") for c, t in self.df.dtypes if c not in skip and t == "string" and not c.startswith("__")]
+        return [F.col(f"`{c}`") for c in value_columns(self.df)]
+
+
+def value_columns(df: DataFrame) -> list[str]:
+    """Promoted string fields a keyword is looked for in."""
+    skip = {"run_id", "seq", "source", "provider_name", "event_id", "ts", "computer", "event_type", "data"}
+    return [c for c, t in df.dtypes if c not in skip and t == "string" and not c.startswith("__")]
 
 
 def to_column(node: tuple, src: FieldSource) -> Column:
@@ -231,7 +242,7 @@ def to_column(node: tuple, src: FieldSource) -> Column:
         return any_true(hits)
     f = src.raw(name)
     if op == "like":
-        return L.like_parts(f, list(value), False, src.fold(name))
+        return L.like_parts(f, list(value), False)
     if op == "like_cs":
         return L.like_parts(f, list(value), True)
     if op == "re":
@@ -249,6 +260,89 @@ def to_column(node: tuple, src: FieldSource) -> Column:
     return L.compare(f, op, value)
 
 
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+_COMPARE_SQL = {"num": "=", "lt": "<", "lte": "<=", "gt": ">", "gte": ">=", "neq": "<>"}
+
+
+class FieldTexts:
+    """What a rule set needs of an event's fields, each worked out once per row, and the SQL names of these columns.
+
+    Kinds: ``t`` text, ``f`` case-folded text, ``o`` text without a line break, ``n`` number, ``b`` IPv4 bits,
+    ``g`` IPv6 groups.
+    """
+
+    _MAKE = {
+        "t": lambda f: f.cast("string"), "f": L.fold, "o": lambda f: ~f.cast("string").contains("\n"), "n": as_num,
+        "b": L.ipv4_bits, "g": L.ipv6_groups,
+    }
+
+    def __init__(self, df: DataFrame):
+        self.df, self.names = df, {}
+
+    def __call__(self, kind: str, name: str) -> str:
+        return self.names.setdefault((kind, name), f"__{kind}{len(self.names)}")
+
+    def columns(self) -> list[Column]:
+        return [self._MAKE[kind](fld(self.df, name)).alias(alias) for (kind, name), alias in self.names.items()]
+
+    def keyword(self, rx: str) -> str:
+        hits = [f"coalesce(`{c}` RLIKE {quoted(rx)}, false)" for c in value_columns(self.df)]
+        if "data" in self.df.columns:
+            hits.append(f"coalesce(exists(map_values(data), x -> coalesce(x RLIKE {quoted(rx)}, false)), false)")
+        return "(" + " OR ".join(hits or ["false"]) + ")"
+
+
+def to_sql(node: tuple, src: FieldTexts) -> str:
+    """Tree to the text of a never-NULL predicate over the columns of ``src``; the JVM parses it in one call."""
+    kind = node[0]
+    if kind in ("and", "or"):
+        return "(" + f" {kind.upper()} ".join(to_sql(n, src) for n in node[1]) + ")" if node[1] else ("true" if kind == "and" else "false")
+    if kind == "not":
+        return f"(NOT {to_sql(node[1], src)})"
+    _, name, op, value = node
+    if name is None:
+        if op != "like":
+            raise ValueError("only plain text can be a keyword")
+        return src.keyword(L.wildcard_regex(list(value), False))
+    if op in ("like", "like_cs"):
+        shape, want = L.like_shape(list(value), op == "like_cs")
+        if shape == "regex":
+            return f"coalesce({src('t', name)} RLIKE {quoted(want)}, false)"
+        subject = src("t" if op == "like_cs" else "f", name)
+        if shape == "equals":
+            return f"coalesce({subject} = {quoted(want)}, false)"
+        return f"coalesce({shape}({subject}, {quoted(want)}) AND {src('o', name)}, false)"
+    if op == "re":
+        return f"coalesce({src('t', name)} RLIKE {quoted(L.to_java_regex(*value))}, false)"
+    if op == "cidr":
+        return cidr_sql(name, value, src)
+    if op == "null":
+        return f"coalesce({src('t', name)} = '', true)"
+    if op == "exists":
+        return f"({src('t', name)} IS {'NOT ' if value else ''}NULL)"
+    if op == "fieldref":
+        return f"coalesce({src('t', name)} = {src('t', value)}, false)"
+    return f"coalesce({src('n', name)} {_COMPARE_SQL[op]} {float(value)!r}D, false)"
+
+
+def cidr_sql(name: str, net: str, src: FieldTexts) -> str:
+    n = ipaddress.ip_network(net, strict=False)
+    if n.version == 4:
+        shift = 32 - n.prefixlen
+        return f"coalesce(shiftright({src('b', name)}, {shift}) = {int(n.network_address) >> shift}L, false)"
+    groups, (whole, rest) = n.network_address.exploded, divmod(n.prefixlen, 16)
+    addr = src("g", name)
+    tests = [f"startswith({addr}, {quoted(groups[: whole * 5].rstrip(':'))})" if whole else f"{addr} IS NOT NULL"]
+    if rest:
+        want = int(groups.split(":")[whole], 16) >> (16 - rest)
+        tests.append(f"shiftright(try_cast(conv(substring({addr}, {whole * 5 + 1}, 4), 16, 10) AS bigint), {16 - rest}) = {want}L")
+    return f"coalesce({' AND '.join(tests)}, false)"
+
+
 # --------------------------------------------------------------- rule sets
 
 
@@ -261,6 +355,7 @@ class Rule:
     service: str | None
     event_ids: set[int] | None
     anchors: set[tuple[str, str]] = field(default_factory=set)
+    cover: set[tuple[str, str]] | None = None
 
 
 @dataclass
@@ -313,6 +408,7 @@ def compile_rules(rules: list[dict], min_level="medium", excluded=(), disabled=(
                     None if category else service,
                     None if category else static_event_ids(tree),
                     must_contain(tree),
+                    anchor_cover(tree),
                 )
             )
         except (ValueError, KeyError, SyntaxError, re.error) as exc:
@@ -371,51 +467,67 @@ def dispatch(ruleset: RuleSet) -> dict[tuple, list[Rule]]:
     return out
 
 
-def _with_folds(events: DataFrame, names: set[str]) -> tuple[DataFrame, FieldSource]:
-    folded = {n: f"__f{i}" for i, n in enumerate(sorted(names))}
-    df = events.select("*", *[L.fold(fld(events, n)).alias(a) for n, a in folded.items()])
-    return df, FieldSource(events, folded)
+_ENTRY = "map<string,array<struct<f:int,t:string,r:array<int>>>>"
+
 
+def anchor_index(ruleset: RuleSet, prefilter: bool = True) -> tuple[dict[str, list[dict]], list[str]]:
+    """Per bucket the literals and the rules each leads to, and the fields the literals are looked for in.
 
-def predicate(rule: Rule, src: FieldSource, prefilter: bool = True) -> Column:
-    """Full predicate of one rule, the cheap necessary substrings first."""
-    full = to_column(rule.tree, src)
-    if not prefilter or not rule.anchors:
-        return full
-    # a long anchor is the more selective one; one is enough to skip most rows
-    name, text = max(rule.anchors, key=lambda a: (len(a[1]), a))
-    return L.two_valued(src.fold(name).contains(text)) & full
+    ``f`` is the field's place (-1: the rules have no anchor and are always met), ``t`` the literal, ``r`` places of
+    rules in the rule set.
+    """
+    place = {id(r): i for i, r in enumerate(ruleset.rules)}
+    fields: dict[str, int] = {}
+    out = {}
+    for key, rules in dispatch(ruleset).items():
+        entries: dict[tuple[int, str], list[int]] = {}
+        for r in rules:
+            # fewer literals to look for where all of several are needed: the longest is the most selective one
+            sure = {max(r.anchors, key=lambda a: (len(a[1]), a))} if r.anchors else r.cover
+            for name, text in sorted(sure) if prefilter and sure else [(None, "")]:
+                f = -1 if name is None else fields.setdefault(name, len(fields))
+                entries.setdefault((f, text), []).append(place[id(r)])
+        out["/".join(map(str, key))] = [{"f": f, "t": t, "r": r} for (f, t), r in entries.items()]
+    return out, list(fields)
+
+
+def _choose(texts: list[str], low: int, high: int) -> str:
+    """Predicate of rule ``n`` out of ``texts[low:high]``, found by halving."""
+    if high - low == 1:
+        return texts[low]
+    mid = (low + high) // 2
+    return f"if(n < {mid}, {_choose(texts, low, mid)}, {_choose(texts, mid, high)})"
 
 
 def apply_rules(events: DataFrame, ruleset: RuleSet, prefilter: bool = True, keep: list[str] | None = None) -> DataFrame:
     """One row per (event, matching rule).
 
-    A single scan: event types no rule reads are filtered at the source, a CASE
-    on the event type picks the rules of the bucket, matches are exploded.  No
-    shuffle.  ``keep`` limits the event columns that are carried along.
+    A single scan without a shuffle.  The row's bucket (event type, or source and id) has an index from literals to
+    rules; only rules one of whose literals occurs in the row are candidates, and only a candidate's predicate is
+    evaluated.  Rules are SQL text, parsed once, and the index is one literal, so building takes seconds for
+    thousands of rules.  ``keep`` limits the event columns that are carried along.
     """
+    cols = [F.col(f"`{c}`") for c in (keep or events.columns)]
+    if not ruleset.rules:
+        return events.where("false").select(*cols, F.lit(None).cast("string").alias("rule_id"))
     buckets = dispatch(ruleset)
-    names = set().union(*[fields_of(r.tree) | {a[0] for a in r.anchors} for r in ruleset.rules] or [set()])
+    index, fields = anchor_index(ruleset, prefilter)
     types = sorted({k[1] for k in buckets if k[0] == "type"})
     sources = sorted({k[1] for k in buckets if k[0] in ("id", "service")})
     wanted = events.filter(F.col("event_type").isin(types) | F.col("source").isin(sources))
-    df, src = _with_folds(wanted, names)
-    none = F.array().cast("array<string>")
-
-    def case(test: Callable[[tuple], Column | None]) -> Column:
-        out = None
-        for key, rules in buckets.items():
-            cond = test(key)
-            if cond is not None:
-                hit = fired([(predicate(r, src, prefilter), F.lit(r.rule_id)) for r in rules])
-                out = F.when(cond, hit) if out is None else out.when(cond, hit)
-        return none if out is None else out.otherwise(none)
-
-    by_type = case(lambda k: (F.col("event_type") == k[1]) if k[0] == "type" else None)
-    by_id = case(lambda k: ((F.col("source") == k[1]) & (F.col("event_id") == k[2])) if k[0] == "id" else None)
-    by_service = case(lambda k: (F.col("source") == k[1]) if k[0] == "service" else None)
-    cols = [F.col(f"`{c}`") for c in (keep or events.columns)]
-    return df.select(*cols, F.explode(F.concat(by_type, by_id, by_service)).alias("rule_id"))
+    src = FieldTexts(events)
+    texts = [to_sql(r.tree, src) for r in ruleset.rules]
+    where = [src("f", name) for name in fields]
+    prepared = wanted.select(
+        "*", *src.columns(), F.from_json(F.lit(json.dumps(index)), _ENTRY).alias("__index"),
+        F.from_json(F.lit(json.dumps([r.rule_id for r in ruleset.rules])), "array<string>").alias("__ids"))
+    keys = ["concat('type/', event_type)", "concat('id/', source, '/', event_id)", "concat('service/', source)"]
+    entries = "concat(" + ", ".join(f"coalesce(__index[{k}], array())" for k in keys) + ")"
+    met = f"filter({entries}, a -> a.f < 0 OR coalesce(contains(get(array({', '.join(where) or 'CAST(NULL AS string)'}), a.f), a.t), false))"
+    candidates = f"array_distinct(flatten(transform({met}, a -> a.r)))"
+    # an expression inside a lambda is evaluated as it stands: thousands of predicates would not fit generated code
+    fired_rules = f"transform(filter({candidates}, n -> {_choose(texts, 0, len(texts))}), n -> __ids[n])"
+    return prepared.select(*cols, F.explode(F.expr(fired_rules)).alias("rule_id"))
 
 
 def rule_table(spark, ruleset: RuleSet) -> DataFrame:

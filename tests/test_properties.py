@@ -96,9 +96,9 @@ def test_random_condition_trees_are_two_valued(spark):
     def tree(depth):
         if depth == 0 or rnd.random() < 0.3:
             f = rnd.choice(fields)
-            kind = rnd.choice(["like", "re", "gt", "null", "exists", "fieldref", "num"])
-            val = {"like": None, "re": ("pow|cmd", ""), "gt": 5.0, "null": None, "exists": rnd.random() < 0.5, "fieldref": rnd.choice(fields), "num": 10.0}[kind]
-            if kind == "like":
+            kind = rnd.choice(["like", "like_cs", "re", "gt", "null", "exists", "fieldref", "num"])
+            val = {"like": None, "like_cs": None, "re": ("pow|cmd", ""), "gt": 5.0, "null": None, "exists": rnd.random() < 0.5, "fieldref": rnd.choice(fields), "num": 10.0}[kind]
+            if kind in ("like", "like_cs"):
                 val = tuple(L.split_wildcards(rnd.choice(PATTERNS)))
             return ("leaf", f, kind, val)
         op = rnd.choice(["and", "or", "not"])
@@ -121,6 +121,9 @@ def test_random_condition_trees_are_two_valued(spark):
         v = row[f]
         if kind == "like":
             return py_like("".join(p if isinstance(p, str) else p[0] for p in val), v)
+        if kind == "like_cs":
+            body = "".join(re.escape(p) if isinstance(p, str) else {"*": ".*", "?": "."}[p[0]] for p in val)
+            return v is not None and re.fullmatch(body, v) is not None
         if kind == "re":
             return v is not None and re.search(val[0], v) is not None
         if kind == "gt":
@@ -136,12 +139,34 @@ def test_random_condition_trees_are_two_valued(spark):
     trees = [tree(3) for _ in range(40)]
     src = R.FieldSource(df)
     out = df.select("i", *[R.to_column(t, src).alias(f"t{j}") for j, t in enumerate(trees)]).collect()
+    texts = R.FieldTexts(df)
+    predicates = [R.to_sql(t, texts) for t in trees]
+    as_text = df.select("i", *texts.columns()).selectExpr("i", *[f"{p} AS t{j}" for j, p in enumerate(predicates)]).collect()
     by_id = {r[0]: dict(zip(fields, r[1:])) for r in rows}
-    for r in out:
+    for r in [*out, *as_text]:
         for j, t in enumerate(trees):
             assert r[f"t{j}"] == ev(t, by_id[r.i]), (t, by_id[r.i])
 
 
+def test_addresses_and_keywords_as_text_equal_columns(spark):
+    rows = [(i, v, {"K": v or "x", "L": "it's a \\\\ path"}) for i, v in enumerate(["10.2.3.4", "10.3.0.1", "::1", "2001:db8::5", "2001:db9::", "300.1.1.1", "", None, "it's", "a\\b"])]
+    df = spark.createDataFrame(rows, "i int, A string, data map<string,string>")
+    trees = [("leaf", "A", "cidr", n) for n in ("10.2.0.0/16", "10.2.3.4/32", "::/0", "2001:db8::/32", "2001:db8::/29", "0.0.0.0/1")]
+    trees += [("leaf", None, "like", tuple(L.split_wildcards(w))) for w in ("it's*", "*\\\\b", "x", "é")] + [("leaf", "A", "like", ("it's",)), ("leaf", "A", "re", ("a\\\\b|'", ""))]
+    src, texts = R.FieldSource(df), R.FieldTexts(df)
+    predicates = [R.to_sql(t, texts) for t in trees]
+    a = df.select("i", *[R.to_column(t, src).alias(f"t{j}") for j, t in enumerate(trees)])
+    b = df.select("*", *texts.columns()).selectExpr("i", *[f"{p} AS t{j}" for j, p in enumerate(predicates)])
+    assert sorted(a.collect()) == sorted(b.collect()) and any(any(r[1:]) for r in a.collect())
+
+
+def test_every_match_contains_one_of_the_cover():
+    tree = R.rule_tree({"detection": {"a": {"X|contains": ["abcdef", "ghijkl"]}, "b": {"Y|endswith": "longer-literal"}, "c": {"Z|re": "x"}, "condition": "(a and c) or b"}})
+    assert R.anchor_cover(tree) == {("X", "abcdef"), ("X", "ghijkl"), ("Y", "longer-literal")}
+    for text in ("a or c", "not a", "c"):
+        assert R.anchor_cover(R.rule_tree({"detection": {"a": {"X|contains": "abcdef"}, "c": {"Z|re": "x"}, "condition": text}})) is None
+
+
 def test_random_rules_prefilter_changes_nothing(spark):
     rnd = random.Random(5)
     vals = ["powershell", "cmd.exe", "abc", "notepad", "enc"]
