@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from detectframe import fixed
 from detectframe.catalog.base import adapter, query, table
 from detectframe.catalog.joins import trace_and_host
+from detectframe.functions.scalar import micros
 from detectframe.operators import sequence as G
 
 PARSED = """
@@ -81,6 +82,64 @@ def g_all(spark, d):
     return x.filter(F.col("event_type").isin("ApitraceInjectionChain", "ApitraceCryptoBurst", "ApitraceAntiDebug", "ApitraceTransactionAbuse", "ApiTraceTruncated", "ApitraceCrossProcessRead"))
 
 
+# the evidence rows of every alert, written by hand: type, group inside (run, actor), place of the slot, rows it holds
+EVIDENCE = f"""
+n AS (SELECT c.*, api IN ('GetTickCount64', 'NtQuerySystemTime') AS poll, api = 'NtSetTimer' AND apc AS ta, ex AND (api = 'NtProtectVirtualMemory' AND (crossp OR size >= 4096)) AS flip, ex AND api = 'NtAllocateVirtualMemory' AS alloc,
+  CASE WHEN api IN ('NtDelayExecution', 'NtSetTimer') AND NOT (api = 'NtSetTimer' AND apc) AND NOT alertable AND delay BETWEEN 0 AND 86400000 THEN delay ELSE -1 END AS slept FROM c),
+f AS (SELECT run_id, actor, count(*) FILTER (WHERE flip) AS fl, count(*) FILTER (WHERE alloc) AS al, count(*) FILTER (WHERE poll) AS np, bool_or(ta) AS ta, bool_or(slept >= 60000) AS vl, bool_or(slept >= 10000 AND slept < 60000) AS lo,
+  count(*) FILTER (WHERE api IN ('BCryptEncrypt', 'BCryptDecrypt')) AS cr, bool_or(api = 'NtAdjustPrivilegesToken') AS ad, bool_or(api = 'NtOpenProcessToken') AS op, bool_or(api = 'NtDuplicateToken') AS du FROM n GROUP BY 1, 2),
+x AS (SELECT n.*, f.fl, f.al, f.np, f.ta AS any_ta, f.vl, f.lo, f.cr, f.ad, f.op, f.du FROM n JOIN f ON n.run_id = f.run_id AND n.actor = f.actor),
+e AS (
+  SELECT 'ApitraceInjectionChain' AS event_type, CAST(target AS varchar) AS grp, CASE WHEN api = 'NtUnmapViewOfSection' THEN 1 WHEN api = 'NtWriteVirtualMemory' THEN 2 WHEN api = 'NtResumeThread' THEN 4 ELSE 3 END AS slot, 1 AS k, c.* FROM c
+    WHERE target IS NOT NULL AND (api IN ('NtWriteVirtualMemory', 'NtCreateThreadEx', 'NtQueueApcThread', 'NtResumeThread') OR (api = 'NtUnmapViewOfSection' AND crossp)) AND NOT {_NOCHAIN}
+  UNION ALL SELECT 'ApitraceCrossProcessWrite', CAST(target AS varchar), 1, 1, c.* FROM c WHERE api = 'NtWriteVirtualMemory' AND target <> actor AND {_NOCHAIN} AND {_NOKID}
+  UNION ALL SELECT 'ApitraceExecProtection', '', 1, 1, c.* FROM x JOIN c ON c.run_id = x.run_id AND c.seq = x.seq WHERE (x.fl > 0 AND x.flip) OR (x.fl = 0 AND x.al >= 100 AND x.alloc)
+  UNION ALL SELECT 'ApitraceRemoteThread', CAST(target AS varchar), 1, 1, c.* FROM c WHERE target IS NOT NULL AND (api = 'NtResumeThread' OR (api IN ('NtCreateThreadEx', 'NtQueueApcThread') AND crossp AND target <> actor)) AND {_NOCHAIN}
+  UNION ALL SELECT 'ApitraceReflectiveLoad', lower(arg), 1, 1, c.* FROM c WHERE api = 'LdrLoadDll' AND arg LIKE 'C:%Users%'
+  UNION ALL SELECT 'ApitraceReflectiveLoad', concat('@', b.seq), CASE WHEN c.seq = b.seq THEN 2 ELSE 1 END, 1, c.* FROM
+    (SELECT s.run_id, s.actor, s.seq, min(a.seq) AS first FROM c s JOIN c a ON a.run_id = s.run_id AND a.actor = s.actor AND regexp_extract(a.arg, 'base=(\\S+)', 1) = regexp_extract(s.arg, 'start=(\\S+)', 1) AND a.seq < s.seq
+      WHERE a.api = 'NtAllocateVirtualMemory' AND a.ex AND s.api IN ('NtCreateThreadEx', 'NtResumeThread', 'NtQueueApcThread') AND regexp_extract(s.arg, 'start=(\\S+)', 1) NOT IN ('', '0x0') GROUP BY 1, 2, 3) b
+    JOIN c ON c.run_id = b.run_id AND c.seq IN (b.seq, b.first)
+  UNION ALL SELECT 'ApitraceAntiSandboxTiming', '', CASE WHEN x.ta OR x.poll THEN 1 ELSE 2 END, 1, c.* FROM x JOIN c ON c.run_id = x.run_id AND c.seq = x.seq
+    WHERE CASE WHEN x.any_ta THEN x.ta WHEN x.vl THEN x.poll OR x.slept >= 60000 WHEN x.np >= 3 AND x.lo THEN x.poll OR x.slept >= 10000 END
+  UNION ALL SELECT 'ApitraceCryptoBurst', '', 1, 3, c.* FROM x JOIN c ON c.run_id = x.run_id AND c.seq = x.seq WHERE x.cr >= 25 AND x.api IN ('BCryptEncrypt', 'BCryptDecrypt')
+  UNION ALL SELECT 'ApitraceTokenManipulation', '', CASE x.api WHEN 'NtAdjustPrivilegesToken' THEN 1 WHEN 'NtOpenProcessToken' THEN 2 ELSE 3 END, 1, c.* FROM x JOIN c ON c.run_id = x.run_id AND c.seq = x.seq
+    WHERE x.op AND (x.ad OR x.du) AND (x.api IN ('NtAdjustPrivilegesToken', 'NtOpenProcessToken') OR (x.api = 'NtDuplicateToken' AND NOT x.ad))
+  UNION ALL SELECT 'ApitraceCrossProcessRead', CAST(target AS varchar), 1, 1, c.* FROM c WHERE api = 'NtReadVirtualMemory' AND target IS NOT NULL AND {_NOKID}
+  UNION ALL SELECT 'ApitraceAntiDebug', '', 1, 2, c.* FROM c WHERE api = 'NtSetInformationThread'
+  UNION ALL SELECT 'ApitraceAntiTamper', '', 1, 2, c.* FROM c WHERE contains(arg, 'targets_module=')
+  UNION ALL SELECT 'ApitraceTransactionAbuse', '', 1, 1, c.* FROM c WHERE api = 'NtCreateTransaction'
+  UNION ALL SELECT 'ApitracePpidSpoof', '', 1, 1, c.* FROM c WHERE api = 'NtCreateUserProcess' AND spoofed
+  UNION ALL SELECT 'ApiTraceTruncated', '', 1, 1, c.* FROM c WHERE category = 'meta' AND api IN ('__event_cap_reached__', '__pipe_lost__')),
+first AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY event_type, run_id, actor, grp, slot ORDER BY seq) <= k),
+placed AS (SELECT first.*, row_number() OVER (PARTITION BY first.event_type, first.run_id, actor, grp ORDER BY slot, first.seq) AS pos, epoch_us(calls.ts) AS us FROM first JOIN calls ON calls.run_id = first.run_id AND calls.seq = first.seq),
+shown AS (SELECT *, arg = lag(arg) OVER (PARTITION BY event_type, run_id, actor, grp ORDER BY pos) AS again, row_number() OVER (PARTITION BY event_type, run_id, actor, grp, api ORDER BY pos) = 1 AS new_api FROM placed)"""
+
+
+@query("g_evidence", using="calls", oracle=f"""
+WITH {PARSED.strip()}, {EVIDENCE.strip()}
+SELECT run_id, actor, event_type, CASE WHEN event_type IN ('ApitraceInjectionChain', 'ApitraceCrossProcessWrite', 'ApitraceRemoteThread', 'ApitraceCrossProcessRead') THEN max(target) WHEN event_type = 'ApitraceTokenManipulation' THEN max(target) FILTER (WHERE api = 'NtOpenProcessToken')
+    WHEN event_type = 'ApitracePpidSpoof' THEN max(child) END AS target, arg_max(us, pos) AS ts_us, string_agg(api, ',' ORDER BY pos) FILTER (WHERE new_api) AS apis, string_agg(arg, '|' ORDER BY pos) FILTER (WHERE NOT coalesce(again, false)) AS samples, count(*) AS n_evidence
+FROM shown GROUP BY event_type, run_id, actor, grp""")
+def g_evidence(spark, d):
+    """Every signature's alerts with their time, the calls behind them and samples of the arguments."""
+    x = G.as_alerts(G.all_signatures(adapter(spark, d, "calls")))
+    return x.select(
+        "run_id", "actor", "event_type", F.col("named_pid").alias("target"), micros(F.col("ts")).alias("ts_us"), F.array_join("apis", ",").alias("apis"),
+        F.array_join("samples", "|").alias("samples"), F.size("evidence").cast("long").alias("n_evidence"))
+
+
+@query("g5_module_load_both", using="calls", oracle=f"""
+WITH {PARSED.strip()}, {EVIDENCE.strip()}
+SELECT run_id, actor, arg_max(us, pos) AS ts_us, arg_max(seq, pos) AS seq, CASE WHEN max(pos) = 1 THEN concat('Module loaded from user-writable/UNC path: ', max(arg))
+  ELSE concat('Executable allocation at ', regexp_extract(arg_max(arg, pos), 'start=(\\S+)', 1), ' followed by thread start at the same address (reflective load)') END AS detail
+FROM shown WHERE event_type = 'ApitraceReflectiveLoad' GROUP BY run_id, actor, grp""")
+def g5_both(spark, d):
+    """Loads from unusual paths and threads started in executable allocations, in one result."""
+    x = G.as_alerts(G.module_loads(adapter(spark, d, "calls")))
+    return x.select("run_id", "actor", micros(F.col("ts")).alias("ts_us"), F.element_at("evidence", -1)["seq"].alias("seq"), "detail")
+
+
 _BOTH = sorted({a for apis in fixed.EVENT_CALLS.values() for a in apis})
 
 

@@ -151,17 +151,21 @@ def counterpart_misses(
     )
 
 
-def same_value_sequence(first: DataFrame, then: DataFrame, keys: list[str]) -> DataFrame:
+def same_value_sequence(first: DataFrame, then: DataFrame, keys: list[str], carry: str | None = None) -> DataFrame:
     """Rows of ``then`` with an earlier ``first`` row of the same keys (both carry ``seq``).
 
-    Only the earliest ``first`` per key matters, so the join is N:1.
+    Only the earliest ``first`` per key matters, so the join is N:1.  ``carry`` names a column of that row to bring
+    along as ``first_<carry>``.
     """
-    start = first.groupBy(*keys).agg(F.min("seq").alias("first_seq"))
+    start = first.groupBy(*keys).agg(F.min("seq").alias("first_seq"), *([F.min_by(carry, "seq").alias(f"first_{carry}")] if carry else []))
     return then.join(start, keys).filter(F.col("seq") > F.col("first_seq"))
 
 
 def alloc_then_start(events: DataFrame) -> DataFrame:
-    """Executable allocation at an address, later a thread started there."""
+    """Executable allocation at an address, later a thread started there.
+
+    ``row`` and ``first_row`` hold the start and the allocation as ``(seq, ts, api, arg)``.
+    """
     starters = fixed.THREAD_APIS + ["NtResumeThread"]
     t = trace_rows(events).filter(F.col("pid").isNotNull() & F.col("api").isin(fixed.ALLOC_APIS + starters))
 
@@ -170,10 +174,11 @@ def alloc_then_start(events: DataFrame) -> DataFrame:
         return F.struct(at("base").alias("base"), at("start").alias("start"), kv_bool(kv, "executable").alias("executable"))
 
     # generated, so that later filters do not parse the argument again
-    t = t.select("run_id", "pid", "seq", "ts", "api", F.explode(F.array(let(parse_kv(F.col("arg")), parts))).alias("p"))
-    allocs = t.filter(F.col("api").isin(fixed.ALLOC_APIS) & F.col("p.executable")).select("run_id", "pid", "seq", F.col("p.base").alias("addr"))
-    starts = t.filter(F.col("api").isin(starters)).select("run_id", "pid", "seq", "ts", "api", F.col("p.start").alias("addr"))
-    return same_value_sequence(allocs, starts, ["run_id", "pid", "addr"])
+    row = F.struct("seq", "ts", "api", F.coalesce("arg", F.lit("")).alias("arg")).alias("row")
+    t = t.select("run_id", "pid", "seq", "ts", "api", row, F.explode(F.array(let(parse_kv(F.col("arg")), parts))).alias("p"))
+    allocs = t.filter(F.col("api").isin(fixed.ALLOC_APIS) & F.col("p.executable")).select("run_id", "pid", "seq", "row", F.col("p.base").alias("addr"))
+    starts = t.filter(F.col("api").isin(starters)).select("run_id", "pid", "seq", "ts", "api", "row", F.col("p.start").alias("addr"))
+    return same_value_sequence(allocs, starts, ["run_id", "pid", "addr"], carry="row")
 
 
 def ioc_matches(known: DataFrame, conns: DataFrame, domains: DataFrame) -> DataFrame:

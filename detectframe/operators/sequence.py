@@ -4,13 +4,17 @@ A signature is a spec: rows it looks at, conditional aggregates per actor (or
 actor and target), a condition, a text.  All specs of one key are evaluated by a
 single ``groupBy`` with map-side partial aggregation, so 13 signatures cost one
 shuffle of small buffers, and one busy actor never sits in one task.
+
+A hit names its evidence: each spec lists slots, a slot holds the first rows of one
+kind.  A slot of one row is a minimum in the same aggregation; slots of two or three
+rows are cut to that many per key in every task before they are shuffled.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from detectframe import fixed
@@ -39,6 +43,15 @@ def calls(events: DataFrame) -> DataFrame:
         "run_id", "seq", "ts", "actor", "api", "arg", "category", "p.*")
 
 
+@dataclass
+class Slot:
+    """The first ``k`` rows of one kind; part of the evidence if ``use`` holds over the aggregates."""
+
+    rows: Column
+    k: int = 1
+    use: Column | None = None
+
+
 @dataclass
 class Spec:
     event_type: str
@@ -50,6 +63,8 @@ class Spec:
     detail: Column
     apis: list[str] | None = None  # call names the signature can look at, if it is that narrow
     target: str | None = None  # aggregate that names the target, where the keys do not
+    slots: list[Slot] = field(default_factory=list)  # evidence in order; none: the first row
+    named: str | None = None  # aggregate with the process an alert names, where that is not the target
 
 
 def _api(*names: str) -> Column:
@@ -94,14 +109,14 @@ def specs() -> dict[str, Spec]:
              (col("write") & started) | (col("unmap") & (col("write") | started)),
              F.when(col("unmap"), text("Process hollowing into ", col("target"), ": image unmapped, then written/started"))
              .otherwise(text("Write into remote process ", col("target"), " followed by thread start/resume")),
-             chain_apis),
+             chain_apis, slots=[Slot(unmap), Slot(write), Slot(thread), Slot(resume)]),
         Spec("ApitraceCrossProcessWrite", 9202, PAIR, has_target & write & (col("target") != col("actor")), {},
              lit(True), text("Cross-process write into process ", col("target")), ["NtWriteVirtualMemory"]),
         Spec("ApitraceExecProtection", 9203, ACTOR, flip | alloc, {"flips": _n(flip), "allocs": _n(alloc)},
              (col("flips") > 0) | (col("allocs") >= fixed.EXEC_ALLOC_MIN),
              F.when(col("flips") > 0, lit("Memory protection changed to executable"))
              .otherwise(text(col("allocs"), " executable memory allocations")),
-             ["NtProtectVirtualMemory", *fixed.ALLOC_APIS]),
+             ["NtProtectVirtualMemory", *fixed.ALLOC_APIS], slots=[Slot(flip), Slot(alloc, use=col("flips") == 0)]),
         Spec("ApitraceRemoteThread", 9204, PAIR, has_target & remote, {"via": first(col("api"), has_target & remote)}, lit(True),
              text(F.when(col("via") == "NtCreateThreadEx", "Remote thread start via ").otherwise("Remote thread resume via "),
                   col("via"), " on process ", col("target")), [*fixed.THREAD_APIS, "NtResumeThread"]),
@@ -111,27 +126,29 @@ def specs() -> dict[str, Spec]:
              F.when(col("apc"), lit("Code execution scheduled via timer APC (sleep-obfuscation family)"))
              .when(col("very_long"), lit("Very long relative delay (>= 60s) inside the analysis window"))
              .otherwise(lit("Timing-source polling combined with a long delay (time-acceleration check)")),
-             ["GetTickCount64", "NtQuerySystemTime", "NtDelayExecution", "NtSetTimer"]),
+             ["GetTickCount64", "NtQuerySystemTime", "NtDelayExecution", "NtSetTimer"],
+             slots=[Slot(timer_apc), Slot(polls, use=~col("apc")), Slot(very_long, use=~col("apc")), Slot(long_, use=~col("apc") & ~col("very_long"))]),
         Spec("ApitraceCryptoBurst", 9208, ACTOR, crypt, {"ops": _n(crypt)},
              col("ops") >= fixed.CRYPTO_MIN, text(col("ops"), " bulk encrypt/decrypt operations from one process"),
-             ["BCryptEncrypt", "BCryptDecrypt"]),
+             ["BCryptEncrypt", "BCryptDecrypt"], slots=[Slot(crypt, 3)]),
         Spec("ApitraceTokenManipulation", 9209, ACTOR, adjust | opened | dup,
              {"adjust": _has(adjust), "open": _has(opened), "dup": _has(dup), "tok": first(col("target"), opened), "adj": first(col("arg"), adjust)},
              col("open") & (col("adjust") | col("dup")),
              F.when(col("adjust"), text("Privilege escalation followed by token action (", col("adj"), ")"))
              .otherwise(text("Token of process ", F.coalesce(col("tok").cast("string"), lit("None")), " opened and duplicated (token theft)")),
-             ["NtAdjustPrivilegesToken", "NtOpenProcessToken", "NtDuplicateToken"], target="tok"),
+             ["NtAdjustPrivilegesToken", "NtOpenProcessToken", "NtDuplicateToken"], target="tok",
+             slots=[Slot(adjust), Slot(opened), Slot(dup, use=~col("adjust"))]),
         Spec("ApitraceCrossProcessRead", 9211, PAIR, has_target & _api("NtReadVirtualMemory"), {}, lit(True),
              text("Cross-process memory read from process ", col("target")), ["NtReadVirtualMemory"]),
         Spec("ApitraceAntiDebug", 9210, ACTOR, debug, {"debug_arg": first(col("arg"), debug)}, lit(True),
-             text("Anti-debugging behavior (", col("debug_arg"), ")"), ["NtSetInformationThread", "NtSetInformationProcess"]),
+             text("Anti-debugging behavior (", col("debug_arg"), ")"), ["NtSetInformationThread", "NtSetInformationProcess"], slots=[Slot(debug, 2)]),
         Spec("ApitraceAntiTamper", 9212, ACTOR, tamper, {"tamper_arg": first(col("arg"), tamper)}, lit(True),
              text("Memory write/protect inside ", F.when(col("tamper_arg").contains("targets_module=ntdll"), "ntdll").otherwise("amsi.dll"),
-                  " (unhooking / ETW-AMSI blinding attempt)")),
+                  " (unhooking / ETW-AMSI blinding attempt)"), slots=[Slot(tamper, 2)]),
         Spec("ApitraceTransactionAbuse", 9213, ACTOR, _api("NtCreateTransaction"), {}, lit(True),
              lit("NTFS transaction created (process doppelganging primitive)"), ["NtCreateTransaction"]),
-        Spec("ApitracePpidSpoof", 9214, ACTOR, spoof, {"named": first(F.coalesce(col("ppid"), lit("None")), spoof)}, lit(True),
-             text("Parent-PID spoof: child created naming pid ", col("named"), " as parent"), ["NtCreateUserProcess"]),
+        Spec("ApitracePpidSpoof", 9214, ACTOR, spoof, {"named": first(F.coalesce(col("ppid"), lit("None")), spoof), "made": first(F.struct("child"), spoof)}, lit(True),
+             text("Parent-PID spoof: child created naming pid ", col("named"), " as parent"), ["NtCreateUserProcess"], named="made.child"),
         Spec("ApiTraceTruncated", 9206, ACTOR, marks,
              {"cap": _has(marks & _api(fixed.META_CAP)), "lost": _has(marks & _api(fixed.META_LOST))}, lit(True),
              F.when(col("lost") & col("cap"), "API-trace volume cap reached and collector pipe was lost; sequence is incomplete")
@@ -149,21 +166,49 @@ def specs() -> dict[str, Spec]:
     return {s.event_type: s for s in out}
 
 
+_ROW = ["seq", "ts", "api", "arg"]
+_NAMES = ["target", "event_id", "event_type", "n_rows", "first_seq", "first_ts", "first_arg", "detail", "named_pid", "evidence"]
+
+
+def _first_rows(rows: DataFrame, keys: list[str], slots: dict[str, Slot]) -> DataFrame:
+    """Per key and slot the first ``k`` rows in order, as an array column per slot."""
+    kinds = F.array_compact(F.array(*[F.when(two_valued(s.rows), F.lit(name)) for name, s in slots.items()]))
+    x = rows.select(*keys, *_ROW, F.explode(kinds).alias("__slot"))
+    ranked = x.withColumn("__k", F.row_number().over(Window.partitionBy(*keys, "__slot").orderBy(*_ROW)))
+    ranked = ranked.filter(F.col("__k") <= max(s.k for s in slots.values()))
+    return ranked.groupBy(*keys).agg(*[
+        F.array_sort(F.collect_list(F.when((F.col("__slot") == name) & (F.col("__k") <= s.k), F.struct(*_ROW)))).alias(name) for name, s in slots.items()])
+
+
 def run_specs(rows: DataFrame, chosen: list[Spec]) -> DataFrame:
-    """Evaluate specs that share their keys with one aggregation."""
+    """Evaluate specs that share their keys with one aggregation; ``evidence`` has the rows behind a hit in order."""
     keys = chosen[0].keys
     used = sorted({a for s in chosen for a in (s.apis or [])})
     if used and all(s.apis for s in chosen):
         rows = rows.filter(F.col("api").isin(used))  # names reach the scan, arguments are parsed for these rows only
     flags = [two_valued(s.rows).alias(f"__r{i}") for i, s in enumerate(chosen)]
     x = rows.select("*", *flags).filter(any_true([F.col(f"__r{i}") for i in range(len(chosen))]))
-    aggs = []
+    aggs, deep, parts = [], {}, {}
     for i, s in enumerate(chosen):
         mine = F.col(f"__r{i}")
         aggs.append(F.min(F.when(mine, F.struct("seq", "ts", "arg"))).alias(f"__e{i}"))
         aggs.append(F.count_if(mine).alias(f"__n{i}"))
         aggs += [a.alias(n) for n, a in s.aggs.items()]
+        parts[i] = []
+        for j, slot in enumerate(s.slots or [Slot(mine)]):
+            name = f"__s{i}_{j}"
+            only = Slot(mine & slot.rows, slot.k)
+            if slot.k == 1:
+                aggs.append(F.min(F.when(two_valued(only.rows), F.struct(*_ROW))).alias(name))
+                found = F.array_compact(F.array(F.col(name)))
+            else:
+                deep[name] = only
+                found = F.col(name)
+            parts[i].append(found if slot.use is None else F.when(slot.use, found).otherwise(F.slice(found, 1, 0)))
     g = x.groupBy(*keys).agg(*aggs)
+    if deep:
+        g = g.join(_first_rows(x, keys, deep), keys, "left")
+        g = g.withColumns({name: F.coalesce(F.col(name), F.array().cast(g.schema[name].dataType)) for name in deep})
     target = F.col("target") if "target" in keys else F.lit(None).cast("bigint")
     hits = [
         F.when(
@@ -172,13 +217,28 @@ def run_specs(rows: DataFrame, chosen: list[Spec]) -> DataFrame:
                 F.lit(s.event_id).alias("event_id"), F.lit(s.event_type).alias("event_type"), F.col(f"__n{i}").alias("n_rows"),
                 F.col(f"__e{i}")["seq"].alias("first_seq"), F.col(f"__e{i}")["ts"].alias("first_ts"),
                 F.col(f"__e{i}")["arg"].alias("first_arg"), s.detail.alias("detail"), (F.col(s.target) if s.target else target).alias("target"),
+                (F.col(s.named) if s.named else F.col(s.target) if s.target else target).alias("named_pid"),
+                F.concat(*parts[i]).alias("evidence"),
             ),
         )
         for i, s in enumerate(chosen)
     ]
     fired = F.filter(F.array(*hits), lambda v: v.isNotNull())
-    names = ["target", "event_id", "event_type", "n_rows", "first_seq", "first_ts", "first_arg", "detail"]
-    return g.select("run_id", "actor", F.explode(fired).alias("h")).select("run_id", "actor", *[f"h.{n}" for n in names])
+    return g.select("run_id", "actor", F.explode(fired).alias("h")).select("run_id", "actor", *[f"h.{n}" for n in _NAMES])
+
+
+def as_alerts(hits: DataFrame) -> DataFrame:
+    """Hits as alerts: time of the last evidence row, the calls seen in it, and samples of their arguments.
+
+    ``apis`` are distinct in evidence order; ``samples`` leave out empty arguments and repeats of the one before, up
+    to the alert format's own length.
+    """
+    ev = F.col("evidence")
+    grown = F.aggregate(
+        F.filter(F.transform(ev, lambda x: x["arg"]), lambda a: a != ""), F.array().cast("array<string>"),
+        lambda acc, a: F.when((F.size(acc) < fixed.MAX_EVIDENCE_SAMPLES) & ~two_valued(F.try_element_at(acc, F.lit(-1)) == a), F.concat(acc, F.array(a))).otherwise(acc))
+    apis = F.array_distinct(F.filter(F.transform(ev, lambda x: x["api"]), lambda a: a.isNotNull() & (a != "")))
+    return hits.select("*", F.element_at(ev, -1)["ts"].alias("ts"), apis.alias("apis"), grown.alias("samples"))
 
 
 def signature(events: DataFrame, event_type: str) -> DataFrame:
@@ -198,16 +258,22 @@ def signature(events: DataFrame, event_type: str) -> DataFrame:
 
 
 def reflective_starts(events: DataFrame) -> DataFrame:
-    """G5, second form: E4 rows as alerts."""
+    """G5, second form: E4 rows as hits; the allocation and the start are the evidence."""
     return alloc_then_start(events).select(
         "run_id", F.col("pid").alias("actor"), F.lit(None).cast("bigint").alias("target"), F.lit(9205).alias("event_id"),
         F.lit("ApitraceReflectiveLoad").alias("event_type"), F.lit(1).cast("bigint").alias("n_rows"), F.col("seq").alias("first_seq"),
         F.col("ts").alias("first_ts"), F.col("addr").alias("first_arg"),
         F.concat(F.lit("Executable allocation at "), F.col("addr"),
                  F.lit(" followed by thread start at the same address (reflective load)")).alias("detail"),
+        F.lit(None).cast("bigint").alias("named_pid"), F.array("first_row", "row").alias("evidence"),
     )
 
 
+def module_loads(events: DataFrame) -> DataFrame:
+    """G5 in both forms: modules loaded from unusual paths, and threads started in executable allocations."""
+    return signature(events, "ApitraceReflectiveLoad").unionByName(reflective_starts(events))
+
+
 def all_signatures(events: DataFrame) -> DataFrame:
     """G1-G14 together: one aggregation per actor, one per (actor, target)."""
     rows = calls(events)

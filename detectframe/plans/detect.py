@@ -62,9 +62,10 @@ def alert_rows(events: DataFrame, runs: DataFrame, ruleset: R.RuleSet, both_apis
     av = T.av_detections(events, T.sample_starts(events, runs)).select(
         "run_id", "seq", "ts", F.lit("windefend").alias("source"), F.lit(1116).alias("event_id"), F.lit("DefenderThreatDetected").alias("event_type"),
         F.col("threat").alias("Threat Name"), F.col("severity_name").alias("Severity Name"), "in_scope")
-    sig = G.all_signatures(events).select(
-        "run_id", F.col("first_seq").alias("seq"), F.col("first_ts").alias("ts"), F.lit("apitrace").alias("source"), "event_id", "event_type",
-        text(F.col("actor")).alias("ProcessId"), text(F.col("target")).alias("TargetProcessId"), F.col("detail").alias("Type"))
+    sig = G.as_alerts(G.all_signatures(events)).select(
+        "run_id", F.col("first_seq").alias("seq"), "ts", F.lit("apitrace").alias("source"), "event_id", "event_type",
+        text(F.col("actor")).alias("ProcessId"), text(F.col("named_pid")).alias("TargetProcessId"), F.col("detail").alias("Type"),
+        F.col("apis").alias("EvidenceApis"), F.col("samples").alias("Evidence"))
     blind = J.counterpart_misses(events).select(
         "run_id", F.col("first_seq").alias("seq"), F.col("first_ts").alias("ts"), F.lit("apitrace").alias("source"), F.lit(9215).alias("event_id"), F.lit("ApitraceBlindSpot").alias("event_type"),
         text(F.col("pid")).alias("ProcessId"), F.concat(F.lit("hook "), "hook", F.lit(" blind: "), text(F.col("misses"))).alias("Type"))
