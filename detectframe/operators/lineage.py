@@ -1,8 +1,11 @@
 """Process lineage and trees.
 
-Descent is a loop of frontier joins over (parent, child) edges of *all* runs at
-once.  Every level is written to the shared folder, so plans stay flat, lost
-executors cost nothing and the next level reads plain files.
+Closures run over (parent, child) edges of *all* runs at once.  A node with one
+parent points to it, and pointers are doubled until they end at a seed or at a
+node with several parents, so a chain of ten thousand processes takes 14 rounds.
+Only the nodes with several parents are left to a frontier loop.  Every round is
+written to the shared folder, so plans stay flat and lost executors cost nothing;
+the rounds go when the result is written.
 """
 
 from __future__ import annotations
@@ -12,50 +15,108 @@ from pyspark.sql import functions as F
 
 from detectframe.functions.leaf import two_valued
 from detectframe.functions.scalar import as_int, basename, micros
-from detectframe.scale import cut, scratch_path
+from detectframe.scale import Scratch, cut
 from detectframe.schema import fld
 
 
+def _halves(s: Scratch, frame: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that have found their head, and the others; written once."""
+    written = s.cut(frame, name)
+    return written.filter("done"), written.filter("NOT done")
+
+
+def _to_heads(s: Scratch, parents: DataFrame, heads: DataFrame) -> DataFrame:
+    """Pointer doubling: ``run_id, node, to, dist, seg`` for each node below a head.
+
+    ``parents`` are single-parent nodes that are no heads.  A row points ``dist`` steps up to ``to``; ``seg`` are the
+    ids on the way, ``to`` not among them.  Nodes without a head above them fall out, at a cycle after as many rounds
+    as the longest possible chain needs.
+    """
+    ends = heads.select("run_id", "node", F.col("node").alias("to"), F.lit(0).alias("dist"), F.array().cast("array<string>").alias("seg"))
+    done = ends.withColumn("done", F.lit(True))
+    first = parents.select("run_id", "node", F.col("parent").alias("to"), F.lit(1).alias("dist"), F.col("seg")).withColumn("done", F.lit(False))
+    left = s.cut(first, "pointers")
+    rounds = max(left.count(), 1).bit_length() + 1
+    for _ in range(rounds):
+        if left.isEmpty():
+            break
+        over = done.unionByName(left).select("run_id", F.col("node").alias("to"), F.col("to").alias("__to"), F.col("dist").alias("__dist"), F.col("seg").alias("__seg"), F.col("done").alias("__done"))
+        moved = left.drop("done").join(over, ["run_id", "to"]).select(
+            "run_id", "node", F.col("__to").alias("to"), (F.col("dist") + F.col("__dist")).alias("dist"), F.concat("__seg", "seg").alias("seg"), F.col("__done").alias("done"))
+        found, left = _halves(s, moved, "pointers")
+        done = done.unionByName(found)
+    return done.drop("done")
+
+
 def descend(edges: DataFrame, seeds: DataFrame, max_levels: int = 100_000, with_path: bool = False) -> DataFrame:
     """Closure of ``seeds(run_id, node)`` over ``edges(run_id, parent, child)``.
 
-    Returns ``run_id, node, depth`` (depth of the first visit) and, if asked,
-    ``path`` (ids from the seed down).  A node is visited once, so cycles end.
+    Returns ``run_id, node, depth`` (the least number of steps) and, if asked,
+    ``path`` (ids from the seed down; the smallest of the shortest ones).
     """
     spark = edges.sparkSession
-    base = scratch_path(spark, "descend")
-    narrow = edges.select("run_id", "parent", "child").filter(F.col("parent").isNotNull() & F.col("child").isNotNull())
-    links = cut(narrow.distinct(), "edges")
-    level = seeds.select("run_id", "node").distinct().withColumn("depth", F.lit(0))
-    if with_path:
-        level = level.withColumn("path", F.array(F.col("node").cast("string")))
-    schema = level.schema
-    paths: list[str] = []
-    for depth in range(max_levels + 1):
-        path = f"{base}/{depth}"
-        level.write.parquet(path)
-        front = spark.read.schema(schema).parquet(path)
+    with Scratch(spark) as s:
+        narrow = edges.select("run_id", "parent", "child").filter(F.col("parent") != F.col("child"))
+        start = s.cut(seeds.select("run_id", "node").filter(F.col("node").isNotNull()).distinct(), "seeds")
+        links = s.cut(narrow.groupBy("run_id", F.col("child").alias("node")).agg(F.min("parent").alias("parent"), F.max("parent").alias("other")), "links")
+        several = links.filter("parent <> other").select("run_id", "node")
+        heads = start.unionByName(several).distinct()
+        seg = F.array(F.col("node").cast("string")) if with_path else F.array().cast("array<string>")
+        single = links.filter("parent = other").join(start, ["run_id", "node"], "left_anti").withColumn("seg", seg)
+        below = _to_heads(s, single, heads)
+        best = start.select("run_id", "node", F.lit(0).alias("depth"), (F.array(F.col("node").cast("string")) if with_path else F.array().cast("array<string>")).alias("path"))
+        if not several.isEmpty():
+            best = _over_heads(s, narrow.join(several, [narrow["run_id"] == several["run_id"], narrow["child"] == several["node"]]).select(narrow["*"]), below, best, max_levels, with_path)
+        top = best.select("run_id", F.col("node").alias("to"), "depth", "path")
+        out = below.join(top, ["run_id", "to"]).select("run_id", "node", (F.col("depth") + F.col("dist")).alias("depth"), F.concat("path", "seg").alias("path"))
+        return s.keep(out if with_path else out.drop("path"), "closure")
+
+
+def _over_heads(s: Scratch, into: DataFrame, below: DataFrame, best: DataFrame, max_levels: int, with_path: bool) -> DataFrame:
+    """Least ``(depth, path)`` of every reached head; ``into`` are the edges into nodes with several parents.
+
+    An edge is lengthened to the head above its parent, so one step crosses a whole chain.
+    """
+    end = F.array(F.col("child").cast("string")) if with_path else F.array().cast("array<string>")
+    via = below.select("run_id", F.col("node").alias("parent"), "to", "dist", "seg")
+    hops = into.join(via, ["run_id", "parent"]).groupBy("run_id", F.col("to").alias("node"), "child").agg(
+        F.min(F.struct((F.col("dist") + 1).alias("w"), F.concat("seg", end).alias("seg"))).alias("hop"))
+    hops = s.cut(hops, "hops")
+    known = s.cut(best, "reached")
+    front = known
+    for _ in range(max_levels):
+        step = front.join(hops, ["run_id", "node"]).groupBy("run_id", F.col("child").alias("node")).agg(
+            F.min(F.struct((F.col("depth") + F.col("hop.w")).alias("depth"), F.concat("path", F.col("hop.seg")).alias("path"))).alias("x")).select("run_id", "node", "x.*")
+        old = known.groupBy("run_id", "node").agg(F.min(F.struct("depth", "path")).alias("old"))
+        better = step.join(old, ["run_id", "node"], "left").filter(F.col("old").isNull() | (F.struct("depth", "path") < F.col("old"))).drop("old")
+        front = s.cut(better, "reached")
         if front.isEmpty():
-            break
-        paths.append(path)
-        seen = spark.read.schema(schema).parquet(*paths)
-        nxt = links.join(front.withColumnRenamed("node", "parent"), ["run_id", "parent"]).select(
-            "run_id", F.col("child").alias("node"), *(["path"] if with_path else [])
-        )
-        nxt = nxt.join(seen.select("run_id", "node"), ["run_id", "node"], "left_anti")
-        if with_path:
-            # several parents can reach a node at once: the smallest path is kept
-            level = nxt.groupBy("run_id", "node").agg(F.min("path").alias("path")).select(
-                "run_id", "node", F.lit(depth + 1).alias("depth"),
-                F.concat("path", F.array(F.col("node").cast("string"))).alias("path"),
-            )
-        else:
-            level = nxt.distinct().withColumn("depth", F.lit(depth + 1))
-    else:
-        raise RuntimeError(f"more than {max_levels} levels")
-    if not paths:
-        return spark.read.schema(schema).parquet(f"{base}/0")
-    return spark.read.schema(schema).parquet(*paths)
+            return known.groupBy("run_id", "node").agg(F.min(F.struct("depth", "path")).alias("x")).select("run_id", "node", "x.*")
+        known = known.unionByName(front)
+    raise RuntimeError(f"more than {max_levels} levels")
+
+
+def ascend(links: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``seeds(run_id, node)`` and all their ancestors over ``links(run_id, node, parent)``.
+
+    Each round adds the ancestors as far up again as the rounds before reached.  With several parents to a node the
+    doubled links could outgrow the input; such links take the frontier loop.
+    """
+    spark = links.sparkSession
+    up = links.select("run_id", "node", "parent").filter(F.col("node") != F.col("parent")).distinct()
+    if not up.groupBy("run_id", "node").count().filter("count > 1").isEmpty():
+        return descend(up.select("run_id", F.col("node").alias("parent"), F.col("parent").alias("child")), seeds).select("run_id", "node")
+    with Scratch(spark) as s:
+        pointers = s.cut(up, "up")
+        known = s.cut(seeds.select("run_id", "node").filter(F.col("node").isNotNull()).distinct(), "known")
+        while True:
+            new = known.join(pointers, ["run_id", "node"]).select("run_id", F.col("parent").alias("node")).distinct()
+            new = s.cut(new.join(known, ["run_id", "node"], "left_anti"), "new")
+            if new.isEmpty():
+                return s.keep(known, "ancestors")
+            known = known.unionByName(new)
+            far = pointers.select("run_id", F.col("node").alias("parent"), F.col("parent").alias("far"))
+            pointers = s.cut(pointers.join(far, ["run_id", "parent"]).select("run_id", "node", F.col("far").alias("parent")), "up")
 
 
 def creates(events: DataFrame) -> DataFrame:
@@ -195,10 +256,9 @@ def interesting_subtree(links: DataFrame, roots: DataFrame, marked: DataFrame) -
     """
     edges = links.select("run_id", F.col("parent_pid").alias("parent"), F.col("pid").alias("child"))
     down = descend(edges, roots.select("run_id", F.col("pid").alias("node"))).select("run_id", "node")
-    up_edges = edges.select("run_id", F.col("child").alias("parent"), F.col("parent").alias("child"))
     seeds = down.unionByName(marked.select("run_id", F.col("pid").alias("node"))).distinct()
     known = links.select("run_id", F.col("pid").alias("node"))
-    up = descend(up_edges, seeds).select("run_id", "node")
+    up = ascend(links.select("run_id", F.col("pid").alias("node"), F.col("parent_pid").alias("parent")), seeds)
     return up.join(known, ["run_id", "node"], "left_semi").withColumnRenamed("node", "pid")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from detectframe import fixed
 from detectframe.functions.leaf import matches_unusual_load, two_valued
-from detectframe.functions.scalar import as_int, basename, entropy_text, hex_to_int
+from detectframe.functions.scalar import as_int, basename, entropy_label, hex_to_int
 from detectframe.scale import all_true, any_true, first_match
 from detectframe.schema import fld, opt
 
@@ -64,7 +64,7 @@ def dga_suspect(domain: Column) -> Column:
         & (F.char_length(sld) >= fixed.DGA_MIN_LABEL) & sld.rlike(r"^\p{ASCII}*\z")
         & sld.rlike("[bcdfghjklmnpqrstvwxz]{%d,}" % fixed.DGA_MIN_RUN)
         & (vowels / F.char_length(sld) <= fixed.DGA_MAX_VOWELS)
-        & (entropy_text(sld) >= fixed.DGA_MIN_ENTROPY)
+        & (entropy_label(sld) >= fixed.DGA_MIN_ENTROPY)
     )
 
 
@@ -72,7 +72,7 @@ def dga_reason(domain: Column) -> Column:
     sld = domain_label(clean_domain(domain))
     return F.format_string(
         "DGA-suspect domain (label '%s': len=%d, entropy=%.2f, vowel-poor) (T1568.002)",
-        F.substring(sld, 1, 24), F.char_length(sld), entropy_text(sld),
+        F.substring(sld, 1, 24), F.char_length(sld), entropy_label(sld),
     )
 
 

@@ -15,7 +15,7 @@ from detectframe.operators import joins as J
 from detectframe.operators import quality as Q
 from detectframe.operators import rules as R
 from detectframe.operators import windows as W
-from detectframe.operators.lineage import descend
+from detectframe.operators.lineage import ascend, descend
 
 T0 = datetime(2024, 1, 1)
 
@@ -192,12 +192,54 @@ def test_parse_kv_last_wins(spark):
 
 
 def test_entropy(spark):
-    texts = ["", "aaaa", "abcd", "häß aä", None]
+    texts = ["", "aaaa", "abcd", "häß aä", None, "\U0001f600é\U0001f600 a", "é", "ab" * 50000]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    for r in df.select("i", K.entropy_text(F.col("t")).alias("e")).collect():
+    bits = lambda t: -sum((t.count(c) / len(t)) * math.log2(t.count(c) / len(t)) for c in set(t)) if t else 0.0
+    for r in df.select("i", K.entropy_text(F.col("t")).alias("e"), K.entropy_label(F.col("t")).alias("l"), K.entropy_bytes(F.encode("t", "utf-8")).alias("b")).collect():
         t = texts[r.i] or ""
-        want = -sum((t.count(c) / len(t)) * math.log2(t.count(c) / len(t)) for c in set(t)) if t else 0.0
-        assert abs(r.e - want) < 1e-9
+        assert abs(r.e - bits(t)) < 1e-9 and abs(r.l - bits(t)) < 1e-9 and abs(r.b - bits(t.encode())) < 1e-4
+
+
+def test_closure_of_long_chains_many_parents_and_paths(spark):
+    rnd = random.Random(8)
+    edges = [("chain", i, i + 1) for i in range(10_000)] + [("ring", i, (i + 1) % 50) for i in range(50)]
+    edges += [("mesh", i, i + 1) for i in range(300) if i % 60] + [("mesh", rnd.randrange(300), rnd.randrange(301)) for _ in range(25)]
+    seeds = [("chain", 17), ("chain", 9000), ("mesh", 1), ("mesh", 61), ("ring", 7), ("none", 3)]
+    e = spark.createDataFrame(edges, "run_id string, parent bigint, child bigint")
+    got = {(r.run_id, r.node): (r.depth, [int(x) for x in r.path]) for r in descend(e, spark.createDataFrame(seeds, "run_id string, node bigint"), with_path=True).collect()}
+    down = {}
+    for run, p, c in edges:
+        down.setdefault((run, p), set()).add(c)
+    want, level = {s: (0, [s[1]]) for s in seeds}, list(seeds)
+    while level:
+        new = {}
+        for run, p in level:
+            for c in down.get((run, p), ()):
+                if (run, c) not in want:
+                    path = want[(run, p)][1] + [c]
+                    # ids are compared as text, as they are in the path
+                    new[(run, c)] = min(new.get((run, c), path), path, key=lambda x: [str(v) for v in x])
+        want |= {k: (len(v) - 1, v) for k, v in new.items()}
+        level = list(new)
+    assert got == want
+
+
+def test_ancestors_over_chains_forks_and_rings(spark):
+    links = [("a", i, i // 2) for i in range(1, 400)] + [("b", i, (i + 1) % 7) for i in range(7)] + [("c", i, i + 1) for i in range(5000)]
+    seeds = [("a", 399), ("a", 250), ("b", 3), ("c", 40), ("d", 1)]
+    for extra in ([], [("a", 250, 77)]):
+        parents = {}
+        for r, n, p in links + extra:
+            parents.setdefault((r, n), set()).add(p)
+        want, todo = set(seeds), list(seeds)
+        while todo:
+            r, n = todo.pop()
+            for p in parents.get((r, n), ()):
+                if (r, p) not in want:
+                    want.add((r, p))
+                    todo.append((r, p))
+        got = ascend(spark.createDataFrame(links + extra, "run_id string, node bigint, parent bigint"), spark.createDataFrame(seeds, "run_id string, node bigint"))
+        assert {(r.run_id, r.node) for r in got.collect()} == want
 
 
 def test_pattern_hits_offsets(spark):
