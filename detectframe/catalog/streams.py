@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from detectframe import fixed
-from detectframe.catalog.base import adapter, query, table
+from detectframe.catalog.base import ORACLES, adapter, query, table
 from detectframe.catalog.joins import trace_and_host
 from detectframe.catalog.rules import MATCHES, ruleset
 from detectframe.functions.scalar import micros
@@ -11,6 +11,9 @@ from detectframe.scale import scratch_path
 from detectframe.streaming import streams as S
 
 
+#: How much later than all others a closing row is: ten years.
+CLOSING_US = 3650 * 86_400_000_000
+
 #: Rows of a batch for which one more file, and so one more task, is worth it.
 FILE_ROWS = 10_000
 
@@ -32,16 +35,23 @@ def as_batches(spark, frames: list, rows: int):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def as_stream(df, batches: int = 4):
+def as_stream(df, batches: int = 4, closing: dict | None = None):
     """A table as a stream, one stretch of time after the other, so no row is late.
 
-    Rows without a time come in the first batch; an empty table has empty batches.
+    Rows without a time come in the first batch; an empty table has empty batches.  ``closing`` are the values of one
+    more row, years later, that moves the watermark over everything before it.
     """
     x = df.withColumn("ts", F.col("ts").cast("timestamp"))
     lo, hi, rows = x.agg(F.min(micros(F.col("ts"))), F.max(micros(F.col("ts"))), F.count("*")).first()
     lo, hi = lo or 0, hi or 0
     part = F.coalesce(F.floor((micros(F.col("ts")) - lo) / ((hi - lo) // batches + 1)), F.lit(0))
-    return as_batches(df.sparkSession, [x.filter(part == i) for i in range(batches)], rows)
+    frames = [x.filter(part == i) for i in range(batches)]
+    if closing is not None:
+        end = {"ts": F.lit(hi + CLOSING_US), **{c: F.lit(v) for c, v in closing.items()}}
+        row = df.sparkSession.range(1).select(*[
+            (F.timestamp_micros(end[c]) if c == "ts" else end.get(c, F.lit(None)).cast(t)).alias(c) for c, t in x.dtypes])
+        frames.append(row)
+    return as_batches(df.sparkSession, frames, rows)
 
 
 def _stateful(spark, run):
@@ -98,18 +108,37 @@ x AS (SELECT concat('run', user_id) AS run_id, ts, lead(ts) OVER (PARTITION BY u
 z AS (SELECT r.run_id, CASE WHEN exited IS NULL THEN 1e18 ELSE greatest((epoch_us(exited) - epoch_us(started)) / 1e6, 3600) END AS e, coalesce(idle_s, 1e18) AS i, timeout_s AS t FROM r LEFT JOIN i ON r.run_id = i.run_id)
 SELECT run_id, CASE WHEN e <= i AND e <= t THEN 'exit' WHEN i <= t AND i <= e THEN 'idle' ELSE 'timeout' END AS reason, round(least(e, i, t), 3) AS stop_s FROM z""")
 def m4_stop(spark, d):
+    e, runs = _runs(spark, d)
+    s = S.activity_sessions(e.select("run_id", "ts"), "1 day")
+    return S.stop_reasons(s, runs, 2 * 86400, 3600).withColumn("stop_s", F.round("stop_s", 3))
+
+
+def _runs(spark, d):
+    """Activity of every user as a run, and the runs' starts, exits and timeouts."""
     e = table(spark, d, "events").select(F.concat(F.lit("run"), F.col("user_id")).alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), "user_id")
     runs = e.groupBy("run_id", "user_id").agg(F.min("ts").alias("started"), F.max("ts").alias("last")).select(
         "run_id", "started", F.when(F.col("user_id") % 3 == 0, F.col("last") - F.expr("INTERVAL 20 DAYS")).alias("exited"), F.when(F.col("user_id") % 4 == 0, 86400.0).otherwise(2592000.0).alias("timeout_s"))
-    s = S.activity_sessions(e.select("run_id", "ts"), "1 day")
-    return S.stop_reasons(s, runs, 2 * 86400, 3600).withColumn("stop_s", F.round("stop_s", 3))
+    return e, runs
 
 
-@query("m4_sessions_stream")
+@query("m4_sessions_stream", oracle=ORACLES["m4_activity_sessions"])
 def m4_stream(spark, d):
-    """The same sessions from a stream; the last session of a run stays open until the watermark passes."""
+    """The same sessions from a stream; a closing row lets the last ones end."""
     e = table(spark, d, "events").select(F.concat(F.lit("run"), F.col("user_id") % 10).alias("run_id"), "ts")
-    return _stateful(spark, lambda: S.run_to_table(S.activity_sessions(as_stream(e), "2 hours", "1 minute"), "sessions")).select("run_id", "start", "idle_from", "n")
+    out = _stateful(spark, lambda: S.run_to_table(S.activity_sessions(as_stream(e, closing={}), "2 hours", "1 minute"), "sessions"))
+    return out.select("run_id", micros(F.col("start")).alias("start_us"), micros(F.col("idle_from")).alias("idle_us"), "n")
+
+
+@query("m4_stop_reasons_stream", oracle=ORACLES["m4_stop_reasons"])
+def m4_stop_stream(spark, d):
+    """Why each run stopped, from starts, exits and activity in order of time."""
+    e, runs = _runs(spark, d)
+    acts = e.select("run_id", "ts", F.lit("activity").alias("kind"), F.lit(None).cast("double").alias("timeout_s"))
+    marks = runs.select("run_id", F.explode(F.array(
+        F.struct(F.col("started").alias("ts"), F.lit("start").alias("kind"), F.col("timeout_s")), F.struct(F.col("exited").alias("ts"), F.lit("exit").alias("kind"), F.lit(None).cast("double").alias("timeout_s")))).alias("x"))
+    rows = acts.unionByName(marks.select("run_id", "x.*").filter(F.col("ts").isNotNull()))
+    run = lambda: S.run_to_table(S.stop_reasons_stream(as_stream(rows, closing={"kind": "activity"}), 86400, 2 * 86400, 3600, keep_s=40 * 86400), "stops")
+    return _stateful(spark, run).withColumn("stop_s", F.round("stop_s", 3))
 
 
 @query("m5_rules_stream", using="tel", oracle=f"WITH {MATCHES.strip()} SELECT run_id, seq, rule_id FROM matches")
@@ -128,12 +157,29 @@ def m6(spark, d):
     return out.select("run_id", F.col("ProcessId").alias("pid")).distinct()
 
 
-@query("m6_event_count_tumbling")
+@query("m6_event_count_closed", using="tel", oracle="""
+WITH c AS (SELECT run_id, ProcessId, epoch_us(ts) AS us, count(*) OVER (PARTITION BY run_id, ProcessId ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n FROM tel WHERE event_type = 'FileCreate'),
+s AS (SELECT run_id, ProcessId AS pid, us // 691200000000 * 691200000000 AS slot, max(n) AS n, arg_min(us, us - n * 10000000000000000) AS latest_us FROM c GROUP BY 1, 2, 3)
+SELECT op, run_id, pid, slot, n, latest_us FROM s, (VALUES ('gte'), ('eq'), ('lt')) o(op) WHERE CASE op WHEN 'gte' THEN n >= 3 WHEN 'eq' THEN n = 2 ELSE n < 2 END""")
+def m6_closed(spark, d):
+    """Every (process, eight days) with its densest day of writes, told when these days are over."""
+    t = adapter(spark, d, "tel").select("run_id", "ProcessId", "event_type", "ts")
+    hit, out = F.col("event_type") == "FileCreate", None
+    for op, n in (("gte", 3), ("eq", 2), ("lt", 2)):
+        run = lambda: S.run_to_table(S.event_count_closed(as_stream(t, closing={"event_type": "FileCreate"}), hit, ["run_id", "ProcessId"], 86400, op, n), "closed")  # noqa: B023, E731
+        one = _stateful(spark, run).withColumn("op", F.lit(op))
+        out = one if out is None else out.unionByName(one)
+    return out.filter(F.col("run_id") != "").select("op", "run_id", F.col("ProcessId").alias("pid"), "slot", "n", "latest_us")
+
+
+@query("m6_event_count_tumbling", using="tel", oracle="""
+SELECT run_id, ProcessId AS pid, epoch_us(ts) // 86400000000 * 86400000000 AS start_us, count(*) AS n FROM tel WHERE event_type = 'FileCreate' GROUP BY 1, 2, 3 HAVING count(*) >= 3""")
 def m6_tumbling(spark, d):
-    """The weaker form on built-in windows (rows of closed windows only)."""
+    """The weaker form on built-in windows; a closing row lets the last ones end."""
     t = adapter(spark, d, "tel").select("run_id", "ProcessId", "event_type", "ts")
     hit = F.col("event_type") == "FileCreate"
-    return _stateful(spark, lambda: S.run_to_table(S.event_count_tumbling(as_stream(t), hit, ["run_id", "ProcessId"], 86400, 3), "tumbling"))
+    out = _stateful(spark, lambda: S.run_to_table(S.event_count_tumbling(as_stream(t, closing={"event_type": "FileCreate"}), hit, ["run_id", "ProcessId"], 86400, 3), "tumbling"))
+    return out.select("run_id", F.col("ProcessId").alias("pid"), micros(F.col("start")).alias("start_us"), "n")
 
 
 @query("m7_dedup_stream", oracle="SELECT event_id, user_id FROM events")
@@ -144,24 +190,39 @@ def m7(spark, d):
     return _stateful(spark, lambda: S.run_to_table(S.dedup_stream(as_stream(twice), ["event_id"], "1 day").select("event_id", "user_id"), "dedup"))
 
 
-@query("m8_silence_stream")
+@query("m8_silence_stream", oracle="""
+WITH x AS (SELECT concat('run', user_id % 5) AS run_id, CAST(user_id AS varchar) AS pid, epoch_us(ts) AS us, event_type IN ('click', 'purchase') AS traced, event_type AS e, CAST(regexp_extract(props, '[0-9]+', 0) AS int) AS k, user_id AS u FROM events),
+t AS (SELECT *, traced AND e = 'click' AND k = 99 AND u % 3 = 0 AS cap, traced AND (e = 'purchase' OR k % 4 < 3 OR NOT ((k = 99 AND u % 3 = 0) OR k = 95)) AS call FROM x),
+l AS (SELECT DISTINCT run_id, pid, us, lead(us) OVER (PARTITION BY run_id, pid ORDER BY us) AS nxt FROM (SELECT DISTINCT run_id, pid, us FROM t WHERE call) y),
+g AS (SELECT l.run_id, l.pid, l.us AS last_call_us, count(*) FILTER (WHERE t.call) AS n_calls, count(*) FILTER (WHERE t.cap) AS n_caps, count(*) FILTER (WHERE NOT t.traced AND t.us > l.us) AS host_events, max(t.us) FILTER (WHERE NOT t.traced AND t.us > l.us) AS last_event_us
+  FROM l JOIN t ON t.run_id = l.run_id AND t.pid = l.pid AND t.us <= l.us + 21600000000 WHERE l.nxt IS NULL OR l.nxt - l.us > 21600000000 GROUP BY 1, 2, 3)
+SELECT run_id, pid, last_call_us, host_events, last_event_us FROM g WHERE n_calls >= 5 AND n_caps = 0 AND host_events >= 2""")
 def m8(spark, d):
-    """Processes whose calls stopped for six hours while the host sensor still saw them."""
+    """Stretches of six hours without calls of a process that the host sensor still saw."""
     t = trace_and_host(spark, d).withColumn("ProcessId", F.coalesce("SourceProcessId", "ProcessId"))
     both = sorted({a for apis in fixed.EVENT_CALLS.values() for a in apis})
-    stream = as_stream(t.select("run_id", "ts", "source", "Api", "ProcessId"))
-    return _stateful(spark, lambda: S.run_to_table(S.silence_stream(stream, both, min_events=3, min_s=6 * 3600), "silence", "update"))
+    rows = t.select("run_id", "ts", "source", "Api", "ProcessId")
+    run = lambda: S.run_to_table(S.silence_stream(as_stream(rows, closing={"source": "sysmon", "ProcessId": ""}), both, min_events=2, min_s=6 * 3600, keep_s=400 * 86400), "silence")
+    return _stateful(spark, run)
 
 
 @query("m9_late_events", oracle="SELECT count(*) AS total, count(DISTINCT event_id) AS distinct_ids, count(*) FILTER (WHERE event_id % 50 = 0 AND ts < TIMESTAMP '2024-01-20 00:00:00') > 0 AS some_late FROM events")
 def m9(spark, d):
     """Every fiftieth row arrives last; late rows are kept beside the on-time ones."""
+    return _late(spark, d).agg(F.count("*").alias("total"), F.countDistinct("event_id").alias("distinct_ids"), F.max("is_late").alias("some_late"))
+
+
+def _late(spark, d):
     e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    on_time, late, ck = (scratch_path(spark, n) for n in ("on-time", "late", "late-ckpt"))
+    path, ck = scratch_path(spark, "by-time"), scratch_path(spark, "by-time-ckpt")
     held = F.coalesce(F.col("event_id") % 50 == 0, F.lit(False))
     s = as_batches(spark, [e.filter(~held), e.filter(held)], e.count())
-    S.late_events(s, on_time, late, 3600.0, ck).start().awaitTermination()
-    schema = "event_id bigint, ts timestamp, batch_id bigint, batch int"
-    a, b = spark.read.schema(schema).parquet(on_time), spark.read.schema(schema).parquet(late)
-    u = a.select("event_id", F.lit(0).alias("is_late")).unionByName(b.select("event_id", F.lit(1).alias("is_late")))
-    return u.agg(F.count("*").alias("total"), F.countDistinct("event_id").alias("distinct_ids"), (F.max("is_late") == 1).alias("some_late"))
+    S.late_events(s, path, 3600.0, ck).start().awaitTermination()
+    return spark.read.schema("event_id bigint, ts timestamp, batch int, is_late boolean").parquet(path)
+
+
+@query("m9_late_ids", oracle="""
+WITH b AS (SELECT max(ts) AS newest FROM events WHERE event_id % 50 <> 0) SELECT event_id, event_id % 50 = 0 AND ts < newest - INTERVAL 1 HOUR AS is_late FROM events, b""")
+def m9_ids(spark, d):
+    """Which rows are late: the exact ids."""
+    return _late(spark, d).select("event_id", "is_late")

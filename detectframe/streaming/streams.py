@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from detectframe import fixed
 from detectframe.functions.scalar import micros
+from detectframe.operators.rules import _OPS as COMPARE
 from detectframe.operators.rules import RuleSet, apply_rules
 from detectframe.operators.windows import SLOT
 from detectframe.scale import scratch_path
@@ -89,6 +90,152 @@ def stop_reasons(sessions: DataFrame, runs: DataFrame, min_window_s=45, min_runt
     return y.select("run_id", F.when(e == stop, "exit").when(i == stop, "idle").otherwise("timeout").alias("reason"), stop.alias("stop_s"))
 
 
+class Ordered(StatefulProcessor):
+    """Rows of one key in order of event time, each looked at once the watermark has passed it.
+
+    What a subclass tells depends on event times only, never on how the input was cut into batches.  Waiting rows are
+    counts per ``(us, kind)``; ``facts`` is the subclass's own state of fixed size.  ``deadline`` gives the next time at
+    which something happens without a row.  A key silent for ``keep_us`` is forgotten; rows after that start anew.
+    """
+
+    FACTS = ""
+    RANKS: tuple[str, ...] = ()  # order of kinds at one time
+
+    def __init__(self, columns: list[str], keep_us: int):
+        self.columns, self.keep_us = columns, keep_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "us bigint, rank int", "c bigint, v double")
+        self.facts = handle.getValueState("facts", f"seen bigint, {self.FACTS}")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest = None
+        for pdf in rows:
+            for (us, kind), part in pdf.groupby(["us", "kind"]):
+                at = (int(us), self.RANKS.index(kind))
+                c, v = self.waiting.getValue(at) if self.waiting.containsKey(at) else (0, 0.0)
+                self.waiting.updateValue(at, (int(c) + len(part), max(float(v), float(part["v"].max()))))
+                newest = at[0] if newest is None else max(newest, at[0])
+        if newest is not None:
+            self.handle.registerTimer(-(-newest // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        passed = sorted((k, v) for k, v in self.waiting.iterator() if k[0] <= now)
+        facts = list(self.facts.get()) if self.facts.exists() else None
+        out = []
+        for (us, rank), (c, v) in passed:
+            if facts is not None:
+                self._until(key, facts, us, self.RANKS[rank], out)
+                if us > facts[0] + self.keep_us and self.deadline(facts) is None:
+                    facts = None
+            if facts is None:
+                facts = [us, *self.fresh()]
+            facts[0] = us
+            self.row(facts, us, self.RANKS[rank], int(c), float(v))
+            self.waiting.removeKey((us, rank))
+        if facts is not None:
+            self._until(key, facts, now + 1, "", out)
+            due = self.deadline(facts)
+            # gone once nothing can happen any more; else looked at again when something can
+            if due is None and now >= facts[0] + self.keep_us:
+                self.facts.clear()
+            else:
+                self.facts.update(tuple(facts))
+                self.handle.registerTimer(-(-(facts[0] + self.keep_us if due is None else due) // 1000))
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
+
+    def _until(self, key, facts: list, us: int, kind: str, out: list) -> None:
+        """Everything due before a row of this time and kind happens."""
+        while (due := self.deadline(facts)) is not None and self.before(due, us, kind):
+            told = self.due(facts, due)
+            if told is not None:
+                out.append((*key, *told))
+
+    def before(self, due: int, us: int, kind: str) -> bool:
+        return due < us
+
+    def fresh(self) -> tuple:
+        raise NotImplementedError
+
+    def row(self, facts: list, us: int, kind: str, c: int, v: float) -> None:
+        raise NotImplementedError
+
+    def deadline(self, facts: list) -> int | None:
+        raise NotImplementedError
+
+    def due(self, facts: list, us: int) -> tuple | None:
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+def _machine(x: DataFrame, keys: list[str], proc: Ordered, schema: str) -> DataFrame:
+    """Runs a machine over ``keys, ts, us, kind, v``; ``ts`` is carried so that late rows are known as such."""
+    return x.groupBy(*keys).transformWithStateInPandas(statefulProcessor=proc, outputStructType=schema, outputMode="append", timeMode="eventtime")
+
+
+class StopReason(Ordered):
+    """Exit, idle or timeout of one run, whichever comes first."""
+
+    FACTS = "started bigint, timeout bigint, exited bigint, last bigint, told boolean"
+    RANKS = ("start", "exit", "activity")
+
+    def __init__(self, grace: int, min_window: int, min_runtime: int, keep_us: int):
+        super().__init__(["run_id", "reason", "stop_s"], keep_us)
+        self.grace, self.min_window, self.min_runtime = grace, min_window, min_runtime
+
+    def fresh(self) -> tuple:
+        return -1, -1, -1, -1, False
+
+    def row(self, facts, us, kind, c, v):
+        if kind == "start":
+            facts[1], facts[2] = us, us + int(v * 1_000_000)
+        elif kind == "exit":
+            facts[3] = us if facts[3] < 0 else facts[3]
+        else:
+            facts[4] = us
+
+    def before(self, due, us, kind):
+        # activity at the very time comes too late, an exit does not
+        return due < us or (due == us and kind == "activity")
+
+    def _stops(self, facts) -> list[tuple[int, int, str]]:
+        _, started, timeout, exited, last, told = facts
+        if started < 0 or told:
+            return []
+        out = [(timeout, 2, "timeout")]
+        if exited >= 0:
+            out.append((max(exited, started + self.min_runtime), 0, "exit"))
+        if last >= 0:
+            out.append((max(last + self.grace, started + self.min_window), 1, "idle"))
+        return out
+
+    def deadline(self, facts):
+        return min(self._stops(facts))[0] if self._stops(facts) else None
+
+    def due(self, facts, us):
+        reason = min(self._stops(facts))[2]
+        facts[5] = True
+        return reason, (us - facts[1]) / 1e6
+
+
+def stop_reasons_stream(stream: DataFrame, grace_s: float = 30, min_window_s: float = 45, min_runtime_s: float = 30, watermark: str = "1 minute", keep_s: float = 86_400) -> DataFrame:
+    """M4: why and when each run stopped, told once the watermark has passed that time.
+
+    ``stream(run_id, ts, kind, timeout_s)`` has a ``start`` row per run (with its timeout), ``activity`` rows and at most
+    one ``exit``.  Later rows of any run move the watermark and so settle the runs before.
+    """
+    us = lambda seconds: int(round(seconds * 1_000_000))
+    x = stream.withWatermark("ts", watermark).filter(F.col("kind").isin(*StopReason.RANKS) & F.col("ts").isNotNull()).select(
+        "run_id", "ts", micros(F.col("ts")).alias("us"), "kind", F.coalesce(F.col("timeout_s").cast("double"), F.lit(0.0)).alias("v"))
+    return _machine(x, ["run_id"], StopReason(us(grace_s), us(min_window_s), us(min_runtime_s), us(keep_s)), "run_id string, reason string, stop_s double")
+
+
 def rules_stream(stream: DataFrame, ruleset: RuleSet) -> DataFrame:
     """M5: the batch rule pass on a stream; it is stateless, so the code is the same."""
     return apply_rules(stream, ruleset)
@@ -158,6 +305,63 @@ def event_count_stream(stream: DataFrame, hit: Column, keys: list[str], seconds:
         statefulProcessor=proc, outputStructType=schema, outputMode="append", timeMode="eventtime")
 
 
+class ClosedSlot(StatefulProcessor):
+    """Counts per time of one (key, slot); its densest window is told when the watermark has passed the slot."""
+
+    def __init__(self, width: int, slot: int, columns: list[str]):
+        self.width, self.slot, self.columns = width, slot, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getMapState("times", "us bigint", "c bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            for us, c in pdf.groupby("us")["us"].size().items():
+                old = self.times.getValue((int(us),)) if self.times.containsKey((int(us),)) else (0,)
+                self.times.updateValue((int(us),), (int(old[0]) + int(c),))
+        self.handle.registerTimer(-(-(int(key[-1]) + self.slot) // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        own = int(key[-1])
+        times = sorted((k[0], v[0]) for k, v in self.times.iterator())
+        self.times.clear()
+        best, total, j = (0, 0), 0, 0
+        for us, c in times:
+            total += c
+            while us - times[j][0] > self.width:
+                total -= times[j][1]
+                j += 1
+            if us >= own and total > best[0]:
+                best = (total, us)
+        if best[0]:
+            yield pd.DataFrame([(*key[:-1], own, *best)], columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def event_count_closed(stream: DataFrame, hit: Column, keys: list[str], seconds: float, op: str, n: int, watermark: str = "1 minute") -> DataFrame:
+    """M6 for every comparison: per (keys, time slot) the densest window that ends there, if ``op n`` holds.
+
+    A slot is told once, when the watermark has passed it, so the rows do not depend on the batches, and its state goes
+    with it.  ``latest_us`` is the first time at which that count was reached.
+    """
+    width = int(round(seconds * 1_000_000))
+    slot = max(1, width * SLOT)
+    us = micros(F.col("ts"))
+    own = us - F.pmod(us, F.lit(slot))
+    tail_ = F.pmod(us, F.lit(slot)) >= slot - width
+    x = stream.withWatermark("ts", watermark).filter(hit & F.col("ts").isNotNull()).select(
+        *[F.coalesce(fld(stream, k).cast("string"), F.lit("")).alias(k) for k in keys], "ts", us.alias("us"),
+        F.explode(F.when(tail_, F.array(own, own + slot)).otherwise(F.array(own))).alias("slot"))
+    schema = ", ".join(f"{k} string" for k in keys) + ", slot bigint, n bigint, latest_us bigint"
+    out = x.groupBy(*keys, "slot").transformWithStateInPandas(
+        statefulProcessor=ClosedSlot(width, slot, [*keys, "slot", "n", "latest_us"]), outputStructType=schema, outputMode="append", timeMode="eventtime")
+    return out.filter(COMPARE[op](F.col("n"), F.lit(n)))
+
+
 def event_count_tumbling(stream: DataFrame, hit: Column, keys: list[str], seconds: int, n: int, watermark: str = "1 minute", slide: int | None = None) -> DataFrame:
     """M6, weaker form on built-in windows: a burst is seen only if one window of the grid holds it."""
     w = F.window("ts", f"{seconds} seconds", f"{slide or seconds} seconds")
@@ -170,79 +374,79 @@ def dedup_stream(stream: DataFrame, keys: list[str], watermark: str = "1 hour")
     return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys)
 
 
-class Silence(StatefulProcessor):
-    """Last dual-covered call of a process and a histogram of host events after it."""
+class Silence(Ordered):
+    """Counts of one process around its last dual-covered call."""
 
-    def __init__(self, min_calls: int, min_events: int, min_us: int):
-        self.min_calls, self.min_events, self.min_us = min_calls, min_events, min_us
+    FACTS = "calls bigint, capped boolean, last bigint, hosts bigint, newest bigint, told boolean"
+    RANKS = ("cap", "call", "both", "host")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("s", "calls bigint, last_call bigint, capped boolean, told boolean")
-        self.after = handle.getMapState("after", "us bigint", "c bigint")
+    def __init__(self, min_calls: int, min_events: int, span: int, keep_us: int):
+        super().__init__(["run_id", "pid", "last_call_us", "host_events", "last_event_us"], keep_us)
+        self.min_calls, self.min_events, self.span = min_calls, min_events, span
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        calls, last, capped, told = self.state.get() if self.state.exists() else (0, -1, False, False)
-        for pdf in rows:
-            calls += int((pdf["kind"] != "host").sum()) - int((pdf["kind"] == "cap").sum())
-            capped = capped or bool((pdf["kind"] == "cap").any())
-            both = pdf.loc[pdf["kind"] == "both", "us"]
-            if len(both) and int(both.max()) > last:
-                last, told = int(both.max()), False
-            host = pdf.loc[(pdf["kind"] == "host") & (pdf["us"] > last), "us"]
-            for us, c in host.groupby(host).size().items():
-                old = self.after.getValue((int(us),)) if self.after.containsKey((int(us),)) else (0,)
-                self.after.updateValue((int(us),), (int(old[0]) + int(c),))
-        seen = [(k[0], v[0]) for k, v in self.after.iterator()]
-        for us, _ in seen:
-            if us <= last:
-                self.after.removeKey((us,))
-        seen = [(us, c) for us, c in seen if us > last]
-        total = sum(c for _, c in seen)
-        if not told and not capped and last >= 0 and calls >= self.min_calls and total >= self.min_events:
-            end = max(us for us, _ in seen)
-            if end - last >= self.min_us:
-                told = True
-                yield pd.DataFrame({"run_id": [key[0]], "pid": [key[1]], "last_call_us": [last], "host_events": [total], "span_s": [(end - last) / 1e6]})
-        self.state.update((calls, last, capped, told))
+    def fresh(self) -> tuple:
+        return 0, False, -1, 0, -1, True
 
-    def close(self) -> None:
-        pass
+    def row(self, facts, us, kind, c, v):
+        if kind == "cap":
+            facts[2] = True
+        elif kind == "host":
+            if facts[3] >= 0 and us > facts[3] and not facts[6]:
+                facts[4], facts[5] = facts[4] + c, us
+        else:
+            facts[1] += c
+            if kind == "both":
+                facts[3:7] = [us, 0, -1, False]
+
+    def deadline(self, facts):
+        return None if facts[6] else facts[3] + self.span
+
+    def due(self, facts, us):
+        facts[6] = True
+        if not facts[2] and facts[1] >= self.min_calls and facts[4] >= self.min_events:
+            return facts[3], facts[4], facts[5]
+        return None
 
 
-def silence_stream(stream: DataFrame, both_apis: list[str], min_calls=fixed.SILENCE_MIN_CALLS, min_events=fixed.SILENCE_MIN_EVENTS, min_s=fixed.SILENCE_MIN_S) -> DataFrame:
-    """M8: G16 on a stream: tells as soon as a process has been silent long enough while still active.
+def silence_stream(
+    stream: DataFrame, both_apis: list[str], min_calls=fixed.SILENCE_MIN_CALLS, min_events=fixed.SILENCE_MIN_EVENTS, min_s=fixed.SILENCE_MIN_S,
+    watermark: str = "1 minute", keep_s: float = 86_400,
+) -> DataFrame:
+    """M8: G16 on a stream: a row for every stretch of ``min_s`` without a dual-covered call in which the host still saw the process.
 
-    Host events per process and instant are kept as counts, only after the last call.
+    Told when the watermark passes the end of that stretch: ``host_events`` of the stretch, the newest of them, and the
+    call before it.  Processes with too few calls or a capped trace until then are not told.  State per process is a
+    few numbers and the rows the watermark has not passed; it goes ``keep_s`` after the last row.
     """
     api = fld(stream, "Api")
     trace = F.col("source") == "apitrace"
     kind = F.when(trace & (api == fixed.META_CAP), "cap").when(trace & api.isin(both_apis), "both").when(
         trace & ~api.isin(fixed.META_WOW64, fixed.META_ATTACHED), "call").when(F.col("source") == "sysmon", "host")
-    x = stream.filter(F.col("ts").isNotNull()).select("run_id", fld(stream, "ProcessId").cast("string").alias("pid"), micros(F.col("ts")).alias("us"), kind.alias("kind"))
+    x = stream.withWatermark("ts", watermark).filter(F.col("ts").isNotNull()).select(
+        "run_id", fld(stream, "ProcessId").cast("string").alias("pid"), "ts", micros(F.col("ts")).alias("us"), kind.alias("kind"), F.lit(0.0).alias("v"))
     x = x.filter(F.col("kind").isNotNull() & F.col("pid").isNotNull())
-    return x.groupBy("run_id", "pid").transformWithStateInPandas(
-        statefulProcessor=Silence(min_calls, min_events, int(min_s * 1_000_000)),
-        outputStructType="run_id string, pid string, last_call_us bigint, host_events bigint, span_s double", outputMode="update", timeMode="none")
+    span, keep = int(min_s * 1_000_000), int(max(keep_s, min_s) * 1_000_000)
+    return _machine(x, ["run_id", "pid"], Silence(min_calls, min_events, span, keep), "run_id string, pid string, last_call_us bigint, host_events bigint, last_event_us bigint")
 
 
-def late_events(stream: DataFrame, on_time: str, late: str, delay_s: float, checkpoint: str):
-    """M9: a query that writes every row, on-time and late ones to different tables.
+def late_events(stream: DataFrame, path: str, delay_s: float, checkpoint: str):
+    """M9: a query that writes every row once, under ``is_late`` true or false.
 
-    The bound is the newest time of the batches before, minus ``delay_s``; it is
-    kept as a small table next to the late rows, so a restart continues with it.
+    The bound is the newest time of the batches before, minus ``delay_s``; rows without a time are on time.  The bounds
+    are a small table beside the rows, so a restart continues with them.
     """
     spark = stream.sparkSession
-    bound_path = late.rstrip("/") + "_bound"
+    bounds = path.rstrip("/") + "_bounds"
 
     def split(batch: DataFrame, batch_id: int) -> None:
-        old = spark.read.schema("batch_id bigint, us bigint").parquet(bound_path) if _exists(spark, bound_path) else None
-        bound = None if old is None else old.filter(F.col("batch_id") < batch_id).agg(F.max("us").alias("us")).first()["us"]
+        old = spark.read.schema("us bigint, batch int").parquet(bounds) if _exists(spark, bounds) else None
+        bound = None if old is None else old.filter(F.col("batch") < batch_id).agg(F.max("us").alias("us")).first()["us"]
         is_late = F.lit(False) if bound is None else F.coalesce(micros(F.col("ts")) < bound - int(delay_s * 1_000_000), F.lit(False))
-        tagged = batch.withColumn("batch_id", F.lit(batch_id))
-        for path, keep in ((on_time, ~is_late), (late, is_late)):
-            # one folder per batch: a batch run again replaces its own rows
-            tagged.filter(keep).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        batch.agg(F.max(micros(F.col("ts"))).alias("us")).select(F.lit(batch_id).cast("bigint").alias("batch_id"), "us").write.mode("append").parquet(bound_path)
+        # one folder per batch: a batch run again replaces its own rows
+        own = f"{path}/batch={batch_id}"
+        batch.withColumn("is_late", is_late).write.mode("overwrite").partitionBy("is_late").parquet(own)
+        newest = spark.read.schema(batch.schema).parquet(own).agg(F.max(micros(F.col("ts"))).alias("us"))
+        newest.write.mode("overwrite").parquet(f"{bounds}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
