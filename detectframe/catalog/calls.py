@@ -129,6 +129,39 @@ def p8_per_process(spark, d):
     return P.per_process(trace_rows(adapter(spark, d, "calls")), on_calls, "run_id string, pid bigint, resumes bigint, calls bigint", ["api"], merge, chunk=4000)
 
 
+class ResumeAfterWrite(P.CallSignature):
+    """A thread resume with an earlier write of the same process; at the end how often, and the longest run of one call."""
+
+    def start(self):
+        self.written, self.found, self.last, self.streak, self.longest, self.key = None, 0, None, 0, 0, None
+
+    def on_call(self, row):
+        self.key = (row["run_id"], row["pid"])
+        self.streak = self.streak + 1 if row["api"] == self.last else 1
+        self.longest, self.last = max(self.longest, self.streak), row["api"]
+        if row["api"] == "NtWriteVirtualMemory" and self.written is None:
+            self.written = row["seq"]
+        elif row["api"] == "NtResumeThread" and self.written is not None:
+            self.found += 1
+            yield (*self.key, "resume", row["seq"], row["seq"] - self.written)
+
+    def on_complete(self):
+        if self.key is not None:
+            yield (*self.key, "total", self.found, self.longest)
+
+
+@query("p8_table_function", using="calls", oracle="""
+WITH c AS (SELECT run_id, CAST(ProcessId AS bigint) AS pid, seq, Api AS api, min(seq) FILTER (WHERE Api = 'NtWriteVirtualMemory') OVER (PARTITION BY run_id, ProcessId) AS written,
+  row_number() OVER (PARTITION BY run_id, ProcessId ORDER BY seq) - row_number() OVER (PARTITION BY run_id, ProcessId, Api ORDER BY seq) AS grp FROM calls),
+s AS (SELECT run_id, pid, max(n) AS longest FROM (SELECT run_id, pid, api, grp, count(*) AS n FROM c GROUP BY ALL) y GROUP BY 1, 2),
+h AS (SELECT run_id, pid, seq, seq - written AS gap FROM c WHERE api = 'NtResumeThread' AND seq > written)
+SELECT run_id, pid, 'resume' AS kind, seq AS at, gap AS value FROM h
+UNION ALL SELECT s.run_id, s.pid, 'total', count(h.seq), max(s.longest) FROM s LEFT JOIN h ON h.run_id = s.run_id AND h.pid = s.pid GROUP BY 1, 2""")
+def p8_table_function(spark, d):
+    rows = trace_rows(adapter(spark, d, "calls")).select("run_id", "pid", "seq", "api")
+    return P.run_signature(rows, ResumeAfterWrite, "run_id string, pid bigint, kind string, at bigint, value bigint", "resume_after_write")
+
+
 @query("p8_keyword_spans", oracle="""
 WITH w(word) AS (VALUES ('the'), ('and')), c AS (SELECT doc_id, word, len(regexp_extract_all(concat(' ', regexp_replace(text, '([^\\p{L}\\p{N}_])', '\\1\\1', 'g'), ' '), concat('(?i)[^\\p{L}\\p{N}_]', word, '[^\\p{L}\\p{N}_]'))) AS n FROM documents, w) SELECT doc_id, word, CAST(n AS bigint) AS n FROM c WHERE n > 0""")
 def p8_spans(spark, d):

@@ -148,6 +148,22 @@ def o1(spark, d):
     return C.pattern_scan(table(spark, d, "documents"), RULES, guard=_guard)
 
 
+_SYLLABLES = ["tion", "the", "ing", "ed", "er", "and", "en", "re", "th", "an"]
+#: Patterns of the wide scan: four syllables each, drawn from the pattern's number.
+WIDE = 600
+
+
+@query("o1_pattern_scan_wide", oracle=f"""
+WITH p AS (SELECT i, concat('(?i)', list_extract(s, CAST(i % 10 + 1 AS int)), list_extract(s, CAST(i // 10 % 10 + 1 AS int)), list_extract(s, CAST(i // 100 % 10 + 1 AS int)), ' ?', list_extract(s, CAST(i * 7 % 10 + 1 AS int))) AS rx FROM range({WIDE}) r(i), (SELECT {_SYLLABLES!r} AS s) x)
+SELECT doc_id, concat('r', i // 3) AS rule FROM documents JOIN p ON regexp_matches(text, rx) GROUP BY doc_id, i // 3""")
+def o1_wide(spark, d):
+    """Two hundred rules of three patterns each; one must occur."""
+    s = _SYLLABLES
+    rx = [f"(?i){s[i % 10]}{s[i // 10 % 10]}{s[i // 100 % 10]} ?{s[i * 7 % 10]}" for i in range(WIDE)]
+    rules = [{"rule": f"r{r}", "need": 1, "patterns": {f"${j}": rx[3 * r + j] for j in range(3)}} for r in range(WIDE // 3)]
+    return C.pattern_scan(table(spark, d, "documents"), rules)
+
+
 @query("o1_script_patterns", oracle=r"""
 WITH x AS (SELECT page_id, concat(html, CASE page_id % 6 WHEN 0 THEN ' powershell -nop IWR x' WHEN 1 THEN ' cmd.exe /q /c dir' WHEN 2 THEN ' http://10.1.2.3/' WHEN 3 THEN ' certutil.exe -urlcache' ELSE '' END) AS t FROM pages)
 SELECT page_id, 'suspicious_powershell_download' AS rule FROM x WHERE regexp_matches(t, '(?i)powershell.{0,200}(IWR|Invoke-WebRequest|Net\.WebClient|DownloadString|DownloadFile|FromBase64String)') OR contains(t, '-enc ')

@@ -196,6 +196,31 @@ def c9_ops(spark, d):
     return out.filter(F.col("n") > 0)
 
 
+CORRELATIONS = [
+    {"id": "c-write", "name": "w", "level": "low", "logsource": {"category": "file_event"}, "detection": {"sel": {"TargetFilename|contains": "\\doc", "EventID": 11}, "condition": "sel"}},
+    {"id": "c-net", "name": "n", "level": "low", "logsource": {"category": "network_connection"}, "detection": {"sel": {"DestinationIp|cidr": "10.2.0.0/16", "EventID": 3}, "condition": "sel"}},
+    *[{"id": f"c{i}", "title": f"Correlation {i}", "level": "high", "correlation": {"type": "event_count", "rules": rules, "group-by": by, "timespan": span, "condition": {op: n}}}
+      for i, (rules, by, span, op, n) in enumerate([
+          (["w"], ["ProcessId"], "1d", "gte", 3), (["w"], [], "2h", "gt", 4), (["w", "n"], ["ProcessId", "Image"], "10d", "eq", 2),
+          (["n"], ["DestinationIp"], "36h", "lte", 2), (["n"], ["Initiated"], "6h", "lt", 3)])],
+]
+
+
+@query("c9_correlations", using="tel", oracle="""
+WITH h AS (SELECT run_id, ts, ProcessId, Image, DestinationIp, Initiated, event_type = 'FileCreate' AS w, event_type = 'NetworkConnect' AND k % 3 = 2 AS n FROM tel),
+p AS (SELECT run_id, 0 AS c, ProcessId AS g, ts, INTERVAL 1 DAY AS span FROM h WHERE w UNION ALL SELECT run_id, 1, '', ts, INTERVAL 2 HOUR FROM h WHERE w UNION ALL SELECT run_id, 2, concat(ProcessId, '|', Image), ts, INTERVAL 10 DAY FROM h WHERE w OR n
+  UNION ALL SELECT run_id, 3, DestinationIp, ts, INTERVAL 36 HOUR FROM h WHERE n UNION ALL SELECT run_id, 4, coalesce(Initiated, ''), ts, INTERVAL 6 HOUR FROM h WHERE n),
+d AS (SELECT a.run_id, a.c, a.g, a.ts, count(*) AS n FROM (SELECT DISTINCT run_id, c, g, ts, span FROM p) a JOIN p b ON b.run_id = a.run_id AND b.c = a.c AND b.g = a.g AND b.ts BETWEEN a.ts - a.span AND a.ts GROUP BY 1, 2, 3, 4),
+m AS (SELECT run_id, c, g, max(n) AS n, max(ts) AS latest FROM d GROUP BY 1, 2, 3)
+SELECT concat('c', c) AS rule_id, run_id, g AS grp, CASE WHEN c IN (0, 2) THEN split_part(g, '|', 1) END AS pid, n AS matched_events, epoch_us(latest) AS latest_us FROM m
+WHERE CASE c WHEN 0 THEN n >= 3 WHEN 1 THEN n > 4 WHEN 2 THEN n = 2 WHEN 3 THEN n <= 2 ELSE n < 3 END""")
+def c9_correlations(spark, d):
+    """Five correlations of different spans, groups and comparisons, in one pass."""
+    t = adapter(spark, d, "tel").drop("ProcessGuid")
+    x = R.correlation_alerts(t, R.compile_rules(CORRELATIONS, "informational"))
+    return x.select("rule_id", "run_id", F.array_join("group_values", "|", "").alias("grp"), F.col("ProcessId").alias("pid"), "matched_events", micros(F.col("ts")).alias("latest_us"))
+
+
 @query("c10_rule_catalog", oracle="""
 SELECT 'sigma' AS family, CAST(11 AS bigint) AS n_rules UNION ALL SELECT 'yara', count(*) FROM part WHERE p_size = 7""")
 def c10(spark, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -237,6 +238,45 @@ def per_process(calls: DataFrame, on_calls, schema: str, cols: list[str], merge,
     return parts.groupBy("__run", "__pid").applyInPandas(whole, schema)
 
 
+class CallSignature:
+    """Base of a user's own signature as a table function: one object per process, fed call by call.
+
+    Subclasses override ``on_call(row)`` and, for what is told at the end, ``on_complete()``; both may yield rows.
+    ``start()`` sets the state up.  A call is seen and gone, so memory is what the signature keeps.
+    """
+
+    def start(self) -> None:
+        pass
+
+    def on_call(self, row):
+        return ()
+
+    def on_complete(self):
+        return ()
+
+    def __init__(self):
+        self.start()
+
+    def eval(self, row):
+        yield from self.on_call(row)
+
+    def terminate(self):
+        yield from self.on_complete()
+
+
+def run_signature(calls: DataFrame, signature: type[CallSignature], schema: str, name: str) -> DataFrame:
+    """The signature over every process of ``calls(run_id, pid, seq, ...)``, in order of ``seq``, as a table function.
+
+    It is registered under ``name``, so SQL can use it too:
+    ``SELECT * FROM name(TABLE(calls) PARTITION BY (run_id, pid) ORDER BY seq)``.
+    """
+    spark = calls.sparkSession
+    spark.udtf.register(name, F.udtf(signature, returnType=schema))
+    view = f"__{name}_{uuid.uuid4().hex}"
+    calls.createOrReplaceTempView(view)
+    return spark.sql(f"SELECT * FROM {name}(TABLE({view}) PARTITION BY (run_id, pid) ORDER BY seq)")
+
+
 def keyword_spans(text: Column, words: list[str]) -> Column:
     """Table-function form: ``explode`` this to get (word, count) rows of a text."""
     return F.filter(

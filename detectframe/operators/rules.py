@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from detectframe import fixed
 from detectframe.functions import leaf as L
 from detectframe.functions.scalar import as_num
-from detectframe.operators.windows import window_counts
+from detectframe.operators.windows import running_counts, window_counts
 from detectframe.scale import all_true, any_true, literal_table
 from detectframe.schema import fld, opt
 
@@ -491,12 +491,12 @@ def anchor_index(ruleset: RuleSet, prefilter: bool = True) -> tuple[dict[str, li
     return out, list(fields)
 
 
-def _choose(texts: list[str], low: int, high: int) -> str:
+def choose(texts: list[str], low: int, high: int) -> str:
     """Predicate of rule ``n`` out of ``texts[low:high]``, found by halving."""
     if high - low == 1:
         return texts[low]
     mid = (low + high) // 2
-    return f"if(n < {mid}, {_choose(texts, low, mid)}, {_choose(texts, mid, high)})"
+    return f"if(n < {mid}, {choose(texts, low, mid)}, {choose(texts, mid, high)})"
 
 
 def apply_rules(events: DataFrame, ruleset: RuleSet, prefilter: bool = True, keep: list[str] | None = None) -> DataFrame:
@@ -526,7 +526,7 @@ def apply_rules(events: DataFrame, ruleset: RuleSet, prefilter: bool = True, kee
     met = f"filter({entries}, a -> a.f < 0 OR coalesce(contains(get(array({', '.join(where) or 'CAST(NULL AS string)'}), a.f), a.t), false))"
     candidates = f"array_distinct(flatten(transform({met}, a -> a.r)))"
     # an expression inside a lambda is evaluated as it stands: thousands of predicates would not fit generated code
-    fired_rules = f"transform(filter({candidates}, n -> {_choose(texts, 0, len(texts))}), n -> __ids[n])"
+    fired_rules = f"transform(filter({candidates}, n -> {choose(texts, 0, len(texts))}), n -> __ids[n])"
     return prepared.select(*cols, F.explode(F.expr(fired_rules)).alias("rule_id"))
 
 
@@ -600,22 +600,45 @@ def event_count(events: DataFrame, trees: list[tuple] | Column, group_by: list[s
     return best.filter(_OPS[op](F.col("matched_events"), F.lit(n)))
 
 
+def correlation_hits(events: DataFrame, ruleset: RuleSet) -> DataFrame:
+    """C9 for every correlation of a rule set in one scan: ``corr, k, matched_events, latest_us``.
+
+    ``corr`` is the correlation's place in the rule set, ``k`` the array of run, process GUID and group-by values.  A row is
+    tested once for all base rules and goes on for each correlation it matches; spans may differ.
+    """
+    src = FieldTexts(events)
+    parts = []
+    for i, c in enumerate(ruleset.correlations):
+        test = " OR ".join(to_sql(t, src) for t in c["trees"])
+        group = ", ".join(["run_id", *[src("t", g) for g in ["ProcessGuid", *c["group_by"]]]])
+        parts.append(f"if({test}, named_struct('corr', {i}, 'width', {int(round(c['seconds'] * 1_000_000))}L, 'k', array({group})), NULL)")
+    # inside a lambda, so that many base rules need not fit generated code
+    hits = F.expr(f"filter(transform(array(true), y -> array({', '.join(parts)}))[0], x -> x IS NOT NULL)")
+    rows = events.select("run_id", "ts", *src.columns()).select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.explode(hits).alias("x"))
+    points = rows.select("us", "x.*")
+    keys = ["corr", "k"]
+    # rows without a time are in no window; their groups have the count 0
+    best = running_counts(points.filter("us IS NOT NULL"), keys).groupBy(*keys).agg(F.max("n").alias("matched_events"), F.max("us").alias("latest_us"))
+    bare = points.filter("us IS NULL").select(*keys).distinct().select(*keys, F.lit(0).cast("bigint").alias("matched_events"), F.lit(None).cast("bigint").alias("latest_us"))
+    best = best.unionByName(bare).groupBy(*keys).agg(F.max("matched_events").alias("matched_events"), F.max("latest_us").alias("latest_us"))
+    met = any_true([(F.col("corr") == i) & _OPS[c["op"]](F.col("matched_events"), F.lit(c["count"])) for i, c in enumerate(ruleset.correlations)])
+    return best.filter(met)
+
+
 def correlation_alerts(events: DataFrame, ruleset: RuleSet) -> DataFrame | None:
     """C9 for every correlation of a rule set, as alert rows."""
-    out = None
-    for c in ruleset.correlations:
-        hits = event_count(events, c["trees"], c["group_by"], c["seconds"], c["op"], c["count"])
-        names = [f"group_{i}" for i in range(len(c["group_by"]))]
-        one = hits.select(
-            "run_id", F.col("latest").alias("ts"), F.lit(c["rule"]["id"]).alias("rule_id"),
-            F.lit("SigmaCorrelation").alias("event_type"), "matched_events",
-            F.lit(c["seconds"]).cast("bigint").alias("timespan_seconds"),
-            F.array(*[F.col(x).cast("string") for x in names]).cast("array<string>").alias("group_values"),
-            F.col("guid").alias("ProcessGuid"),
-            *[F.col(f"group_{i}").cast("string").alias(g) for i, g in enumerate(c["group_by"]) if g == "ProcessId"],
-        )
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    return out
+    if not ruleset.correlations:
+        return None
+    facts = [(i, c["rule"]["id"], int(c["seconds"]), c["group_by"]) for i, c in enumerate(ruleset.correlations)]
+    known = literal_table(events.sparkSession, facts, "corr int, rule_id string, timespan_seconds bigint, names array<string>")
+    x = correlation_hits(events, ruleset).join(known, "corr")
+    values = F.slice("k", 3, F.size("k"))
+    out = x.select(
+        F.col("k")[0].alias("run_id"), F.timestamp_micros("latest_us").alias("ts"), "rule_id", F.lit("SigmaCorrelation").alias("event_type"), "matched_events", "timespan_seconds",
+        values.alias("group_values"), F.col("k")[1].alias("ProcessGuid"), F.col("k"), F.col("names"))
+    # the process id is an alert's own field, so that scope can use it
+    pid = F.when(F.array_contains("names", "ProcessId"), F.get("group_values", F.array_position("names", "ProcessId").cast("int") - 1))
+    return out.withColumn("ProcessId", pid).drop("k", "names")
 
 
 def rule_catalog(rules: DataFrame, others: DataFrame | None = None) -> DataFrame:

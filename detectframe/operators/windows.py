@@ -45,6 +45,33 @@ def window_counts(df: DataFrame, keys: list[str], ts: str, seconds: float) -> Da
     )
 
 
+#: Stretches of a window's width into which running counts are divided.
+STRETCH = 8
+
+
+def running_counts(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Per (keys, distinct time ``us``): ``n`` rows in the closed window of the row's own ``width`` ending there.
+
+    ``points(keys.., us, width)`` in microseconds; all rows of a key have the same width, keys are never NULL.  A row
+    counts from its time on and is taken back after its width, so ``n`` is a running sum and one pass serves any mix
+    of widths.  The sum has two levels: inside short stretches of time, and over the totals of the stretches before;
+    no task holds more than one stretch of a key.
+    """
+    counted = points.groupBy(*keys, "us", "width").agg(F.count("*").alias("c"))
+    change = F.explode(F.array(
+        F.struct(F.col("us").alias("at"), F.col("c").alias("d"), F.lit(True).alias("real")),
+        F.struct((F.col("us") + F.col("width") + 1).alias("at"), (-F.col("c")).alias("d"), F.lit(False).alias("real"))))
+    moves = counted.select(*keys, "width", change.alias("x")).select(*keys, "x.*", F.expr(f"x.at div greatest(width div {STRETCH}, 1)").alias("stretch"))
+    # a row's start and another row's end may fall together: one change per time
+    moves = moves.groupBy(*keys, "stretch", "at").agg(F.sum("d").alias("d"), F.max("real").alias("real"))
+    inside = Window.partitionBy(*keys, "stretch").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    totals = moves.groupBy(*keys, "stretch").agg(F.sum("d").alias("d"))
+    before = Window.partitionBy(*keys).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*keys, "stretch", F.coalesce(F.sum("d").over(before), F.lit(0)).alias("carried"))
+    local = moves.withColumn("local", F.sum("d").over(inside)).filter("real")
+    return local.join(carried, [*keys, "stretch"]).select(*keys, F.col("at").alias("us"), (F.col("local") + F.col("carried")).alias("n"))
+
+
 def densest_window(df: DataFrame, keys: list[str], ts: str, seconds: float) -> DataFrame:
     """H1: per key the first densest window: ``start``, ``end``, ``n``."""
     best = F.max_by(F.struct("start", F.col("ts").alias("end"), "n"), F.struct("n", -micros(F.col("ts"))))

@@ -121,16 +121,21 @@ def filetime_to_ts(ticks: Column) -> Column:
 
 
 def first_n(df: DataFrame, key: str, order: str, n: int, width: int = 4096) -> DataFrame:
-    """First ``n`` rows per key by an integer order column, without sorting a key in one task.
+    """First ``n`` rows per key by an integer order column, without a key's rows or stretches in one task.
 
-    Row counts per (key, stretch of ``width`` order values) tell which stretch
-    holds the last kept row; stretches before it are kept whole and only rows of
-    that one are ranked.
+    Row counts per (key, stretch of ``width`` order values) tell which stretch holds the last kept row; stretches
+    before it are kept whole and only rows of that one are ranked.  The stretch is found the same way, among ``width``
+    stretches of one wide stretch, so the cut has two levels and a task at most ``width`` stretches.
     """
     x = df.withColumn("__b", F.floor(F.col(order) / width))
-    counts = x.groupBy(key, "__b").agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    kept = counts.withColumn("__before", F.coalesce(F.sum("__c").over(w), F.lit(0))).filter(F.col("__before") < n)
+    counts = x.groupBy(key, "__b").agg(F.count("*").alias("__c")).withColumn("__w", F.floor(F.col("__b") / width))
+
+    def up_to(rows: DataFrame, within: list[str], place: str, size: str, start: Column) -> DataFrame:
+        w = Window.partitionBy(*within).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn("__before", start + F.coalesce(F.sum(size).over(w), F.lit(0))).filter(F.col("__before") < n)
+
+    wide = up_to(counts.groupBy(key, "__w").agg(F.sum("__c").alias("__n")), [key], "__w", "__n", F.lit(0)).withColumnRenamed("__before", "__start")
+    kept = up_to(counts.join(wide.drop("__n"), [key, "__w"]), [key, "__w"], "__b", "__c", F.col("__start")).drop("__start", "__w")
     x = x.join(kept, [key, "__b"])
     edge = F.col("__before") + F.col("__c") > n
     rank = F.row_number().over(Window.partitionBy(key, "__b").orderBy(order))
