@@ -102,6 +102,15 @@ def f11(spark, d):
     return b.select(F.col("block_id").alias("conv_id"), "part", F.col("n_fragments").cast("bigint").alias("n_fragments"), "text", "path")
 
 
+@query("f11_script_blocks_whole", oracle="""
+SELECT conv_id, count(*) AS n_fragments, string_agg(coalesce(text, ''), '' ORDER BY turn) AS text, coalesce(arg_min(role, turn) FILTER (WHERE role <> 'system'), '') AS path FROM conversations GROUP BY 1""")
+def f11_whole(spark, d):
+    """One joined script per conversation."""
+    c = table(spark, d, "conversations").select(
+        F.lit("r").alias("run_id"), F.col("conv_id").alias("block_id"), (F.col("turn") + 1).alias("number"), "text", F.when(F.col("role") != "system", F.col("role")).alias("path"), F.col("turn").alias("seq"))
+    return U.script_blocks(c).select(F.col("block_id").alias("conv_id"), F.col("n_fragments").cast("bigint").alias("n_fragments"), "text", "path")
+
+
 @query("f13_iocs_registry", using="alerts", oracle="SELECT run_id, concat('key', k % 9) AS target_object, priority_reason FROM alerts WHERE event_type = 'RegistryValueSet' AND priority = 'high'")
 def f13(spark, d):
     a = alerts(spark, d).withColumn("TargetObject", F.concat(F.lit("key"), F.col("k") % 9))
@@ -302,6 +311,13 @@ def j3(spark, d):
     return p.select("idx", "src", "dst").distinct()
 
 
+@query("j3_page", using="packets", oracle="""
+SELECT run_id, idx, src, dst, length FROM packets WHERE protocol = 'TCP' AND (src = '10.0.0.7' OR dst = '10.0.0.7') ORDER BY run_id, idx, ts, src, dst, sport, dport, length, summary LIMIT 60 OFFSET 25""")
+def j3_page(spark, d):
+    """The page itself: sixty packets of one address after the first twenty-five."""
+    return B.page_packets(adapter(spark, d, "packets"), 25, 60, "TCP", "10.0.0.7").select("run_id", "idx", "src", "dst", "length")
+
+
 @query("j3_packet_totals", using="packets", oracle="SELECT count(*) AS total, count(*) FILTER (WHERE protocol = 'DNS' AND contains(dns_qname, 'h7.')) AS filtered_total, true AS filtered_total_is_exact FROM packets")
 def j3_totals(spark, d):
     p = adapter(spark, d, "packets")

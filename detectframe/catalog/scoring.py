@@ -4,8 +4,11 @@ from pyspark.sql import functions as F
 
 from detectframe import fixed
 from detectframe.catalog.base import adapter, query, table
+from detectframe.catalog.rules import ruleset
 from detectframe.operators import scoring as S
 from detectframe.operators import triage as T
+from detectframe.plans.detect import Detection, detect, evaluate
+from detectframe.scale import cut
 
 
 def alerts(spark, d):
@@ -280,3 +283,30 @@ def d14_preview(spark, d):
     return T.forensic_preview(alerts(spark, d), 3).select("run_id", "event_type", "seq", F.col("pos").cast("bigint").alias("pos"))
 
 
+
+
+def _replay(spark, d):
+    """Host telemetry and call streams of ten runs as one event table, the runs, and their detection."""
+    events = adapter(spark, d, "tel").unionByName(adapter(spark, d, "calls"), allowMissingColumns=True)
+    runs = events.groupBy("run_id").agg(F.max("ts").alias("ts")).select(
+        "run_id", "ts", F.regexp_extract("run_id", "[0-9]+", 0).cast("bigint").alias("root_pid"), F.lit("C:\\bin\\sample.exe").alias("root_image"),
+        F.concat(F.lit("sha"), F.regexp_extract("run_id", "[0-9]+", 0)).alias("sha256"), F.concat("run_id", F.lit(".exe")).alias("filename"))
+    runs = cut(runs, "replay-runs")
+    return runs, detect(events, runs, ruleset())
+
+
+@query("replay_verdicts")
+def replay_verdicts(spark, d):
+    """The whole offline detection over stored telemetry: score, level and findings of every run."""
+    return _replay(spark, d)[1].verdicts
+
+
+@query("replay_quality")
+def replay_quality(spark, d):
+    """The same replay measured against labels: rates with their intervals."""
+    runs, found = _replay(spark, d)
+    found = Detection(found.alerts, cut(found.verdicts, "replay-verdicts"), found.reasons)
+    number = F.regexp_extract("run_id", "[0-9]+", 0).cast("int")
+    labels = runs.select(F.when(number % 2 == 0, "report").otherwise("sha256").alias("match_kind"), F.when(number % 2 == 0, F.col("run_id")).otherwise(F.col("sha256")).alias("match_value"),
+                         F.when(number % 3 == 0, "benign").otherwise("malicious").alias("label"), F.lit("none").alias("family"))
+    return evaluate(found, runs, labels)["rates"]

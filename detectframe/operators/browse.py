@@ -75,8 +75,8 @@ def filter_packets(packets: DataFrame, protocol=None, ip=None, port=None, q=None
 
 
 def page_packets(packets: DataFrame, offset=0, limit=100, protocol=None, ip=None, port=None, q=None) -> DataFrame:
-    """J3."""
-    return page(filter_packets(packets, protocol, ip, port, q), offset, limit, ["idx"])
+    """A page in capture order; packets of one place are ordered by what they show, so pages never overlap."""
+    return page(filter_packets(packets, protocol, ip, port, q), offset, limit, ["run_id", "idx", "ts", "src", "dst", "sport", "dport", "length", "summary"])
 
 
 def packet_totals_exact(packets: DataFrame, filtered: DataFrame, truncated: bool = False) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The whole detection as one lazy plan over many runs.
+"""The whole detection over many runs; alerts are written once when found and once when classified.
 
 The order of the steps matters: alerts are annotated before scoping, launcher
 artifacts are removed, everything after that only re-labels.
@@ -21,6 +21,7 @@ from detectframe.operators import scoring as S
 from detectframe.operators import sequence as G
 from detectframe.operators import triage as T
 from detectframe.operators import windows as W
+from detectframe.scale import cut
 from detectframe.schema import fld, opt
 
 #: Provider fields an alert keeps, besides the envelope.
@@ -102,6 +103,8 @@ def detect(
     alerts = alert_rows(events, runs, ruleset, apis)
     if extra is not None:
         alerts = alerts.unionByName(extra, allowMissingColumns=True)
+    # written once: the producers run a single time, and no later step plans them again
+    alerts = cut(alerts, "alerts")
     alerts = J.enrich_techniques(alerts, J.technique_map(events.sparkSession), opt(alerts, "rule_techniques", "array<string>"))
     alerts = T.annotate_priority(alerts)
     alerts = T.suppress_launcher_artifacts(alerts, runs)
@@ -109,7 +112,7 @@ def detect(
     alerts = L.scope(alerts, guids, pids)
     alerts = T.rescope(alerts, events, runs)
     alerts = S.classify_alert(alerts)
-    alerts = alerts.withColumn("severity", S.alert_severity(alerts))
+    alerts = cut(alerts.withColumn("severity", S.alert_severity(alerts)), "classified")
     return Detection(alerts, S.verdict(runs, alerts, static), S.top_reasons(alerts, static))
 
 
