@@ -18,6 +18,11 @@ CLOSING_US = 3650 * 86_400_000_000
 FILE_ROWS = 10_000
 
 
+def n_files(spark, rows: int, batches: int) -> int:
+    """Files of a batch, and so its tasks: more for more rows, up to the session's partitions."""
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // (batches * FILE_ROWS))))
+
+
 def as_batches(spark, frames: list, rows: int):
     """Write frames, one after the other, and open them as a stream with one batch for each.
 
@@ -26,7 +31,7 @@ def as_batches(spark, frames: list, rows: int):
     ones fill up), and a batch takes so many.
     """
     path = scratch_path(spark, "in")
-    files = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // (len(frames) * FILE_ROWS))))
+    files = n_files(spark, rows, len(frames))
     schema = frames[0].schema
     for i, frame in enumerate(frames):
         frame.repartition(files).write.mode("append").parquet(path)
@@ -75,9 +80,10 @@ def _stateful(spark, run):
 
 @query("m1_tail", oracle="SELECT event_id, user_id, event_type FROM events")
 def m1(spark, d):
-    path = scratch_path(spark, "tail")
-    table(spark, d, "events").select("event_id", "user_id", "event_type").repartition(4, "event_id").write.json(path)
-    return S.run_to_table(S.tail(spark, path, "event_id bigint, user_id bigint, event_type string", 2), "tail")
+    path, e = scratch_path(spark, "tail"), table(spark, d, "events").select("event_id", "user_id", "event_type")
+    files = n_files(spark, e.count(), 2)
+    e.repartition(2 * files, "event_id").write.json(path)
+    return S.run_to_table(S.tail(spark, path, "event_id bigint, user_id bigint, event_type string", files), "tail")
 
 
 @query("m3_sse_events", oracle="SELECT event_id, user_id FROM events")
@@ -86,7 +92,7 @@ def m3(spark, d):
     e = table(spark, d, "events")
     line = F.concat(F.lit("data: "), F.to_json(F.struct("event_id", "user_id")))
     path = scratch_path(spark, "sse")
-    e.select(F.explode(F.array(line, F.lit(": ping"), F.lit("data:"), F.concat(F.lit("data: {bad"), F.col("event_id")), F.lit(""))).alias("value")).repartition(4).write.text(path)
+    e.select(F.explode(F.array(line, F.lit(": ping"), F.lit("data:"), F.concat(F.lit("data: {bad"), F.col("event_id")), F.lit(""))).alias("value")).repartition(4 * n_files(spark, e.count(), 4)).write.text(path)
     lines = spark.readStream.text(path)
     return S.run_to_table(S.sse_events(lines, "event_id bigint, user_id bigint"), "sse")
 

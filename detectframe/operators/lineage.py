@@ -268,12 +268,15 @@ def in_lineage(rows: DataFrame, guids: DataFrame, pids: DataFrame, guid: Column,
     p = pids.select(F.col("run_id").alias("__pr"), F.col("pid").alias("__p")).distinct()
     has = guids.select(F.col("run_id").alias("__hr")).distinct()
     x = rows.withColumn("__guid", F.nullif(guid, F.lit(""))).withColumn("__pid", pid)
-    x = x.join(g, (F.col("run_id") == F.col("__gr")) & (F.col("__guid") == F.col("__g")), "left")
-    x = x.join(p, (F.col("run_id") == F.col("__pr")) & (F.col("__pid") == F.col("__p")), "left")
+    # rows without an id match nothing; a key per input partition keeps them from meeting in one task
+    part = F.spark_partition_id()
+    x = x.withColumn("__gk", F.coalesce("__guid", F.concat(F.lit("\0"), part.cast("string")))).withColumn("__pk", F.coalesce("__pid", F.lit(-(1 << 62)) + part))
+    x = x.join(g, (F.col("run_id") == F.col("__gr")) & (F.col("__gk") == F.col("__g")), "left")
+    x = x.join(p, (F.col("run_id") == F.col("__pr")) & (F.col("__pk") == F.col("__p")), "left")
     x = x.join(has, F.col("run_id") == F.col("__hr"), "left")
     use_guid = F.col("__guid").isNotNull() & F.col("__hr").isNotNull()
     return x.withColumn("__in", F.when(use_guid, F.col("__g").isNotNull()).otherwise(F.col("__p").isNotNull())).drop(
-        "__gr", "__g", "__pr", "__p", "__hr", "__guid", "__pid"
+        "__gr", "__g", "__pr", "__p", "__hr", "__guid", "__pid", "__gk", "__pk"
     )
 
 

@@ -555,7 +555,7 @@ def build_alert(matches: DataFrame, rules: DataFrame) -> DataFrame:
     """Matches plus rule columns; the event's own columns stay as they are."""
     meta = rules.select("rule_id", "title", "level", "tags", "falsepositives", "category", "product")
     return (
-        matches.join(F.broadcast(meta), "rule_id", "left")
+        matches.join(meta, "rule_id", "left")
         .withColumn("family", F.lit("sigma"))
         .withColumn("event_source", opt(matches, "source"))
         .withColumn("source", F.lit("sigma"))

@@ -67,6 +67,15 @@ class Spec:
     named: str | None = None  # aggregate with the process an alert names, where that is not the target
 
 
+def text(name: str, *values: Column) -> Column:
+    """An alert text with its places filled."""
+    parts = fixed.ALERT_TEXTS[name].split("{}")
+    filled = [F.lit(parts[0])]
+    for value, part in zip(values, parts[1:], strict=True):
+        filled += [value.cast("string"), F.lit(part)]
+    return F.concat(*filled)
+
+
 def _api(*names: str) -> Column:
     return F.col("api").isin(list(names))
 
@@ -101,59 +110,56 @@ def specs() -> dict[str, Spec]:
     marks = _api(fixed.META_CAP, fixed.META_LOST) & two_valued(col("category") == "meta")
     low = F.lower(col("arg"))
     remote = (_api(*fixed.THREAD_APIS) & col("cross") & (col("target") != col("actor"))) | resume
-    text = lambda *parts: F.concat(*[lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     first = lambda what, cond: F.min_by(what, F.when(cond, col("seq")))
     out = [
         Spec("ApitraceInjectionChain", 9201, PAIR, has_target & (write | thread | resume | unmap),
              {"write": _has(write), "thread": _has(thread), "resume": _has(resume), "unmap": _has(unmap)},
              (col("write") & started) | (col("unmap") & (col("write") | started)),
-             F.when(col("unmap"), text("Process hollowing into ", col("target"), ": image unmapped, then written/started"))
-             .otherwise(text("Write into remote process ", col("target"), " followed by thread start/resume")),
+             F.when(col("unmap"), text("hollowing", col("target")))
+             .otherwise(text("chain", col("target"))),
              chain_apis, slots=[Slot(unmap), Slot(write), Slot(thread), Slot(resume)]),
         Spec("ApitraceCrossProcessWrite", 9202, PAIR, has_target & write & (col("target") != col("actor")), {},
-             lit(True), text("Cross-process write into process ", col("target")), ["NtWriteVirtualMemory"]),
+             lit(True), text("cross_write", col("target")), ["NtWriteVirtualMemory"]),
         Spec("ApitraceExecProtection", 9203, ACTOR, flip | alloc, {"flips": _n(flip), "allocs": _n(alloc)},
              (col("flips") > 0) | (col("allocs") >= fixed.EXEC_ALLOC_MIN),
-             F.when(col("flips") > 0, lit("Memory protection changed to executable"))
-             .otherwise(text(col("allocs"), " executable memory allocations")),
+             F.when(col("flips") > 0, text("exec_flip"))
+             .otherwise(text("exec_allocs", col("allocs"))),
              ["NtProtectVirtualMemory", *fixed.ALLOC_APIS], slots=[Slot(flip), Slot(alloc, use=col("flips") == 0)]),
         Spec("ApitraceRemoteThread", 9204, PAIR, has_target & remote, {"via": first(col("api"), has_target & remote)}, lit(True),
-             text(F.when(col("via") == "NtCreateThreadEx", "Remote thread start via ").otherwise("Remote thread resume via "),
-                  col("via"), " on process ", col("target")), [*fixed.THREAD_APIS, "NtResumeThread"]),
+             F.when(col("via") == "NtCreateThreadEx", text("thread_start", col("via"), col("target"))).otherwise(text("thread_resume", col("via"), col("target"))), [*fixed.THREAD_APIS, "NtResumeThread"]),
         Spec("ApitraceAntiSandboxTiming", 9207, ACTOR, polls | timer_apc | very_long | long_,
              {"polls": _n(polls), "apc": _has(timer_apc), "very_long": _has(very_long), "long": _has(long_)},
              col("apc") | col("very_long") | ((col("polls") >= fixed.POLL_MIN) & col("long")),
-             F.when(col("apc"), lit("Code execution scheduled via timer APC (sleep-obfuscation family)"))
-             .when(col("very_long"), lit("Very long relative delay (>= 60s) inside the analysis window"))
-             .otherwise(lit("Timing-source polling combined with a long delay (time-acceleration check)")),
+             F.when(col("apc"), text("timer_apc"))
+             .when(col("very_long"), text("very_long"))
+             .otherwise(text("polling")),
              ["GetTickCount64", "NtQuerySystemTime", "NtDelayExecution", "NtSetTimer"],
              slots=[Slot(timer_apc), Slot(polls, use=~col("apc")), Slot(very_long, use=~col("apc")), Slot(long_, use=~col("apc") & ~col("very_long"))]),
         Spec("ApitraceCryptoBurst", 9208, ACTOR, crypt, {"ops": _n(crypt)},
-             col("ops") >= fixed.CRYPTO_MIN, text(col("ops"), " bulk encrypt/decrypt operations from one process"),
+             col("ops") >= fixed.CRYPTO_MIN, text("crypto", col("ops")),
              ["BCryptEncrypt", "BCryptDecrypt"], slots=[Slot(crypt, 3)]),
         Spec("ApitraceTokenManipulation", 9209, ACTOR, adjust | opened | dup,
              {"adjust": _has(adjust), "open": _has(opened), "dup": _has(dup), "tok": first(col("target"), opened), "adj": first(col("arg"), adjust)},
              col("open") & (col("adjust") | col("dup")),
-             F.when(col("adjust"), text("Privilege escalation followed by token action (", col("adj"), ")"))
-             .otherwise(text("Token of process ", F.coalesce(col("tok").cast("string"), lit("None")), " opened and duplicated (token theft)")),
+             F.when(col("adjust"), text("token_adjust", col("adj")))
+             .otherwise(text("token_theft", F.coalesce(col("tok").cast("string"), lit("None")))),
              ["NtAdjustPrivilegesToken", "NtOpenProcessToken", "NtDuplicateToken"], target="tok",
              slots=[Slot(adjust), Slot(opened), Slot(dup, use=~col("adjust"))]),
         Spec("ApitraceCrossProcessRead", 9211, PAIR, has_target & _api("NtReadVirtualMemory"), {}, lit(True),
-             text("Cross-process memory read from process ", col("target")), ["NtReadVirtualMemory"]),
+             text("cross_read", col("target")), ["NtReadVirtualMemory"]),
         Spec("ApitraceAntiDebug", 9210, ACTOR, debug, {"debug_arg": first(col("arg"), debug)}, lit(True),
-             text("Anti-debugging behavior (", col("debug_arg"), ")"), ["NtSetInformationThread", "NtSetInformationProcess"], slots=[Slot(debug, 2)]),
+             text("anti_debug", col("debug_arg")), ["NtSetInformationThread", "NtSetInformationProcess"], slots=[Slot(debug, 2)]),
         Spec("ApitraceAntiTamper", 9212, ACTOR, tamper, {"tamper_arg": first(col("arg"), tamper)}, lit(True),
-             text("Memory write/protect inside ", F.when(col("tamper_arg").contains("targets_module=ntdll"), "ntdll").otherwise("amsi.dll"),
-                  " (unhooking / ETW-AMSI blinding attempt)"), slots=[Slot(tamper, 2)]),
+             text("anti_tamper", F.when(col("tamper_arg").contains("targets_module=ntdll"), "ntdll").otherwise("amsi.dll")), slots=[Slot(tamper, 2)]),
         Spec("ApitraceTransactionAbuse", 9213, ACTOR, _api("NtCreateTransaction"), {}, lit(True),
-             lit("NTFS transaction created (process doppelganging primitive)"), ["NtCreateTransaction"]),
+             text("transaction"), ["NtCreateTransaction"]),
         Spec("ApitracePpidSpoof", 9214, ACTOR, spoof, {"named": first(F.coalesce(col("ppid"), lit("None")), spoof), "made": first(F.struct("child"), spoof)}, lit(True),
-             text("Parent-PID spoof: child created naming pid ", col("named"), " as parent"), ["NtCreateUserProcess"], named="made.child"),
+             text("ppid_spoof", col("named")), ["NtCreateUserProcess"], named="made.child"),
         Spec("ApiTraceTruncated", 9206, ACTOR, marks,
              {"cap": _has(marks & _api(fixed.META_CAP)), "lost": _has(marks & _api(fixed.META_LOST))}, lit(True),
-             F.when(col("lost") & col("cap"), "API-trace volume cap reached and collector pipe was lost; sequence is incomplete")
-             .when(col("lost"), "Collector pipe was lost and reconnected; events missing in the gap")
-             .otherwise("API-trace volume cap reached; sequence may be incomplete"), [fixed.META_CAP, fixed.META_LOST]),
+             F.when(col("lost") & col("cap"), text("cap_and_loss"))
+             .when(col("lost"), text("pipe_lost"))
+             .otherwise(text("capped")), [fixed.META_CAP, fixed.META_LOST]),
     ]
     loads = (
         _api("LdrLoadDll") & ~any_true([low.contains(m) for m in fixed.MONITOR_MODULES])
@@ -162,7 +168,7 @@ def specs() -> dict[str, Spec]:
         & ~any_true([low.contains(m) for m in fixed.LOAD_EXCLUSIONS])
     )
     out.append(Spec("ApitraceReflectiveLoad", 9205, ["run_id", "actor", "path"], loads, {"load_arg": first(col("arg"), loads)},
-                    lit(True), text("Module loaded from user-writable/UNC path: ", col("load_arg")), ["LdrLoadDll"]))
+                    lit(True), text("module_load", col("load_arg")), ["LdrLoadDll"]))
     return {s.event_type: s for s in out}
 
 
@@ -263,8 +269,7 @@ def reflective_starts(events: DataFrame) -> DataFrame:
         "run_id", F.col("pid").alias("actor"), F.lit(None).cast("bigint").alias("target"), F.lit(9205).alias("event_id"),
         F.lit("ApitraceReflectiveLoad").alias("event_type"), F.lit(1).cast("bigint").alias("n_rows"), F.col("seq").alias("first_seq"),
         F.col("ts").alias("first_ts"), F.col("addr").alias("first_arg"),
-        F.concat(F.lit("Executable allocation at "), F.col("addr"),
-                 F.lit(" followed by thread start at the same address (reflective load)")).alias("detail"),
+        text("reflective", F.col("addr")).alias("detail"),
         F.lit(None).cast("bigint").alias("named_pid"), F.array("first_row", "row").alias("evidence"),
     )
 

@@ -236,18 +236,18 @@ def rescope(alerts: DataFrame, events: DataFrame, runs: DataFrame) -> DataFrame:
     image = basename(F.coalesce(*[F.nullif(d(n), F.lit("")) for n in ("SourceImage", "Image", "ProcessName")]))
     origin = F.col("event_source") if "event_source" in alerts.columns else opt(alerts, "source")
     reason = first_match([
-        (F.col("tooling_thread"), F.lit("tooling: monitor child-following injection (LoadLibraryW StartAddress)")),
-        ((t == "ImageLoad") & low(d("ImageLoaded")).contains(fixed.TOOLING_DIR), F.lit("tooling: sandbox monitor DLL loaded into sample process")),
-        ((t == "PipeConnected") & low(d("PipeName")).isin(fixed.TOOLING_PIPES), F.lit("tooling: sandbox apitrace/guardian pipe")),
+        (F.col("tooling_thread"), F.lit(fixed.SCOPE_REASONS["monitor_thread"])),
+        ((t == "ImageLoad") & low(d("ImageLoaded")).contains(fixed.TOOLING_DIR), F.lit(fixed.SCOPE_REASONS["monitor_dll"])),
+        ((t == "PipeConnected") & low(d("PipeName")).isin(fixed.TOOLING_PIPES), F.lit(fixed.SCOPE_REASONS["monitor_pipe"])),
         (no_guid & image.isin(fixed.OS_NOISE_IMAGES), F.concat(F.lit("os-noise: "), image, F.lit(" adopted via recycled pid"))),
         (no_guid & two_valued(origin == "wmi_etw") & F.upper(F.coalesce(d("User"), F.lit(""))).startswith("NT AUTHORITY\\")
-         & two_valued(d("Query").rlike(fixed.HEALTH_PROBE)), F.lit("os-noise: Windows Security Center health-probe WMI subscription")),
-        (low(d("SourceImage")).contains(fixed.TOOLING_DIR), F.lit("tooling: monitor loader action on sample")),
-        (two_valued(origin == "apitrace") & two_valued(F.col("__tool")), F.lit("tooling: monitor loader injection (apitrace)")),
-        (two_valued(origin == "apitrace") & two_valued(F.col("__placed")), F.lit("tooling: monitor loader injection (guardian-marked)")),
-        ((t == "ProcessAccess") & two_valued(F.col("__pair")), F.lit("tooling: monitor child-following injection (process open)")),
+         & two_valued(d("Query").rlike(fixed.HEALTH_PROBE)), F.lit(fixed.SCOPE_REASONS["health_probe"])),
+        (low(d("SourceImage")).contains(fixed.TOOLING_DIR), F.lit(fixed.SCOPE_REASONS["loader_action"])),
+        (two_valued(origin == "apitrace") & two_valued(F.col("__tool")), F.lit(fixed.SCOPE_REASONS["loader_injection"])),
+        (two_valued(origin == "apitrace") & two_valued(F.col("__placed")), F.lit(fixed.SCOPE_REASONS["loader_marked"])),
+        ((t == "ProcessAccess") & two_valued(F.col("__pair")), F.lit(fixed.SCOPE_REASONS["process_open"])),
         (two_valued(opt(alerts, "rule_id").isin(fixed.STAGING_RULE_IDS)) & two_valued(F.col("__staged") != "") & (low(d("Image")) == F.col("__staged")),
-         F.lit("tooling: sandbox staging artifact (extensionless hash-named path)")),
+         F.lit(fixed.SCOPE_REASONS["staging"])),
     ])
     in_scope = two_valued(F.col("in_scope"))
     x = x.withColumn("__why", F.when(in_scope, reason))

@@ -81,7 +81,7 @@ def alert_rows(events: DataFrame, runs: DataFrame, ruleset: R.RuleSet, both_apis
     ruled = R.build_alert(hits, rules).select(*_ENVELOPE, *FIELDS, "rule_id", "title", "level", "rule_techniques", "event_source")
     corr = R.correlation_alerts(events, ruleset)
     if corr is not None:
-        c = corr.join(F.broadcast(rules.select("rule_id", "title", "level", "tags")), "rule_id").withColumn("seq", late).withColumn("source", F.lit("sigma"))
+        c = corr.join(rules.select("rule_id", "title", "level", "tags"), "rule_id").withColumn("seq", late).withColumn("source", F.lit("sigma"))
         c = c.withColumn("rule_techniques", R.techniques_from_tags(F.col("tags"))).withColumn("event_id", F.lit(None).cast("int"))
         keep = [x for x in [*_ENVELOPE, *FIELDS, "rule_id", "title", "level", "rule_techniques"] if x in c.columns]
         ruled = ruled.unionByName(c.select(*keep), allowMissingColumns=True)
