@@ -188,8 +188,10 @@ def pattern_scan(docs: DataFrame, rules: list[dict], key: str = "doc_id", text:
     hits = f"transform(filter(__cand, n -> {choose(tests, 0, len(tests))}), n -> __of[n])" if patterns else "array()"
     idle = ", ".join(str(i) for i, r in enumerate(rules) if min(r.get("need", 1), r.get("need_guarded", 1)) <= 0)
     enough = "size(filter(h, y -> y = r)) >= if(coalesce(__guard, false), __more[r], __need[r])"
-    return x.withColumn("h", F.expr(f"CAST({hits} AS array<int>)")).select(
-        key, F.explode(F.expr(f"transform(filter(array_union(array_distinct(h), CAST(array({idle}) AS array<int>)), r -> {enough}), r -> __ids[r])")).alias("rule"))
+    # generated as values first: the filter Spark derives from an explode would evaluate all of it again
+    x = x.select("*", F.explode(F.array(F.expr(f"CAST({hits} AS array<int>)"))).alias("h"))
+    fires = F.expr(f"transform(filter(array_union(array_distinct(h), CAST(array({idle}) AS array<int>)), r -> {enough}), r -> __ids[r])")
+    return x.select(key, F.explode(F.array(fires)).alias("__rules")).select(key, F.explode("__rules").alias("rule"))
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +229,7 @@ def pattern_hits(docs: DataFrame, rules: list[dict], key: str = "doc_id", text:
         row = F.struct(F.lit(rules[r]["rule"]).alias("rule"), F.lit(name).alias("pattern"), F.transform(F.split(t, p), F.char_length).alias("gaps"), hits.alias("found"))
         return F.when(F.array_contains("__cand", i) & t.rlike(p), row)
 
-    each = x.select(key, F.explode(F.array(*[found(i, *x) for i, x in enumerate(patterns)])).alias("h")).filter(F.col("h").isNotNull()).select(key, "h.*")
+    each = x.select(key, F.explode(F.array(*[found(i, *one) for i, one in enumerate(patterns)])).alias("h")).filter(F.col("h").isNotNull()).select(key, "h.*")
     schema = StructType([docs.schema[key], StructField("rule", StringType()), StructField("pattern", StringType()), StructField("offset", IntegerType()), StructField("data", StringType())])
     return each.mapInArrow(_places, schema)
 

@@ -527,7 +527,9 @@ def apply_rules(events: DataFrame, ruleset: RuleSet, prefilter: bool = True, kee
     candidates = f"array_distinct(flatten(transform({met}, a -> a.r)))"
     # an expression inside a lambda is evaluated as it stands: thousands of predicates would not fit generated code
     fired_rules = f"transform(filter({candidates}, n -> {choose(texts, 0, len(texts))}), n -> __ids[n])"
-    return prepared.select(*cols, F.explode(F.expr(fired_rules)).alias("rule_id"))
+    # generated as one value first: the filter Spark derives from an explode would evaluate all of it again
+    found = prepared.select(*cols, F.explode(F.array(F.expr(fired_rules))).alias("__hits"))
+    return found.select(*cols, F.explode("__hits").alias("rule_id"))
 
 
 def rule_table(spark, ruleset: RuleSet) -> DataFrame:
@@ -614,8 +616,8 @@ def correlation_hits(events: DataFrame, ruleset: RuleSet) -> DataFrame:
         parts.append(f"if({test}, named_struct('corr', {i}, 'width', {int(round(c['seconds'] * 1_000_000))}L, 'k', array({group})), NULL)")
     # inside a lambda, so that many base rules need not fit generated code
     hits = F.expr(f"filter(transform(array(true), y -> array({', '.join(parts)}))[0], x -> x IS NOT NULL)")
-    rows = events.select("run_id", "ts", *src.columns()).select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.explode(hits).alias("x"))
-    points = rows.select("us", "x.*")
+    rows = events.select("run_id", "ts", *src.columns()).select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.explode(F.array(hits)).alias("xs"))
+    points = rows.select("us", F.explode("xs").alias("x")).select("us", "x.*")
     keys = ["corr", "k"]
     # rows without a time are in no window; their groups have the count 0
     best = running_counts(points.filter("us IS NOT NULL"), keys).groupBy(*keys).agg(F.max("n").alias("matched_events"), F.max("us").alias("latest_us"))
