@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -10,12 +12,43 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from detectframe.scale import cut
+from detectframe import scale
 
 #: Bytes of text one vectorized step holds at once (a longer document comes alone).
 CHUNK_BYTES = 1 << 20
 
 
+_SCOPE: ContextVar[scale.Scratch | None] = ContextVar("scope", default=None)
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Lineage cut; inside a :func:`scratch` function it goes when that function has written its result."""
+    scope = _SCOPE.get()
+    return scope.cut(df, name) if scope else scale.cut(df, name)
+
+
+def drop(df: DataFrame) -> None:
+    """Removes a cut of the running :func:`scratch` function that has no reader left."""
+    if _SCOPE.get():
+        _SCOPE.get().drop(df)
+
+
+def scratch(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The function's result is written once and its lineage cuts are removed then; its first argument is a frame."""
+
+    @wraps(fn)
+    def run(first: DataFrame, *args, **kwargs) -> DataFrame:
+        with scale.Scratch(first.sparkSession) as scope:
+            token = _SCOPE.set(scope)
+            try:
+                out = fn(first, *args, **kwargs)
+            finally:
+                _SCOPE.reset(token)
+            return cut(out, fn.__name__)
+
+    return run
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``(key, row)``: a unique, non-null long per row that keeps the order of ``doc_id``, and the row as a struct.
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from detectframe.scale import cut
+from detectframe.llm.common import cut, drop
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -32,6 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == now:
             break
-        mark, edges = now, cut(_star(edges), "star")
+        mark, last, edges = now, edges, cut(_star(edges), "star")
+        drop(last)
     roots = edges.select(F.col("b").alias("key"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("key"), F.col("b").alias("component")).unionAll(roots)

@@ -3,16 +3,19 @@
 Documents are sets of word shingles.  Equal sets are one class with one representative.  Each of ``TREES``
 independent trees sends a representative to the node of its least shingle under the tree's permutation.  Small
 nodes are compared exhaustively; a larger node branches: its members go on to ``BRANCHES`` children chosen by
-further minwise tokens (slots of the sketch drawn by the node), until nodes are small.  Nodes that do not
-thin out (a child keeps more than half of them) or are still large at ``DEPTH`` are compared in blocks, so no
-pair of a node is given up.
-
-Comparing is done on sketches first (a pair far below the threshold is dropped), then every remaining pair is
-confirmed on the full sets.  Only components are wanted, so a round links before it compares: first every
-member of a node with its least member, in large nodes then those outside the main component with a few of its
-members (hubs), then a spanning forest of the likeliest pairs between components, then all pairs that still join
-different components.  A group of near copies is thus linked by stars, not by all its pairs, and members of the
-main component are never compared with each other.
+further minwise tokens (slots of the sketch drawn by the node), until nodes are small.  Members of nodes that do
+not thin out (a child keeps more than one in ``CROWDED``) or are still large at ``DEPTH`` meet by prefixes: two sets
+that reach the threshold share a token among the first fifth or so of each, in any one order of all tokens.  The
+order puts rare tokens first, so a passage that thousands of texts hold does not bring them together.  This loses
+no pair.  A bucket of equal prefix tokens that is still large is dealt by set size, then compared in blocks.
+
+A pair is ruled out by the sizes of its sets, or by parities: bit j of a set's ``BITS`` says whether an odd number
+of its shingles falls in range j, so two sets differ in at least as many shingles as bits.  Both rule out dissimilar
+pairs only.  Every remaining pair is confirmed on the full sets.  Only components are wanted, so a round links
+before it compares: first every member of a node with its least member, in large nodes then those outside the main
+component with a few of its members (hubs), then a spanning forest of the likeliest pairs between components, then
+all pairs that still join different components.  A group of near copies is thus linked by stars, not by all its
+pairs, and members of the main component are never compared with each other.
 
 At similarity 0.8 a tree misses a pair with probability about 0.2, ten trees with 1e-7.
 
@@ -23,27 +26,25 @@ NULL and empty texts have no set and are linked with nothing.  Rows that share a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from detectframe.llm.common import WORDS, mix, pick, shingle_hashes, strings, texts
+from detectframe.llm.common import WORDS, cut, mix, pick, scratch, shingle_hashes, strings, texts
 from detectframe.llm.components import components
-from detectframe.scale import cut
 
 TREES, BRANCHES, DEPTH = 10, 3, 3
-#: Members of a node that branches, and of a block in which nodes are compared exhaustively.
-NODE, BLOCK = 1024, 256
+#: Members up to which a node is compared exhaustively, and share of a node in one child at which it does not thin out.
+BLOCK, CROWDED = 512, 4
 #: Steps that link large nodes to hubs before they are compared, and hubs of a node in each.
 STEPS, HUBS = 2, 4
-#: Sets up to this size go along whole where all pairs between components are compared.
-WHOLE = 512
-#: Values of a sketch, and by how many standard deviations its estimate may fall short of the threshold.
-SKETCH, SHORT = 128, 4.5
-#: Under so many shingles empty ranges borrow values, and the deviation is wider.
-SMALL, SHORT_SMALL = 512, 7.0
+#: Minwise tokens a node may branch by, and parities of a set.
+SKETCH, BITS = 128, 1024
+#: Ranges of hashes in which shingles are counted to tell rare from frequent ones (a table of fixed size).
+RANGES = 1 << 18
 _SEEDS = mix(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
 _BINS = np.arange(SKETCH, dtype=np.uint64) << np.uint64(57)
 
@@ -63,44 +64,36 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return (shingles[at[lender]] & np.uint64(0xFFFF)).astype(np.uint16)
 
 
-def _fewest(n: np.ndarray, percent: int) -> np.ndarray:
-    """Equal sketch values below which sets of (at least) n shingles are too far apart to be similar."""
-    p, own = percent / 100, SKETCH * (1 - np.exp(-n / SKETCH))  # ranges that are not empty
-    return SKETCH * (p - np.where(n < SMALL, SHORT_SMALL, SHORT) * np.sqrt(p * (1 - p) / np.maximum(own, 1)))
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls in each of ``BITS`` ranges, packed."""
+    return np.packbits((np.bincount((shingles >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8))
 
 
-def _common(members: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of sorted sets, by pairs of places."""
-    if len(p) < 2000:
-        out = np.zeros(len(p), np.int64)
-        for i, (x, y) in enumerate(zip(p, q)):
-            both = np.concatenate([members[x], members[y]])
-            both.sort()
-            out[i] = (both[1:] == both[:-1]).sum()
-        return out
-    names, number = np.unique(np.concatenate(members), return_inverse=True)
-    table = np.zeros((len(members), len(names)), np.float32)
-    table[np.repeat(np.arange(len(members)), [len(m) for m in members]), number] = 1
-    return (table @ table.T).astype(np.int64)[p, q]
+def prefix(shingles: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
+    """Tokens of which a set that reaches the threshold with this one has one among its own: rarest ranges first."""
+    n = len(shingles)
+    order = np.lexsort((shingles, rank[(shingles >> np.uint64(46)).astype(np.int64)]))
+    return shingles[order[: n - -(-percent * n // 100) + 1]]
 
 
 def _features(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "n", "s0", "s1", "tokens", "sketch"]
+        names = ["key", "n", "s0", "s1", "tokens", "sketch", "parity"]
         for b in batches:
             data, at, _ = strings(b.column("text"))
-            n, s0, s1, tokens, sketches = [], [], [], [], []
+            n, s0, s1, tokens, sketches, parities = [], [], [], [], [], []
             for i in range(b.num_rows):
                 h = shingle_set(data[at[i] : at[i + 1]].tobytes(), k)
                 n.append(len(h))
                 if not len(h):
-                    s0.append(0), s1.append(0), tokens.append(None), sketches.append(None)
+                    s0.append(0), s1.append(0), tokens.append(None), sketches.append(None), parities.append(None)
                     continue
                 s0.append(np.add.reduce(mix(h)).astype(np.int64)), s1.append(np.add.reduce(mix(h ^ _SEEDS[0])).astype(np.int64))
                 tokens.append(np.array([mix(h ^ s).min() for s in _SEEDS]).astype(np.int64))
                 sketches.append(sketch(h).tobytes())
+                parities.append(parity(h).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column("key"), pa.array(n, pa.int64()), pa.array(s0, pa.int64()), pa.array(s1, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names
+                [b.column("key"), pa.array(n, pa.int64()), pa.array(s0, pa.int64()), pa.array(s1, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(parities, pa.binary())], names
             )
 
     return run
@@ -118,19 +111,31 @@ def _sets(k: int):
     return run
 
 
-def _small(k: int):
-    """32-bit values of whole sets of at most ``WHOLE`` shingles (a collision can only keep a pair)."""
+def _counts(k: int):
+    """Shingles of these texts in each range of hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RANGES, np.int64)
+        for b in batches:
+            data, at, _ = strings(b.column("text"))
+            for i in range(b.num_rows):
+                np.add.at(total, (shingle_set(data[at[i] : at[i + 1]].tobytes(), k) >> np.uint64(46)).astype(np.int64), 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["range", "c"])
+
+    return run
+
 
+def _prefixes(k: int, percent: int, rank: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at, _ = strings(b.column("text"))
-            keys, found = [], []
-            for i, key in enumerate(b.column("key").to_pylist()):
+            keys = b.column("key").to_numpy()
+            for i in range(b.num_rows):
                 h = shingle_set(data[at[i] : at[i + 1]].tobytes(), k)
-                if len(h) <= WHOLE:
-                    keys.append(key)
-                    found.append(np.sort((h & np.uint64(0xFFFFFFFF)).astype(np.uint32)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.binary())], ["key", "small"])
+                tokens = prefix(h, rank, percent).astype(np.int64)
+                columns = [pa.array(tokens), pa.array(np.full(len(tokens), keys[i])), pa.array(np.full(len(tokens), len(h)))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "key", "n"])
 
     return run
 
@@ -140,17 +145,25 @@ def _similar(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
 
 
+def _near(apart: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes that differ in ``apart`` shingles, or more, can reach the threshold."""
+    return apart * (100 + percent) <= (100 - percent) * (n + m)
+
+
+def _parities(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+
+
 def _likely(percent: int):
-    """Keeps pairs ``(a, b, na, nb, ka, kb)`` that sizes and sketches do not rule out."""
+    """Keeps pairs ``(a, b, na, nb, ka, kb)`` that sizes and parities do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             n, m = b.column("na").to_numpy(), b.column("nb").to_numpy()
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, SKETCH) for c in ("ka", "kb"))
-            same = (x == y).sum(axis=1)
-            keep = _similar(n, m, percent) & (same >= _fewest(np.minimum(n, m), percent))
+            apart = np.bitwise_count(_parities(b.column("ka")) ^ _parities(b.column("kb"))).sum(axis=1, dtype=np.int64)
+            keep = _similar(n, m, percent) & _near(apart, n, m, percent)
             yield b.select(["a", "b"]).filter(pa.array(keep))
 
     return run
@@ -203,8 +216,7 @@ def _node_pairs(percent: int, forest: bool):
             lists = batch.column("members")
             starts, flat = lists.offsets.to_numpy(), lists.values
             key, comp, n, side = (flat.field(f).to_numpy() for f in ("key", "comp", "n", "side"))
-            sk = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint16).reshape(-1, SKETCH)
-            small = [np.frombuffer(x or b"", np.uint32) for x in flat.field("small").to_pylist()]
+            bits = _parities(flat.field("parity"))
             two = batch.column("two").to_numpy(zero_copy_only=False)
             for i in range(batch.num_rows):
                 r = np.arange(starts[i], starts[i + 1])
@@ -213,27 +225,18 @@ def _node_pairs(percent: int, forest: bool):
                 left = r[number != size.argmax()]
                 if not len(left):
                     continue
-                same = np.zeros((len(left), len(r)), np.int16)
-                for j in range(SKETCH):
-                    same += sk[left, j][:, None] == sk[r, j][None, :]
+                apart = np.zeros((len(left), len(r)), np.int64)
+                for j in range(bits.shape[1]):
+                    apart += np.bitwise_count(bits[left, j][:, None] ^ bits[r, j][None, :])
                 nl, nr = n[left][:, None], n[r][None, :]
-                ok = (comp[left][:, None] != comp[r][None, :]) & _similar(nl, nr, percent) & (same >= _fewest(np.minimum(nl, nr), percent))
+                ok = (comp[left][:, None] != comp[r][None, :]) & _similar(nl, nr, percent) & _near(apart, nl, nr, percent)
                 # a pair of two others appears twice
                 ok &= (comp[r] == names[size.argmax()])[None, :] | (key[left][:, None] < key[r][None, :])
                 if two[i]:
                     ok &= side[left][:, None] != side[r][None, :]
                 p, q = np.nonzero(ok)
-                if not forest and len(p):  # whole sets decide at once where they are at hand
-                    x, y = left[p] - starts[i], q
-                    full = np.array([len(m) > 0 for m in small[starts[i] : starts[i + 1]]])
-                    known = full[x] & full[y]
-                    common = _common(small[starts[i] : starts[i + 1]], x[known], y[known])
-                    keep = np.ones(len(p), bool)
-                    total = n[left[p[known]]] + n[r[q[known]]]
-                    keep[known] = 100 * common >= percent * (total - common)
-                    p, q = p[keep], q[keep]
                 if forest and len(p):
-                    best = np.argsort(-same[p, q], kind="stable")
+                    best = np.argsort(apart[p, q] / (n[left[p]] + n[r[q]]), kind="stable")
                     p, q = p[best], q[best]
                     kept = _forest(left[p] - starts[i], q, comp[r])
                     p, q = p[kept], q[kept]
@@ -311,39 +314,59 @@ def _blocks(flat: DataFrame, known: DataFrame) -> DataFrame:
     against = every(mains, lambda m: at(F.col("own"), -1 - m, F.lit(0)))
     rows = F.when(single, F.array(at(F.lit(0), F.lit(0), F.lit(0)))).when(other, F.concat(against, among)).otherwise(every(others, lambda o: at(o, -1 - F.col("own"), F.lit(1))))
     dealt = flat.withColumn("own", own).select("node", "key", "comp", F.explode(rows).alias("at")).join(known, "key")
-    member = F.struct("key", "comp", "n", "sketch", "small", F.col("at.side").alias("side"))
+    member = F.struct("key", "comp", "n", "parity", F.col("at.side").alias("side"))
     return dealt.groupBy("node", F.col("at.x").alias("x"), F.col("at.y").alias("y")).agg(F.collect_list(member).alias("members")).select("members", (F.col("x") != F.col("y")).alias("two"))
 
 
-def _between(nodes: DataFrame, reps: DataFrame, comp: DataFrame, corpus: DataFrame, k: int, percent: int, forest: bool) -> DataFrame:
-    """Likely pairs between different components, over all nodes, branching the large ones.
+def _ranks(body: DataFrame, k: int) -> np.ndarray:
+    """Order of frequency of each range of hashes, as powers of two (``RANGES`` bytes, whatever the table)."""
+    found = body.mapInArrow(_counts(k), "range long, c long").groupBy("range").agg(F.sum("c").alias("c")).toArrow()
+    rank = np.zeros(RANGES, np.uint8)
+    rank[found["range"].to_numpy()] = np.log2(found["c"].to_numpy()).astype(np.uint8) + 1
+    return rank
 
-    Nodes are told open or closed by keys and components alone; only members of open ones take sketches along.
-    """
-    known, found, level = reps.select("key", "n", "sketch"), None, _placed(nodes, comp)
+
+def _buckets(body: DataFrame, k: int, percent: int) -> DataFrame:
+    """``(node, key)`` of texts by their prefix tokens; large buckets are dealt by set size, each set to two classes."""
+    rows = cut(body.mapInArrow(_prefixes(k, percent, _ranks(body, k)), "node long, key long, n long"), "prefixes")
+    shared = rows.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
+    rows = rows.join(shared, "node")
+    # sizes that can reach the threshold lie in equal or neighbouring classes (a little wider than that, for rounding)
+    size = F.floor(F.log("n") / float(np.log(100.01 / percent)))
+    dealt = rows.where(F.col("c") > BLOCK).select("node", "key", F.explode(F.array(size, size + 1)).alias("class"))
+    return rows.where(F.col("c") <= BLOCK).select("node", "key").unionAll(dealt.select(F.xxhash64("node", "class").alias("node"), "key"))
+
+
+def _leaves(nodes: DataFrame, reps: DataFrame, comp: DataFrame, corpus: DataFrame, k: int, percent: int) -> DataFrame:
+    """``(node, key)`` of all nodes to compare that hold several components: small ones, and buckets of the dense ones."""
+    level, leaves, dense = _placed(nodes, comp), [], []
     for depth in range(DEPTH + 1):
-        full = cut(level.join(_open(level), "node"), "level")
-        if depth == 0 and forest:
-            known = known.withColumn("small", F.lit(None).cast("binary"))
-        elif depth == 0:
-            ids = cut(full.select("key").distinct(), "ids")
-            known = known.join(pick(corpus.select("key", "text"), ids).mapInArrow(_small(k), "key long, small binary"), "key", "left")
-        direct = (F.col("size") <= NODE) | (F.col("rest") <= BLOCK)
-        flat, large = full.where(direct), full.where(~direct)
-        more = depth < DEPTH and bool(large.limit(1).count())
-        if more:
-            members = large.join(reps.select("key", "sketch"), "key").select("node", "key", "comp", "size", "sketch")
-            children = cut(members.mapInArrow(_children, "node long, child long, key long, comp long, size long"), "children")
-            dense = children.groupBy("node", "child").agg(F.count("*").alias("c"), F.max("size").alias("size")).where("2 * c > size").select("node").distinct()
-            level = cut(children.join(dense, "node", "left_anti").select(F.col("child").alias("node"), "key", "comp").distinct(), "branches")
-            flat = flat.unionAll(large.join(dense, "node", "left_semi"))
-        elif depth == DEPTH:
-            flat = full
-        pairs = _blocks(flat, known).mapInArrow(_node_pairs(percent, forest), "a long, b long")
-        found = pairs if found is None else found.unionAll(pairs)
-        if not more:
+        full = cut(level.join(_open(level).select("node", "size"), "node"), "level")
+        leaves.append(full.where(F.col("size") <= BLOCK).select("node", "key"))
+        large = full.where(F.col("size") > BLOCK)
+        if not large.limit(1).count():
+            break
+        if depth == DEPTH:
+            dense.append(large.select("key"))
             break
-    return cut(found.distinct(), "pairs")
+        members = large.join(reps.select("key", "sketch"), "key").select("node", "key", "comp", "size", "sketch")
+        children = cut(members.mapInArrow(_children, "node long, child long, key long, comp long, size long"), "children")
+        crowded = children.groupBy("node", "child").agg(F.count("*").alias("c"), F.max("size").alias("size")).where(F.col("c") * CROWDED > F.col("size")).select("node").distinct()
+        crowded = cut(crowded, "crowded")
+        dense.append(large.join(crowded, "node", "left_semi").select("key"))
+        level = cut(children.join(crowded, "node", "left_anti").select(F.col("child").alias("node"), "key", "comp").distinct(), "branches")
+    if dense:
+        keys = cut(reduce(DataFrame.unionAll, dense).distinct(), "dense")
+        leaves.append(_buckets(pick(corpus.select("key", "text"), keys), k, percent))
+    return cut(reduce(DataFrame.unionAll, leaves), "leaves")
+
+
+def _between(leaves: DataFrame, reps: DataFrame, comp: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Likely pairs between different components; only members of nodes that still hold several take parities along."""
+    placed = _placed(leaves, comp)
+    full = placed.join(_open(placed), "node")
+    pairs = _blocks(full, reps.select("key", "n", "parity")).mapInArrow(_node_pairs(percent, forest), "a long, b long")
+    return cut(pairs.distinct(), "pairs")
 
 
 def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -355,16 +378,17 @@ def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     return cut(moved.select("key", F.coalesce("root", "component").alias("component")).unionAll(roots.join(comp, "key", "left_anti")), "components")
 
 
+@scratch
 def near_duplicates(corpus: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``key, n_shingles, component`` of every row of ``(key, text)``; the component is its least key."""
-    feats = cut(corpus.select("key", "text").mapInArrow(_features(k), "key long, n long, s0 long, s1 long, tokens array<long>, sketch binary"), "features")
+    feats = cut(corpus.select("key", "text").mapInArrow(_features(k), "key long, n long, s0 long, s1 long, tokens array<long>, sketch binary, parity binary"), "features")
     classes = cut(feats.where("n > 0").groupBy("n", "s0", "s1").agg(F.min("key").alias("rep")), "classes")
     reps = cut(feats.join(classes.select(F.col("rep").alias("key")), "key", "left_semi"), "reps")
     spread = reps.select("key", "n", F.posexplode("tokens").alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "key", "n")
     shared = spread.groupBy("node").agg(F.count("*").alias("c"), F.min(F.struct("key", "n")).alias("leader")).where("c > 1")
     nodes = cut(spread.join(shared.select("node", "leader"), "node"), "nodes")
 
-    side = lambda x: reps.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
+    side = lambda x: reps.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"k{x}"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         likely = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(_likely(percent), "a long, b long")
@@ -377,8 +401,9 @@ def near_duplicates(corpus: DataFrame, k: int = 5, percent: int = 80) -> DataFra
         if pairs is None:
             break
         comp = _joined(comp, confirmed(pairs))
+    leaves = _leaves(nodes, reps, comp, corpus, k, percent)
     for forest in (True, False):
-        pairs = _between(nodes, reps, comp, corpus, k, percent, forest)
+        pairs = _between(leaves, reps, comp, percent, forest)
         if not pairs.limit(1).count():
             break
         more = _confirm(pairs, corpus, k, percent)

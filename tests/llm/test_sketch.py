@@ -1,14 +1,84 @@
-"""The sketch test of near dedup drops no pair at the threshold."""
+"""What near dedup rules out before it compares whole sets is never a pair at the threshold; whole results equal brute force."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from detectframe.llm import near_dedup
+from detectframe.llm.common import mix
 
 
-def test_small_pairs_at_the_threshold_stay():
-    rng = np.random.default_rng(1)
-    least = near_dedup._fewest(np.array([18]), 80)[0]
-    for _ in range(100_000):
-        h = rng.integers(0, 2**63, 20, dtype=np.uint64) * np.uint64(2)
-        a, b = near_dedup.sketch(np.sort(h[:18])), near_dedup.sketch(np.sort(h[2:]))
-        assert (a == b).sum() >= least
+def _pair(rng, common, own):
+    h = mix(rng.integers(1, 2**63, common + 2 * own, dtype=np.uint64))
+    return np.unique(h[: common + own]), np.unique(np.concatenate([h[:common], h[common + own :]]))
+
+
+@pytest.mark.parametrize("common,own", [(4, 0), (8, 1), (16, 2), (80, 10), (800, 100), (8000, 1000)])
+def test_pairs_at_the_threshold_stay(common, own):
+    rng = np.random.default_rng(common)
+    rank = rng.integers(0, 9, near_dedup.RANGES).astype(np.uint8)
+    for _ in range(200 if common > 100 else 5000):
+        a, b = _pair(rng, common, own)
+        x, y = (near_dedup.parity(s).view(np.uint64) for s in (a, b))
+        assert near_dedup._near(int(np.bitwise_count(x ^ y).sum()), len(a), len(b), 80)
+        assert near_dedup._similar(np.array(len(a)), np.array(len(b)), 80)
+        assert np.intersect1d(near_dedup.prefix(a, rank, 80), near_dedup.prefix(b, rank, 80)).size
+
+
+def _texts(n, seed):
+    """Texts that share a passage; every third has a near copy with up to a few changed words, on both sides of 0.8."""
+    rng = np.random.default_rng(seed)
+    passage, out = [f"p{i}" for i in range(30)], []
+    for i in range(n):
+        words = [f"w{x}" for x in rng.integers(0, 10**7, int(rng.integers(15, 90)))] + passage
+        out.append(words)
+        if i % 3 == 0:
+            copy = list(words)
+            for at in rng.integers(0, len(copy), int(rng.integers(1, 5))):
+                copy[at] = f"x{rng.integers(0, 10**7)}"
+            out.append(copy)
+    return [" ".join(w) for w in out]
+
+
+def _brute(found, percent, k):
+    sets = [near_dedup.shingle_set(t.encode(), k) for t in found]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i]) and near_dedup._similar(len(sets[i]), len(sets[j]), percent):
+                common = np.intersect1d(sets[i], sets[j]).size
+                if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                    a, b = find(i), find(j)
+                    root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("block", [8, 512])
+def test_large_nodes_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    found = _texts(300, block)
+    table = spark.createDataFrame(list(enumerate(found)), "key long, text string").repartition(4)
+    got = {r.key: r.component for r in near_dedup.near_duplicates(table, 4, 80).collect()}
+    want = _brute(found, 80, 4)
+    assert [got[i] for i in range(len(found))] == want
+    assert len(set(want)) < len(want)
+
+
+def test_buckets_hold_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    found = _texts(150, 5)
+    table = spark.createDataFrame(list(enumerate(found)), "key long, text string").repartition(4)
+    node = near_dedup._buckets(table, 4, 80)
+    met = {(r.a, r.b) for r in node.alias("x").join(node.alias("y"), "node").where("x.key > y.key").select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct().collect()}
+    sets = [near_dedup.shingle_set(t.encode(), 4) for t in found]
+    for i in range(len(sets)):
+        for j in range(i):
+            common = np.intersect1d(sets[i], sets[j]).size
+            if 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+                assert (i, j) in met
