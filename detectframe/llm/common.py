@@ -155,6 +155,22 @@ class WordHash(dict):
 
 
 WORDS = WordHash()
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A task that gives the known words and Arrow's free memory back at its end, as workers serve later stages too."""
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            WORDS.clear()
+            pa.default_memory_pool().release_unused()
+
+    return task
+
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from detectframe.llm.common import WORDS, cut, mix, pick, scratch, shingle_hashes, strings, texts
+from detectframe.llm.common import WORDS, cut, mix, pick, released, scratch, shingle_hashes, strings, texts
 from detectframe.llm.components import components
 
 TREES, BRANCHES, DEPTH = 10, 3, 3
@@ -44,7 +44,7 @@ STEPS, HUBS = 2, 4
 #: Minwise tokens a node may branch by, and parities of a set.
 SKETCH, BITS = 128, 1024
 #: Ranges of hashes in which shingles are counted to tell rare from frequent ones (a table of fixed size).
-RANGES = 1 << 18
+RANGES, VECTOR = 1 << 18, 1 << 14
 _SEEDS = mix(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
 _BINS = np.arange(SKETCH, dtype=np.uint64) << np.uint64(57)
 
@@ -77,6 +77,7 @@ def prefix(shingles: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _features(k: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "n", "s0", "s1", "tokens", "sketch", "parity"]
         for b in batches:
@@ -100,6 +101,7 @@ def _features(k: int):
 
 
 def _sets(k: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at, _ = strings(b.column("text"))
@@ -112,21 +114,33 @@ def _sets(k: int):
 
 
 def _counts(k: int):
-    """Shingles of these texts in each range of hashes."""
+    """Shingles of these texts in each range of hashes, as vectors of ``VECTOR`` ranges."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(RANGES, np.int64)
         for b in batches:
             data, at, _ = strings(b.column("text"))
             for i in range(b.num_rows):
                 np.add.at(total, (shingle_set(data[at[i] : at[i + 1]].tobytes(), k) >> np.uint64(46)).astype(np.int64), 1)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["range", "c"])
+        parts = total.reshape(-1, VECTOR)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([parts[i].tobytes() for i in some], pa.binary())], ["part", "counts"])
 
     return run
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum of the vectors of each part, as they come."""
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for part, counts in zip(b.column("part").to_pylist(), b.column("counts")):
+            total[part] = total.get(part, 0) + np.frombuffer(counts.as_buffer(), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["part", "counts"])
+
+
 def _prefixes(k: int, percent: int, rank: np.ndarray):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at, _ = strings(b.column("text"))
@@ -154,7 +168,7 @@ def _parities(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
 
 
-def _likely(percent: int):
+def likely(percent: int):
     """Keeps pairs ``(a, b, na, nb, ka, kb)`` that sizes and parities do not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,9 +334,10 @@ def _blocks(flat: DataFrame, known: DataFrame) -> DataFrame:
 
 def _ranks(body: DataFrame, k: int) -> np.ndarray:
     """Order of frequency of each range of hashes, as powers of two (``RANGES`` bytes, whatever the table)."""
-    found = body.mapInArrow(_counts(k), "range long, c long").groupBy("range").agg(F.sum("c").alias("c")).toArrow()
+    schema = "part long, counts binary"
     rank = np.zeros(RANGES, np.uint8)
-    rank[found["range"].to_numpy()] = np.log2(found["c"].to_numpy()).astype(np.uint8) + 1
+    for part, counts in body.mapInArrow(_counts(k), schema).repartition(RANGES // VECTOR, "part").mapInArrow(_added, schema).collect():
+        rank[part * VECTOR : (part + 1) * VECTOR] = np.ceil(np.log2(np.frombuffer(counts, np.int64) + 1))
     return rank
 
 
@@ -361,7 +376,7 @@ def _leaves(nodes: DataFrame, reps: DataFrame, comp: DataFrame, corpus: DataFram
     return cut(reduce(DataFrame.unionAll, leaves), "leaves")
 
 
-def _between(leaves: DataFrame, reps: DataFrame, comp: DataFrame, percent: int, forest: bool) -> DataFrame:
+def between(leaves: DataFrame, reps: DataFrame, comp: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Likely pairs between different components; only members of nodes that still hold several take parities along."""
     placed = _placed(leaves, comp)
     full = placed.join(_open(placed), "node")
@@ -369,7 +384,7 @@ def _between(leaves: DataFrame, reps: DataFrame, comp: DataFrame, percent: int,
     return cut(pairs.distinct(), "pairs")
 
 
-def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     """Components after some more links."""
     at = lambda x: comp.select(F.col("key").alias(x), F.col("component").alias(f"c{x}"))
     between = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
@@ -391,8 +406,8 @@ def near_duplicates(corpus: DataFrame, k: int = 5, percent: int = 80) -> DataFra
     side = lambda x: reps.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"k{x}"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        likely = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(_likely(percent), "a long, b long")
-        return _confirm(cut(likely, "likely"), corpus, k, percent)
+        rest = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(likely(percent), "a long, b long")
+        return _confirm(cut(rest, "likely"), corpus, k, percent)
 
     stars = nodes.where(F.col("key") != F.col("leader.key")).where(_sizes_fit("n", "leader.n", percent))
     comp = components(confirmed(stars.select(F.col("leader.key").alias("a"), F.col("key").alias("b")).distinct()))
@@ -400,16 +415,16 @@ def near_duplicates(corpus: DataFrame, k: int = 5, percent: int = 80) -> DataFra
         pairs = _hub_pairs(nodes, comp, step, percent)
         if pairs is None:
             break
-        comp = _joined(comp, confirmed(pairs))
+        comp = joined(comp, confirmed(pairs))
     leaves = _leaves(nodes, reps, comp, corpus, k, percent)
     for forest in (True, False):
-        pairs = _between(leaves, reps, comp, percent, forest)
+        pairs = between(leaves, reps, comp, percent, forest)
         if not pairs.limit(1).count():
             break
         more = _confirm(pairs, corpus, k, percent)
         if not more.limit(1).count():
             continue
-        comp = _joined(comp, more)
+        comp = joined(comp, more)
     of_class = classes.join(comp.withColumnRenamed("key", "rep"), "rep", "left").select("n", "s0", "s1", F.coalesce("component", "rep").alias("component"))
     out = feats.select("key", "n", "s0", "s1").join(of_class, ["n", "s0", "s1"], "left")
     return out.select("key", F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component"))

@@ -66,7 +66,6 @@ def test_near_dedup_finds_every_component(spark, rows):
 
 
 def test_near_dedup_blocks_and_branches(spark, rows, monkeypatch):
-    monkeypatch.setattr(near_dedup, "NODE", 3)
     monkeypatch.setattr(near_dedup, "BLOCK", 2)
     docs = spark.createDataFrame(rows, DOCS)
     small = by_id(near_dedup.near_dedup(docs, 4, 80))
