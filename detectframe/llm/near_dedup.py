@@ -45,6 +45,8 @@ STEPS, HUBS = 2, 4
 SKETCH, BITS = 128, 1024
 #: Ranges of hashes in which shingles are counted to tell rare from frequent ones (a table of fixed size).
 RANGES, VECTOR = 1 << 18, 1 << 14
+#: Members up to which nodes are compared side by side instead of one after another, and pairs compared in one step.
+FEW, AT_ONCE = 16, 1 << 15
 _SEEDS = mix(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
 _BINS = np.arange(SKETCH, dtype=np.uint64) << np.uint64(57)
 
@@ -221,6 +223,17 @@ def _forest(p: np.ndarray, q: np.ndarray, comp: np.ndarray) -> list[int]:
     return kept
 
 
+def _few_pairs(starts: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(node, place, place) of all pairs inside nodes of 2 to ``FEW`` members, at most ``AT_ONCE`` at a time."""
+    for m in range(2, FEW + 1):
+        nodes = np.flatnonzero(size == m)
+        x, y = np.triu_indices(m, 1)
+        step = max(1, AT_ONCE // len(x))
+        for at in range(0, len(nodes), step):
+            now = nodes[at : at + step]
+            yield np.repeat(now, len(x)), (starts[now][:, None] + x).ravel(), (starts[now][:, None] + y).ravel()
+
+
 def _node_pairs(percent: int, forest: bool):
     """Likely pairs between components inside each node row (of two blocks: between the sides)."""
 
@@ -232,7 +245,24 @@ def _node_pairs(percent: int, forest: bool):
             key, comp, n, side = (flat.field(f).to_numpy() for f in ("key", "comp", "n", "side"))
             bits = _parities(flat.field("parity"))
             two = batch.column("two").to_numpy(zero_copy_only=False)
-            for i in range(batch.num_rows):
+            few = np.diff(starts) <= FEW
+            for node, p, q in _few_pairs(starts, np.diff(starts)):
+                ok = (comp[p] != comp[q]) & _similar(n[p], n[q], percent) & (~two[node] | (side[p] != side[q]))
+                node, p, q = node[ok], p[ok], q[ok]
+                apart = np.bitwise_count(bits[p] ^ bits[q]).sum(axis=1, dtype=np.int64)
+                ok = _near(apart, n[p], n[q], percent)
+                node, p, q, apart = node[ok], p[ok], q[ok], apart[ok]
+                if forest and len(p):
+                    # components of different nodes are told apart, so one forest serves all nodes
+                    best = np.argsort(apart / (n[p] + n[q]), kind="stable")
+                    node, p, q = node[best], p[best], q[best]
+                    ends = np.rec.fromarrays([np.tile(node, 2), comp[np.concatenate([p, q])]])
+                    at = np.arange(len(p))
+                    kept = _forest(at, at + len(p), np.unique(ends, return_inverse=True)[1])
+                    p, q = p[kept], q[kept]
+                out_a.append(key[p])
+                out_b.append(key[q])
+            for i in np.flatnonzero(~few):
                 r = np.arange(starts[i], starts[i + 1])
                 # the largest component needs no comparing with itself: the others stand against all
                 names, number, size = np.unique(comp[r], return_inverse=True, return_counts=True)

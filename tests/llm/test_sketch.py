@@ -1,6 +1,7 @@
 """What near dedup rules out before it compares whole sets is never a pair at the threshold; whole results equal brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +83,26 @@ def test_buckets_hold_every_pair(spark, monkeypatch):
             common = np.intersect1d(sets[i], sets[j]).size
             if 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
                 assert (i, j) in met
+
+
+@pytest.mark.parametrize("forest", [False, True])
+def test_nodes_side_by_side_equal_one_after_another(monkeypatch, forest):
+    rng = np.random.default_rng(4)
+    nodes, two = [], []
+    for _ in range(600):
+        base, members = rng.integers(0, 2**63, 16, dtype=np.uint64), []
+        for _ in range(int(rng.choice([1, 2, 2, 3, 4, 9, 16, 17, 40]))):
+            own = base.copy()
+            for bit in rng.integers(0, 1024, int(rng.integers(0, 25))):
+                own[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+            comp = int(rng.integers(0, 4)) if rng.random() < 0.5 else int(rng.integers(1 << 60))
+            members.append({"key": int(rng.integers(1 << 60)), "comp": comp, "n": int(rng.integers(60, 80)), "parity": own.tobytes(), "side": int(rng.integers(2))})
+        nodes.append(members)
+        two.append(bool(rng.random() < 0.3))
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("comp", pa.int64()), ("n", pa.int64()), ("parity", pa.binary()), ("side", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(two)], ["members", "two"])
+    found = lambda: sorted(tuple(r.values()) for b in near_dedup._node_pairs(80, forest)(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist())
+    together = found()
+    monkeypatch.setattr(near_dedup, "FEW", 0)
+    apart = found()
+    assert len(together) == len(apart) > 500 and (forest or together == apart)
