@@ -10,7 +10,8 @@ no state is kept per document.  ``copies`` rounds a rate up or down by a hash of
 
 The fit of the classifier is bounded by ``PER_CLASS`` rows per domain.  NULL and empty texts have 0 tokens
 and get posteriors from the biases.  Repeated rows are rated alike.  Without labels all posteriors are equal.
-An empty table has no rates.  Other columns are carried but not read.
+An empty table has no rates.  Tokens are counted as words.  An id with several labels has the worst of them.
+Other columns are not read and not returned.
 """
 
 from __future__ import annotations
@@ -60,10 +61,16 @@ def domain(labels: DataFrame) -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean")
 
 
+def worst_labels(labels: DataFrame) -> DataFrame:
+    """``doc_id, domain`` of every labelled id, once: the last of ``DOMAINS`` among its labels."""
+    known = labels.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), domain(labels).alias("domain")).where("domain IS NOT NULL")
+    place = F.max(F.array_position(F.array(*map(F.lit, DOMAINS)), F.col("domain")))
+    return known.groupBy("doc_id").agg(F.element_at(F.array(*map(F.lit, DOMAINS)), place.cast("int")).alias("domain"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[tuple] | None:
     """One (weight, square, shift) per domain, or None without labels."""
-    known = labels.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), domain(labels).alias("domain")).where("domain IS NOT NULL")
-    known = known.groupBy("doc_id").agg(F.min("domain").alias("domain")).withColumn("h", F.xxhash64("doc_id"))
+    known = worst_labels(labels).withColumn("h", F.xxhash64("doc_id"))
     chosen = [known.where(F.col("domain") == d).orderBy("h", "doc_id").limit(per_class) for d in DOMAINS]
     chosen = chosen[0].unionByName(chosen[1]).unionByName(chosen[2]).select("doc_id", "domain")
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")

@@ -25,3 +25,9 @@ def test_clean_stays_whatever_the_corpus_holds(spark, monkeypatch, low, toxic, m
         assert got <= had
         if had > 100:
             assert got <= 0.6 * had
+
+
+def test_an_id_with_several_labels_has_the_worst(spark):
+    rows = [(1, 1, 0), (1, 1, 1), (2, 1, 0), (2, 0, 0), (3, 1, 0), (3, 1, 0), (4, None, None), (None, 1, 0), (5, 0, 1), (5, None, None)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    assert {r.doc_id: r.domain for r in mixing.worst_labels(labels).collect()} == {1: "toxic", 2: "low", 3: "clean", 5: "toxic"}
