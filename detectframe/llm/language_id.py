@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from detectframe.llm.common import chunks, one_each, strings
+from detectframe.llm.common import chunks, one_each, released, strings
 from detectframe.llm.features import LETTERS, byte_grams, hinge_fit, sigmoid_fit
 
 #: Bound of the fit: rows per language.  Spark keeps ranks up to 1000 per group in each task before the shuffle.
@@ -96,7 +96,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict | None:
         return pd.DataFrame(out, columns=["family", "a", "b", "w", "slope", "shift"])
 
     rows = (
-        one_each(sample.mapInArrow(features, "doc_id long, lang string, family string, x binary, c binary"), "doc_id", "lang")
+        one_each(sample.mapInArrow(released(features), "doc_id long, lang string, family string, x binary, c binary"), "doc_id", "lang")
         .groupBy("family").applyInPandas(learn, "family string, a string, b string, w binary, slope double, shift double").collect()
     )
     if not rows:
@@ -141,4 +141,4 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
                 scores.append(p)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "doc_id long, lang_pred string, score double")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from detectframe.llm.common import chunks, one_each, spaced, strings
+from detectframe.llm.common import chunks, one_each, released, spaced, strings
 from detectframe.llm.features import LETTERS, bayes_score, bayes_support_vectors, byte_grams, word_slots
 from detectframe.scale import cut
 
@@ -89,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[
             weight, square, shift, _ = bayes_support_vectors(rows, np.where(pdf["domain"] == d, 1, -1), 1 << BITS)
             yield pd.DataFrame({"i": [i], "weight": [weight.tobytes()], "square": [square.tobytes()], "shift": [shift]})
 
-    got = one_each(sample.mapInArrow(features, "doc_id long, domain string, x binary"), "doc_id").repartition(1).mapInPandas(learn, "i int, weight binary, square binary, shift double").collect()
+    got = one_each(sample.mapInArrow(released(features), "doc_id long, domain string, x binary"), "doc_id").repartition(1).mapInPandas(learn, "i int, weight binary, square binary, shift double").collect()
     return [(np.frombuffer(r["weight"]), np.frombuffer(r["square"]), float(r["shift"])) for r in sorted(got, key=lambda r: r["i"])] or None
 
 
@@ -106,7 +106,7 @@ def posteriors(docs: DataFrame, models: list[tuple] | None) -> DataFrame:
             p = np.array(p).reshape(len(n), len(DOMAINS))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), *[pa.array(c) for c in p.T]], ["doc_id", "n_tokens", *[f"p_{d}" for d in DOMAINS]])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "doc_id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS))
 
 
 def fit_rates(rows: DataFrame, targets: dict[str, float], domains: tuple[str, ...] = DOMAINS, rounds: int = ROUNDS, tolerance: float = 1e-5, bounds: tuple[Column, Column] | None = None) -> Column:

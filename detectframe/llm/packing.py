@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from detectframe.llm.common import chunks, strings
+from detectframe.llm.common import FORGET, chunks, strings
 from detectframe.scale import cut
 
 CAPACITY, END_ID = 4096, 1
@@ -87,6 +87,7 @@ class WordIds:
 
 
 _LOADED: dict[str, WordIds] = {}
+FORGET.append(_LOADED.clear)
 
 
 def word_ids(path: str | None) -> WordIds:
