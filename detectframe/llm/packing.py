@@ -18,10 +18,14 @@ their place.  An empty table has no sequences.  Other columns are not read.
 
 from __future__ import annotations
 
+import codecs
+import json
 import os
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -38,12 +42,24 @@ GROUP, NODES, TAIL, NEARLY, ROUNDS = 8192, 300, 12, 0.995, 3
 WORDS_KEPT = 400_000
 _MARK = "\x01"
 
+#: A tokenizer set up like this cuts lower-cased words of plain characters into the matches of ``_PARTS`` and writes
+#: their bytes with the characters of ``_BYTE_CHARS``; its model makes ids of each part alone.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [_SPLIT, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+#: Not plain: all but printable ASCII, letters of Latin-1, dashes and quotes, which NFC leaves as they are.
+_ODD = re.compile("[^ -~À-ÖØ-öø-ÿ\u2010-\u2027]|<\\|")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ a-z0-9ß-öø-ÿ]+| ")
+_HIGH = count(256)
+_BYTE_CHARS = "".join(chr(b if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else next(_HIGH)) for b in range(256))
+
 
 class WordIds:
     """Token ids of words, each word encoded once while it is in use.
 
     Holds for tokenizers that never join text across ASCII white space.  Unknown words of many texts are
-    encoded in one call, with a mark between them.
+    encoded in one call, with a mark between them; where plain words are cut in a known way, their parts go
+    straight to the tokenizer's model.
     """
 
     def __init__(self, path: str):
@@ -55,6 +71,32 @@ class WordIds:
         self.old: dict[bytes, bytes] = {}
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        steps = [x and json.loads(x.__getstate__()) for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)]
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.plain = steps == [_NORMALIZER, _PRE_TOKENIZER] and all("<|" in t.content for t in added)
+        self.model = self.tokenizer.model
+
+    def _odd(self, words: list[bytes]) -> set[bytes]:
+        """Words for the whole tokenizer."""
+        if not self.plain:
+            return set(words)
+        if not _ODD.search(b" ".join(words).decode("utf-8", "replace")):
+            return set()
+        return {w for w in words if _ODD.search(w.decode("utf-8", "replace"))}
+
+    def _by_parts(self, words: list[str]) -> list[bytes]:
+        """Ids of words of plain characters."""
+        ids: list[int] = []
+        ends = [0]
+        for part in _PARTS.findall(" ".join(words).lower()):
+            if part == " ":
+                ends.append(4 * len(ids))
+                continue
+            if not part.isascii():
+                part = codecs.charmap_decode(part.encode(), "strict", _BYTE_CHARS)[0]
+            ids += [t.id for t in self.model.tokenize(part)]
+        found = np.array(ids, "<u4").tobytes()
+        return [found[s:e] for s, e in zip(ends, [*ends[1:], len(found)])]
 
     def _encode(self, words: list[str]) -> Iterator[bytes]:
         if self.mark is not None and len(words) > 1:
@@ -77,12 +119,14 @@ class WordIds:
                 new.append(w)
             else:
                 self.young[w] = known
-        plain = [w for w in new if b"\x01" not in w]
-        odd = [w for w in new if b"\x01" in w]
-        for s in range(0, len(plain), 2000):
-            part = plain[s : s + 2000]
-            self.young.update(zip(part, self._encode([w.decode("utf-8", "replace") for w in part])))
-        for w in odd:
+        odd = self._odd(new)
+        plain = [w for w in new if w not in odd]
+        whole = [w for w in odd if b"\x01" not in w]
+        for encode, some in ((self._by_parts, plain), (self._encode, whole)):
+            for s in range(0, len(some), 2000):
+                part = some[s : s + 2000]
+                self.young.update(zip(part, encode([w.decode("utf-8", "replace") for w in part])))
+        for w in odd.difference(whole):
             self.young[w] = next(self._encode([w.decode("utf-8", "replace")]))
 
 
