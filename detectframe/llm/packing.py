@@ -33,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from detectframe.llm.common import FORGET, chunks, strings
+from detectframe.llm.common import FORGET, chunks, released, strings
 from detectframe.scale import cut
 
 CAPACITY, END_ID = 4096, 1
 GROUP, NODES, TAIL, NEARLY, ROUNDS = 8192, 300, 12, 0.995, 3
 #: Words whose ids a worker keeps, in each of two generations.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 50_000
 _MARK = "\x01"
 
 #: A tokenizer set up like this cuts lower-cased words of plain characters into the matches of ``_PARTS`` and writes
@@ -150,6 +150,7 @@ def lowered(text: bytes) -> bytes:
 
 
 def _pieces(path: str | None, capacity: int, end_id: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = word_ids(path)
         end = end_id.to_bytes(4, "little")
