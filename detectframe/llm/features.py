@@ -8,6 +8,8 @@ import numpy as np
 
 from detectframe.llm.common import chunks, word_hashes
 
+#: Bytes of text whose n-grams are made at once: the arrays of such a step take some 50 times as much.
+GRAM_BYTES = 1 << 17
 #: Bytes as they are; and A-Z lower-cased with every other ASCII character as a space.
 RAW = np.arange(256, dtype=np.uint8)
 LETTERS = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)

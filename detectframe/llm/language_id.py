@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from detectframe.llm.common import chunks, one_each, released, strings
-from detectframe.llm.features import LETTERS, byte_grams, hinge_fit, sigmoid_fit
+from detectframe.llm.common import chunks, one_each, release, released, strings
+from detectframe.llm.features import GRAM_BYTES, LETTERS, byte_grams, hinge_fit, sigmoid_fit
 
 #: Bound of the fit: rows per language.  Spark keeps ranks up to 1000 per group in each task before the shuffle.
 PER_LANGUAGE = 1000
@@ -43,7 +43,7 @@ def family_of(lang: str) -> str:
 def gram_slots(text: pa.Array) -> Iterator[np.ndarray]:
     """Slots of all n-grams of every text, with repeats."""
     data, offsets, _ = strings(text)
-    for a, b in chunks(offsets):
+    for a, b in chunks(offsets, GRAM_BYTES):
         lo = int(offsets[a])
         part = LETTERS[data[lo : int(offsets[b])]]
         grams = [(n, byte_grams(part, n, BITS)) for n in ORDERS]
@@ -76,9 +76,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict | None:
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["lang", "doc_id"], kind="stable")
-        at = [np.frombuffer(x, np.uint16).astype(np.int64) for x in pdf["x"]]
-        count = [np.frombuffer(c, np.int32).astype(float) for c in pdf["c"]]
-        value = [10 * c / max(c.sum(), 1) for c in count]
+        at = [np.frombuffer(x, np.uint16) for x in pdf["x"]]
+        count = [np.frombuffer(c, np.int32) for c in pdf["c"]]
+        value = [10.0 * c / max(c.sum(), 1) for c in count]
         total = np.zeros(1 << BITS)
         for x, c in zip(at, count):
             total[x] += c / max(c.sum(), 1)  # every document weighs the same
@@ -95,9 +95,15 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict | None:
             out.append((pdf["family"].iloc[0], langs[0], langs[0], np.zeros(1 << BITS).tobytes(), 1.0, 0.0))
         return pd.DataFrame(out, columns=["family", "a", "b", "w", "slope", "shift"])
 
+    def learned(pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return learn(pdf)
+        finally:
+            release()  # the worker goes on to other groups and tasks
+
     rows = (
         one_each(sample.mapInArrow(released(features), "doc_id long, lang string, family string, x binary, c binary"), "doc_id", "lang")
-        .groupBy("family").applyInPandas(learn, "family string, a string, b string, w binary, slope double, shift double").collect()
+        .groupBy("family").applyInPandas(learned, "family string, a string, b string, w binary, slope double, shift double").collect()
     )
     if not rows:
         return None

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from detectframe.llm.common import chunks, one_each, released, spaced, strings
-from detectframe.llm.features import LETTERS, bayes_score, bayes_support_vectors, byte_grams, word_slots
+from detectframe.llm.features import GRAM_BYTES, LETTERS, bayes_score, bayes_support_vectors, byte_grams, word_slots
 from detectframe.scale import cut
 
 DOMAINS = ("clean", "low", "toxic")
@@ -40,7 +40,7 @@ def present_slots(text: pa.Array) -> Iterator[tuple[np.ndarray, int]]:
     """Distinct slots of every text (even: byte 3-grams, odd: words) and its number of words."""
     data, offsets, _ = strings(text)
     flags = np.zeros(1 << BITS, bool)
-    for a, b in chunks(offsets):
+    for a, b in chunks(offsets, GRAM_BYTES):
         part, begin = spaced(data, offsets, a, b)
         grams = byte_grams(part, 3, BITS - 1) * 2
         plain = LETTERS[part]
@@ -84,12 +84,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[
         pdf = pd.concat([pd.DataFrame({"doc_id": [], "domain": [], "x": []}), *frames]).sort_values("doc_id", kind="stable")
         if not len(pdf):
             return
-        rows = [np.frombuffer(x, np.uint16).astype(np.int64) for x in pdf["x"]]
+        rows = [np.frombuffer(x, np.uint16) for x in pdf["x"]]
         for i, d in enumerate(DOMAINS):
             weight, square, shift, _ = bayes_support_vectors(rows, np.where(pdf["domain"] == d, 1, -1), 1 << BITS)
             yield pd.DataFrame({"i": [i], "weight": [weight.tobytes()], "square": [square.tobytes()], "shift": [shift]})
 
-    got = one_each(sample.mapInArrow(released(features), "doc_id long, domain string, x binary"), "doc_id").repartition(1).mapInPandas(learn, "i int, weight binary, square binary, shift double").collect()
+    got = one_each(sample.mapInArrow(released(features), "doc_id long, domain string, x binary"), "doc_id").repartition(1).mapInPandas(released(learn), "i int, weight binary, square binary, shift double").collect()
     return [(np.frombuffer(r["weight"]), np.frombuffer(r["square"]), float(r["shift"])) for r in sorted(got, key=lambda r: r["i"])] or None
 
 
