@@ -171,8 +171,9 @@ def m6_closed(spark, d):
     """Every (process, eight days) with its densest day of writes, told when these days are over."""
     t = adapter(spark, d, "tel").select("run_id", "ProcessId", "event_type", "ts")
     hit, out = F.col("event_type") == "FileCreate", None
+    stream = as_stream(t, closing={"event_type": "FileCreate"})  # written once, read by three streams
     for op, n in (("gte", 3), ("eq", 2), ("lt", 2)):
-        run = lambda: S.run_to_table(S.event_count_closed(as_stream(t, closing={"event_type": "FileCreate"}), hit, ["run_id", "ProcessId"], 86400, op, n), "closed")  # noqa: B023, E731
+        run = lambda: S.run_to_table(S.event_count_closed(stream, hit, ["run_id", "ProcessId"], 86400, op, n), "closed")  # noqa: B023, E731
         one = _stateful(spark, run).withColumn("op", F.lit(op))
         out = one if out is None else out.unionByName(one)
     return out.filter(F.col("run_id") != "").select("op", "run_id", F.col("ProcessId").alias("pid"), "slot", "n", "latest_us")

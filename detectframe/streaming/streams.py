@@ -305,60 +305,38 @@ def event_count_stream(stream: DataFrame, hit: Column, keys: list[str], seconds:
         statefulProcessor=proc, outputStructType=schema, outputMode="append", timeMode="eventtime")
 
 
-class ClosedSlot(StatefulProcessor):
-    """Counts per time of one (key, slot); its densest window is told when the watermark has passed the slot."""
+def _densest(points: str, own: str, width: int) -> str:
+    """SQL of ``total, best, at``: the densest window of ``points(us, c)`` that ends at ``own`` or later, and its first end.
 
-    def __init__(self, width: int, slot: int, columns: list[str]):
-        self.width, self.slot, self.columns = width, slot, columns
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.times = handle.getMapState("times", "us bigint", "c bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            for us, c in pdf.groupby("us")["us"].size().items():
-                old = self.times.getValue((int(us),)) if self.times.containsKey((int(us),)) else (0,)
-                self.times.updateValue((int(us),), (int(old[0]) + int(c),))
-        self.handle.registerTimer(-(-(int(key[-1]) + self.slot) // 1000))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        own = int(key[-1])
-        times = sorted((k[0], v[0]) for k, v in self.times.iterator())
-        self.times.clear()
-        best, total, j = (0, 0), 0, 0
-        for us, c in times:
-            total += c
-            while us - times[j][0] > self.width:
-                total -= times[j][1]
-                j += 1
-            if us >= own and total > best[0]:
-                best = (total, us)
-        if best[0]:
-            yield pd.DataFrame([(*key[:-1], own, *best)], columns=self.columns)
-
-    def close(self) -> None:
-        pass
+    A point counts from its time on until ``width`` after it, so the running sum over starts and ends, ends first, is
+    the window's count; one pass after a sort.
+    """
+    steps = f"sort_array(flatten(transform({points}, p -> array(struct(p.us AS us, p.c AS c), struct(p.us + {width + 1}L AS us, -p.c AS c)))))"
+    more = f"e.c > 0 AND e.us >= {own} AND a.total + e.c > a.best"
+    return f"""aggregate({steps}, struct(0L AS total, 0L AS best, 0L AS at),
+        (a, e) -> struct(a.total + e.c AS total, if({more}, a.total + e.c, a.best) AS best, if({more}, e.us, a.at) AS at))"""
 
 
 def event_count_closed(stream: DataFrame, hit: Column, keys: list[str], seconds: float, op: str, n: int, watermark: str = "1 minute") -> DataFrame:
     """M6 for every comparison: per (keys, time slot) the densest window that ends there, if ``op n`` holds.
 
     A slot is told once, when the watermark has passed it, so the rows do not depend on the batches, and its state goes
-    with it.  ``latest_us`` is the first time at which that count was reached.
+    with it.  ``latest_us`` is the first time at which that count was reached.  Built-in aggregations hold the state: the
+    first counts equal times, one row per (keys, slot, time) wherever its hash puts it, and passes a slot on when it is
+    over; the second gathers its times, once.  No row meets Python.  A row that comes late still counts in a slot that has
+    not been told.
     """
     width = int(round(seconds * 1_000_000))
     slot = max(1, width * SLOT)
-    us = micros(F.col("ts"))
-    own = us - F.pmod(us, F.lit(slot))
-    tail_ = F.pmod(us, F.lit(slot)) >= slot - width
-    x = stream.withWatermark("ts", watermark).filter(hit & F.col("ts").isNotNull()).select(
-        *[F.coalesce(fld(stream, k).cast("string"), F.lit("")).alias(k) for k in keys], "ts", us.alias("us"),
-        F.explode(F.when(tail_, F.array(own, own + slot)).otherwise(F.array(own))).alias("slot"))
-    schema = ", ".join(f"{k} string" for k in keys) + ", slot bigint, n bigint, latest_us bigint"
-    out = x.groupBy(*keys, "slot").transformWithStateInPandas(
-        statefulProcessor=ClosedSlot(width, slot, [*keys, "slot", "n", "latest_us"]), outputStructType=schema, outputMode="append", timeMode="eventtime")
+    # a slot's stretch begins one width before it, so rows near a slot's end are in two
+    stretch = F.window("ts", f"{slot + width} microseconds", f"{slot} microseconds", f"{(slot - width) % slot} microseconds")
+    x = stream.withWatermark("ts", watermark).filter(hit & F.col("ts").isNotNull())
+    key = [F.coalesce(fld(stream, k).cast("string"), F.lit("")).alias(k) for k in keys]
+    points = x.groupBy(stretch.alias("__stretch"), *key, micros(F.col("ts")).alias("__us")).agg(F.count("*").alias("__c"))
+    slots = points.groupBy("__stretch", *keys).agg(F.collect_list(F.struct(F.col("__us").alias("us"), F.col("__c").alias("c"))).alias("__points"))
+    slots = slots.select(*keys, (micros(F.col("__stretch.end")) - slot).alias("slot"), "__points")
+    best = slots.select(*keys, "slot", F.explode(F.array(F.expr(_densest("__points", "slot", width)))).alias("__best"))
+    out = best.filter("__best.best > 0").select(*keys, "slot", F.col("__best.best").alias("n"), F.col("__best.at").alias("latest_us"))
     return out.filter(COMPARE[op](F.col("n"), F.lit(n)))
 
 
