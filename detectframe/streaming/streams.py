@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,6 +21,9 @@ from detectframe.schema import fld
 #: Provider the stateful operators here need.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Shares the keys of an ordered stream are dealt to.
+SHARES = 1024
+
 
 def tail(spark: SparkSession, path: str, schema: str, files_per_batch: int = 100) -> DataFrame:
     """M1: JSON lines of every new complete file; the checkpoint remembers what was read."""
@@ -91,42 +95,80 @@ def stop_reasons(sessions: DataFrame, runs: DataFrame, min_window_s=45, min_runt
 
 
 class Ordered(StatefulProcessor):
-    """Rows of one key in order of event time, each looked at once the watermark has passed it.
+    """Rows of each key in order of event time, looked at once the watermark has passed them.
 
     What a subclass tells depends on event times only, never on how the input was cut into batches.  Waiting rows are
     counts per ``(us, kind)``; ``facts`` is the subclass's own state of fixed size.  ``deadline`` gives the next time at
     which something happens without a row.  A key silent for ``keep_us`` is forgotten; rows after that start anew.
+
+    A call serves a share of the keys (see ``_machine``), as a key alone is too little work for a call of Python and
+    of the state store: a batch appends its rows to ``arrived``, and when the share's alarm rings, its keys are read from
+    ``held``, those that are due go on, and the rest is held again.
     """
 
-    FACTS = ""
     RANKS: tuple[str, ...] = ()  # order of kinds at one time
 
-    def __init__(self, columns: list[str], keep_us: int):
-        self.columns, self.keep_us = columns, keep_us
+    def __init__(self, keys: list[str], columns: list[str], keep_us: int):
+        self.keys, self.columns, self.keep_us = keys, columns, keep_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "us bigint, rank int", "c bigint, v double")
-        self.facts = handle.getValueState("facts", f"seen bigint, {self.FACTS}")
+        self.arrived = handle.getListState("arrived", "waiting binary")
+        self.held = handle.getValueState("held", "keys binary")
+        self.alarm = handle.getValueState("alarm", "ms bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = None
+        ranks = {kind: i for i, kind in enumerate(self.RANKS)}
+        waiting: dict[tuple, dict] = {}
         for pdf in rows:
-            for (us, kind), part in pdf.groupby(["us", "kind"]):
-                at = (int(us), self.RANKS.index(kind))
-                c, v = self.waiting.getValue(at) if self.waiting.containsKey(at) else (0, 0.0)
-                self.waiting.updateValue(at, (int(c) + len(part), max(float(v), float(part["v"].max()))))
-                newest = at[0] if newest is None else max(newest, at[0])
-        if newest is not None:
-            self.handle.registerTimer(-(-newest // 1000))
+            names = zip(*(pdf[c].astype(object).where(pdf[c].notna(), None) for c in self.keys))
+            for k, us, kind, v in zip(names, pdf["us"].tolist(), pdf["kind"].tolist(), pdf["v"].tolist()):
+                _add(waiting.setdefault(k, {}), (us, ranks[kind]), 1, max(0.0, v))
+        if waiting:
+            self.arrived.appendValue((pickle.dumps(waiting, protocol=5),))
+            self._ring(min(us for of in waiting.values() for us, _ in of))
         return iter(())
 
+    def _ring(self, us: int) -> None:
+        """One alarm for a share: at ``us``, if it is not set to an earlier time."""
+        ms, old = -(-us // 1000), self.alarm.get() if self.alarm.exists() else None
+        if old is None or ms < old[0]:
+            if old is not None:
+                self.handle.deleteTimer(old[0])
+            self.alarm.update((ms,))
+            self.handle.registerTimer(ms)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        passed = sorted((k, v) for k, v in self.waiting.iterator() if k[0] <= now)
-        facts = list(self.facts.get()) if self.facts.exists() else None
+        # per key: when something is due, its facts (or None), its waiting rows
+        keys = pickle.loads(self.held.get()[0]) if self.held.exists() else {}
+        for (part,) in self.arrived.get():
+            for k, rows in pickle.loads(part).items():
+                due, facts, waiting = keys.get(k) or (None, None, {})
+                for at, (c, v) in rows.items():
+                    _add(waiting, at, c, v)
+                first = min(us for us, _ in rows)
+                keys[k] = (first if due is None else min(first, due), facts, waiting)
         out = []
-        for (us, rank), (c, v) in passed:
+        for k, (due, facts, waiting) in list(keys.items()):
+            if due <= now:
+                keys[k] = self._pass(k, facts, waiting, now, out)
+                if keys[k] is None:
+                    del keys[k]
+        self.arrived.clear()
+        self.alarm.clear()
+        if keys:
+            self.held.update((pickle.dumps(keys, protocol=5),))
+            self._ring(min(due for due, _, _ in keys.values()))
+        else:
+            self.held.clear()
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
+
+    def _pass(self, key, facts: list | None, waiting: dict, now: int, out: list) -> tuple | None:
+        """One key after the watermark passed ``now``: when it is due again, its facts and waiting rows; None: forgotten."""
+        for us, rank in sorted(at for at in waiting if at[0] <= now):
+            c, v = waiting.pop((us, rank))
             if facts is not None:
                 self._until(key, facts, us, self.RANKS[rank], out)
                 if us > facts[0] + self.keep_us and self.deadline(facts) is None:
@@ -134,19 +176,17 @@ class Ordered(StatefulProcessor):
             if facts is None:
                 facts = [us, *self.fresh()]
             facts[0] = us
-            self.row(facts, us, self.RANKS[rank], int(c), float(v))
-            self.waiting.removeKey((us, rank))
+            self.row(facts, us, self.RANKS[rank], c, v)
+        next_times = [us for us, _ in waiting]
         if facts is not None:
             self._until(key, facts, now + 1, "", out)
             due = self.deadline(facts)
             # gone once nothing can happen any more; else looked at again when something can
             if due is None and now >= facts[0] + self.keep_us:
-                self.facts.clear()
+                facts = None
             else:
-                self.facts.update(tuple(facts))
-                self.handle.registerTimer(-(-(facts[0] + self.keep_us if due is None else due) // 1000))
-        if out:
-            yield pd.DataFrame(out, columns=self.columns)
+                next_times.append(facts[0] + self.keep_us if due is None else due)
+        return (min(next_times), facts, waiting) if next_times else None
 
     def _until(self, key, facts: list, us: int, kind: str, out: list) -> None:
         """Everything due before a row of this time and kind happens."""
@@ -174,19 +214,30 @@ class Ordered(StatefulProcessor):
         pass
 
 
-def _machine(x: DataFrame, keys: list[str], proc: Ordered, schema: str) -> DataFrame:
-    """Runs a machine over ``keys, ts, us, kind, v``; ``ts`` is carried so that late rows are known as such."""
-    return x.groupBy(*keys).transformWithStateInPandas(statefulProcessor=proc, outputStructType=schema, outputMode="append", timeMode="eventtime")
+def _add(waiting: dict, at: tuple[int, int], c: int, v: float) -> None:
+    """``c`` more rows at a time and kind; their value is the largest."""
+    old = waiting.get(at)
+    waiting[at] = (c, v) if old is None else (old[0] + c, max(old[1], v))
+
+
+def _machine(x: DataFrame, proc: Ordered, schema: str) -> DataFrame:
+    """Runs a machine over its keys and ``ts, us, kind, v``; ``ts`` is carried so that late rows are known as such.
+
+    Keys are dealt by hash to ``SHARES`` shares, each with one state; the number must stay for the life of a checkpoint.
+    """
+    share = F.pmod(F.hash(*proc.keys), F.lit(SHARES))
+    return x.withColumn("__share", share).groupBy("__share").transformWithStateInPandas(
+        statefulProcessor=proc, outputStructType=schema, outputMode="append", timeMode="eventtime")
 
 
 class StopReason(Ordered):
     """Exit, idle or timeout of one run, whichever comes first."""
 
-    FACTS = "started bigint, timeout bigint, exited bigint, last bigint, told boolean"
+    # facts: seen, started, timeout, exited, last, told
     RANKS = ("start", "exit", "activity")
 
     def __init__(self, grace: int, min_window: int, min_runtime: int, keep_us: int):
-        super().__init__(["run_id", "reason", "stop_s"], keep_us)
+        super().__init__(["run_id"], ["run_id", "reason", "stop_s"], keep_us)
         self.grace, self.min_window, self.min_runtime = grace, min_window, min_runtime
 
     def fresh(self) -> tuple:
@@ -232,8 +283,8 @@ def stop_reasons_stream(stream: DataFrame, grace_s: float = 30, min_window_s: fl
     """
     us = lambda seconds: int(round(seconds * 1_000_000))
     x = stream.withWatermark("ts", watermark).filter(F.col("kind").isin(*StopReason.RANKS) & F.col("ts").isNotNull()).select(
-        "run_id", "ts", micros(F.col("ts")).alias("us"), "kind", F.coalesce(F.col("timeout_s").cast("double"), F.lit(0.0)).alias("v"))
-    return _machine(x, ["run_id"], StopReason(us(grace_s), us(min_window_s), us(min_runtime_s), us(keep_s)), "run_id string, reason string, stop_s double")
+        F.col("run_id").cast("string").alias("run_id"), "ts", micros(F.col("ts")).alias("us"), "kind", F.coalesce(F.col("timeout_s").cast("double"), F.lit(0.0)).alias("v"))
+    return _machine(x, StopReason(us(grace_s), us(min_window_s), us(min_runtime_s), us(keep_s)), "run_id string, reason string, stop_s double")
 
 
 def rules_stream(stream: DataFrame, ruleset: RuleSet) -> DataFrame:
@@ -355,11 +406,11 @@ def dedup_stream(stream: DataFrame, keys: list[str], watermark: str = "1 hour")
 class Silence(Ordered):
     """Counts of one process around its last dual-covered call."""
 
-    FACTS = "calls bigint, capped boolean, last bigint, hosts bigint, newest bigint, told boolean"
+    # facts: seen, calls, capped, last, hosts, newest, told
     RANKS = ("cap", "call", "both", "host")
 
     def __init__(self, min_calls: int, min_events: int, span: int, keep_us: int):
-        super().__init__(["run_id", "pid", "last_call_us", "host_events", "last_event_us"], keep_us)
+        super().__init__(["run_id", "pid"], ["run_id", "pid", "last_call_us", "host_events", "last_event_us"], keep_us)
         self.min_calls, self.min_events, self.span = min_calls, min_events, span
 
     def fresh(self) -> tuple:
@@ -401,10 +452,10 @@ def silence_stream(
     kind = F.when(trace & (api == fixed.META_CAP), "cap").when(trace & api.isin(both_apis), "both").when(
         trace & ~api.isin(fixed.META_WOW64, fixed.META_ATTACHED), "call").when(F.col("source") == "sysmon", "host")
     x = stream.withWatermark("ts", watermark).filter(F.col("ts").isNotNull()).select(
-        "run_id", fld(stream, "ProcessId").cast("string").alias("pid"), "ts", micros(F.col("ts")).alias("us"), kind.alias("kind"), F.lit(0.0).alias("v"))
+        F.col("run_id").cast("string").alias("run_id"), fld(stream, "ProcessId").cast("string").alias("pid"), "ts", micros(F.col("ts")).alias("us"), kind.alias("kind"), F.lit(0.0).alias("v"))
     x = x.filter(F.col("kind").isNotNull() & F.col("pid").isNotNull())
     span, keep = int(min_s * 1_000_000), int(max(keep_s, min_s) * 1_000_000)
-    return _machine(x, ["run_id", "pid"], Silence(min_calls, min_events, span, keep), "run_id string, pid string, last_call_us bigint, host_events bigint, last_event_us bigint")
+    return _machine(x, Silence(min_calls, min_events, span, keep), "run_id string, pid string, last_call_us bigint, host_events bigint, last_event_us bigint")
 
 
 def late_events(stream: DataFrame, path: str, delay_s: float, checkpoint: str):
