@@ -115,3 +115,14 @@ def test_a_share_of_many_processes_takes_few_state_calls():
     store, out = drive(S.Silence(3, 2, 10 * sec, 20 * sec), [first, then, [("r", "end", 90 * sec, "host", 0.0)]])
     assert sorted(out, key=str) == sorted([(*k, 3 * sec, 2, 6 * sec) for k in names[::2]], key=str)
     assert store.calls < 60 and len(pickle.loads(store.values["held"][0])) == 1  # the silent ones are forgotten
+
+
+def test_a_share_of_many_runs_takes_few_state_calls():
+    names = [(f"r{i}",) for i in range(500)]
+    sec = 1_000_000
+    started = [(*k, sec, "start", 60.0) for k in names] + [(*k, 2 * sec, "activity", 0.0) for k in names[::2]]
+    then = [(*k, 20 * sec, "exit", 0.0) for k in names[1::2]] + [(*k, 31_500_000, "activity", 0.0) for k in names[::4]] + [("end", 200 * sec, "activity", 0.0)]
+    store, out = drive(S.StopReason(30 * sec, 5 * sec, 3 * sec, 100 * sec), [started, then, [("end", 201 * sec, "activity", 0.0)]])
+    want = [(k, "exit", 19.0) for k, in names[1::2]] + [(k, "timeout", 60.0) for k, in names[::4]] + [(k, "idle", 31.0) for k, in names[2::4]]
+    assert sorted(out) == sorted(want)
+    assert store.calls < 60 and len(pickle.loads(store.values["held"][0])) == 1
