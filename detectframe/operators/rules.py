@@ -10,7 +10,9 @@ from __future__ import annotations
 import ast
 import ipaddress
 import json
+import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -188,19 +190,48 @@ def must_contain(node: tuple) -> set[tuple[str, str]]:
     return set()
 
 
-def anchor_cover(node: tuple) -> set[tuple[str, str]] | None:
+def anchor_cover(node: tuple, cost=None) -> set[tuple[str, str]] | None:
     """(field, literal) pairs of which every match contains at least one; None = no such set is known.
 
-    AND needs one part's cover only (the one whose shortest literal is longest), OR those of all its parts.
+    AND needs one part's cover only (the one whose shortest literal is longest), OR those of all its parts.  With a
+    ``cost`` of covers the cheapest part is taken, and pairs may also be (field, (low, high)): a number in that range.
     """
     kind = node[0]
     if kind == "and":
-        known = [c for c in map(anchor_cover, node[1]) if c]
+        known = [c for c in (anchor_cover(n, cost) for n in (_flat(node) if cost else node[1])) if c]
+        if cost:
+            return min(known, key=cost, default=None)
         return max(known, key=lambda c: (min(len(t) for _, t in c), -len(c)), default=None)
     if kind == "or":
-        covers = [anchor_cover(n) for n in node[1]]
+        covers = [anchor_cover(n, cost) for n in node[1]]
         return None if not covers or any(c is None for c in covers) else set().union(*covers)
-    return must_contain(node) or None if kind == "leaf" else None
+    return (must_contain(node) | (_range(node) if cost else set()) or None) if kind == "leaf" else None
+
+
+def _range(node: tuple) -> set[tuple[str, tuple[float, float]]]:
+    """The (field, (low, high)) pair of a leaf that is one number or lies between two."""
+    _, name, op, value = node
+    low, high = (value, value) if op == "num" else value if op == "between" else (math.inf, -math.inf)
+    return {(name, (low, high))} if name and math.isfinite(low) and math.isfinite(high) else set()
+
+
+def _flat(node: tuple) -> list[tuple]:
+    """Parts of an AND and of the ANDs in it; two bounds of one field also make a leaf ``between``."""
+    parts = [x for n in node[1] for x in (_flat(n) if n[0] == "and" else [n])]
+    low, high = {}, {}
+    for _, name, op, value in (n for n in parts if n[0] == "leaf"):
+        if op in ("gt", "gte"):
+            low[name] = max(low.get(name, -math.inf), value if op == "gte" else math.nextafter(value, math.inf))
+        elif op in ("lt", "lte"):
+            high[name] = min(high.get(name, math.inf), value if op == "lte" else math.nextafter(value, -math.inf))
+    return parts + [("leaf", name, "between", (low[name], high[name])) for name in low if name in high]
+
+
+def anchors_of(node: tuple) -> set[tuple]:
+    """Every pair a cover of the tree could take."""
+    if node[0] in ("and", "or"):
+        return set().union(*map(anchors_of, _flat(node) if node[0] == "and" else node[1]))
+    return must_contain(node) | _range(node) if node[0] == "leaf" else set()
 
 
 class FieldSource:
@@ -355,7 +386,6 @@ class Rule:
     service: str | None
     event_ids: set[int] | None
     anchors: set[tuple[str, str]] = field(default_factory=set)
-    cover: set[tuple[str, str]] | None = None
 
 
 @dataclass
@@ -408,7 +438,6 @@ def compile_rules(rules: list[dict], min_level="medium", excluded=(), disabled=(
                     None if category else service,
                     None if category else static_event_ids(tree),
                     must_contain(tree),
-                    anchor_cover(tree),
                 )
             )
         except (ValueError, KeyError, SyntaxError, re.error) as exc:
@@ -467,28 +496,41 @@ def dispatch(ruleset: RuleSet) -> dict[tuple, list[Rule]]:
     return out
 
 
-_ENTRY = "map<string,array<struct<f:int,t:string,r:array<int>>>>"
+_BUCKET = "map<string,struct<a:array<int>,t:array<array<struct<t:string,r:array<int>>>>,n:array<array<struct<lo:double,hi:double,r:array<int>>>>>>"
 
 
-def anchor_index(ruleset: RuleSet, prefilter: bool = True) -> tuple[dict[str, list[dict]], list[str]]:
-    """Per bucket the literals and the rules each leads to, and the fields the literals are looked for in.
+def anchor_index(ruleset: RuleSet, prefilter: bool = True) -> tuple[dict[str, dict], list[str], list[str]]:
+    """Per bucket the literals and numbers and the rules each leads to, and the fields each kind is looked for in.
 
-    ``f`` is the field's place (-1: the rules have no anchor and are always met), ``t`` the literal, ``r`` places of
-    rules in the rule set.
+    ``a`` are places in the rule set of rules that are always met, ``t`` has per text field its literals ``t`` and per
+    literal the places ``r`` of rules, ``n`` per number field its ranges ``lo`` to ``hi`` and theirs.  A rule is
+    entered under the cover that the fewest rules of its bucket share, so that a row meets few rules besides those it
+    matches, however many there are.
     """
     place = {id(r): i for i, r in enumerate(ruleset.rules)}
-    fields: dict[str, int] = {}
-    out = {}
+    fields: tuple[dict[str, int], dict[str, int]] = ({}, {})
+    found = {}
     for key, rules in dispatch(ruleset).items():
-        entries: dict[tuple[int, str], list[int]] = {}
+        shared = Counter(a for r in rules for a in anchors_of(r.tree)) if prefilter else Counter()
+        cost = lambda c: (sum(shared[a] for a in c), -min(len(t) if isinstance(t, str) else 9 for _, t in c), sorted(map(str, c)))  # noqa: B023, E731
+        entries: dict[tuple, list[int]] = {}
         for r in rules:
-            # fewer literals to look for where all of several are needed: the longest is the most selective one
-            sure = {max(r.anchors, key=lambda a: (len(a[1]), a))} if r.anchors else r.cover
-            for name, text in sorted(sure) if prefilter and sure else [(None, "")]:
-                f = -1 if name is None else fields.setdefault(name, len(fields))
-                entries.setdefault((f, text), []).append(place[id(r)])
-        out["/".join(map(str, key))] = [{"f": f, "t": t, "r": r} for (f, t), r in entries.items()]
-    return out, list(fields)
+            options = [c for c in ({max(r.anchors, key=lambda a: (-shared[a], len(a[1]), a))} if r.anchors else None, anchor_cover(r.tree, cost)) if c] if prefilter else []
+            for at in sorted(min(options, key=cost), key=str) if options else [None]:
+                entries.setdefault(at, []).append(place[id(r)])
+                if at is not None:
+                    kind = fields[not isinstance(at[1], str)]
+                    kind.setdefault(at[0], len(kind))
+        found["/".join(map(str, key))] = entries
+    out = {}
+    for key, entries in found.items():
+        bucket = out[key] = {"a": entries.pop(None, []), "t": [[] for _ in fields[0]], "n": [[] for _ in fields[1]]}
+        for (name, what), r in entries.items():
+            if isinstance(what, str):
+                bucket["t"][fields[0][name]].append({"t": what, "r": r})
+            else:
+                bucket["n"][fields[1][name]].append({"lo": what[0], "hi": what[1], "r": r})
+    return out, list(fields[0]), list(fields[1])
 
 
 def choose(texts: list[str], low: int, high: int) -> str:
@@ -502,31 +544,33 @@ def choose(texts: list[str], low: int, high: int) -> str:
 def apply_rules(events: DataFrame, ruleset: RuleSet, prefilter: bool = True, keep: list[str] | None = None) -> DataFrame:
     """One row per (event, matching rule).
 
-    A single scan without a shuffle.  The row's bucket (event type, or source and id) has an index from literals to
-    rules; only rules one of whose literals occurs in the row are candidates, and only a candidate's predicate is
-    evaluated.  Rules are SQL text, parsed once, and the index is one literal, so building takes seconds for
-    thousands of rules.  ``keep`` limits the event columns that are carried along.
+    A single scan without a shuffle.  The row's bucket (event type, or source and id) has an index from literals and
+    numbers to rules; only rules one of whose literals occurs in the row, or one of whose ranges holds its number, are
+    candidates, and only a candidate's predicate is evaluated.  Rules are SQL text, parsed once, and the index is one
+    literal, so building takes seconds for thousands of rules.  ``keep`` limits the event columns that are carried along.
     """
     cols = [F.col(f"`{c}`") for c in (keep or events.columns)]
     if not ruleset.rules:
         return events.where("false").select(*cols, F.lit(None).cast("string").alias("rule_id"))
     buckets = dispatch(ruleset)
-    index, fields = anchor_index(ruleset, prefilter)
+    index, text_fields, number_fields = anchor_index(ruleset, prefilter)
     types = sorted({k[1] for k in buckets if k[0] == "type"})
     sources = sorted({k[1] for k in buckets if k[0] in ("id", "service")})
     wanted = events.filter(F.col("event_type").isin(types) | F.col("source").isin(sources))
     src = FieldTexts(events)
     texts = [to_sql(r.tree, src) for r in ruleset.rules]
-    where = [src("f", name) for name in fields]
-    prepared = wanted.select(
-        "*", *src.columns(), F.from_json(F.lit(json.dumps(index)), _ENTRY).alias("__index"),
-        F.from_json(F.lit(json.dumps([r.rule_id for r in ruleset.rules])), "array<string>").alias("__ids"))
+    met = [f"filter(b.t[{i}], e -> contains({src('f', name)}, e.t))" for i, name in enumerate(text_fields)]
+    met += [f"filter(b.n[{i}], e -> {src('n', name)} BETWEEN e.lo AND e.hi)" for i, name in enumerate(number_fields)]
+    prepared = wanted.select("*", *src.columns())
+    # literals where they are used: as columns they would be copied into every row
+    folded = f"from_json({quoted(json.dumps(index))}, '{_BUCKET}')"
+    ids = f"from_json({quoted(json.dumps([r.rule_id for r in ruleset.rules]))}, 'array<string>')"
     keys = ["concat('type/', event_type)", "concat('id/', source, '/', event_id)", "concat('service/', source)"]
-    entries = "concat(" + ", ".join(f"coalesce(__index[{k}], array())" for k in keys) + ")"
-    met = f"filter({entries}, a -> a.f < 0 OR coalesce(contains(get(array({', '.join(where) or 'CAST(NULL AS string)'}), a.f), a.t), false))"
-    candidates = f"array_distinct(flatten(transform({met}, a -> a.r)))"
+    buckets_met = f"filter(transform(array({', '.join(keys)}), k -> {folded}[k]), b -> b IS NOT NULL)"
+    places = ", ".join(["b.a", *(f"flatten(transform({m}, e -> e.r))" for m in met)])
+    candidates = f"array_distinct(flatten(transform({buckets_met}, b -> concat({places}))))"
     # an expression inside a lambda is evaluated as it stands: thousands of predicates would not fit generated code
-    fired_rules = f"transform(filter({candidates}, n -> {choose(texts, 0, len(texts))}), n -> __ids[n])"
+    fired_rules = f"transform(filter({candidates}, n -> {choose(texts, 0, len(texts))}), n -> {ids}[n])"
     # generated as one value first: the filter Spark derives from an explode would evaluate all of it again
     found = prepared.select(*cols, F.explode(F.array(F.expr(fired_rules))).alias("__hits"))
     return found.select(*cols, F.explode("__hits").alias("rule_id"))
